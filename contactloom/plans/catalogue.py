@@ -1,9 +1,545 @@
 """Registered queries and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from contactloom.operators import badbins, borders, compare, models3d, normalize, pairs, pixels, restraints, segment, stats
+from contactloom.plans import inputs as I
+from contactloom.plans.inputs import PER_CHROM, recursive, sql
+from contactloom.sources import annotations
+
+_QUERIES: dict = {}
+_SQL: dict = {}
+
+
+def query(text: str | None = None):
+    """Register a function of (spark, sf_dir) under its name, with SQL that gives the same rows."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if text is not None:
+            _SQL[f.__name__] = text
+        return f
+
+    return add
+
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+def _half(s, d, which: int | None = None):
+    rows = I.contacts(s, d)
+    rows = rows if which is None else rows.where(F.col("read_id") % 2 == which)
+    return pixels.half_pixels(rows, I.bin_of(1), I.bin_of(2))
+
+
+def _full(s, d):
+    return pixels.symmetric(_half(s, d))
+
+
+def _bad(s, d):
+    return badbins.by_min_count(_full(s, d), I.bins(s), 50)
+
+
+def _good(s, d):
+    return pixels.good(_full(s, d), _bad(s, d))
+
+
+def _bias(s, d):
+    return normalize.vanilla(_good(s, d))
+
+
+def _norm(s, d):
+    return pixels.normalized(_good(s, d), _bias(s, d))
+
+
+def _r(c: str, n: int = 6):
+    return F.round(c, n).alias(c)
+
+
+_FLAGS = """
+over_ AS (SELECT c, rs, n FROM (SELECT c, rs, count(*) AS n FROM (SELECT c1 AS c, rs1 AS rs FROM pairs UNION ALL SELECT c2, rs2 FROM pairs) GROUP BY 1, 2)
+  WHERE n > (SELECT n FROM (SELECT n, row_number() OVER (ORDER BY n) AS r, count(*) OVER () AS t FROM (SELECT count(*) AS n FROM (SELECT c1 AS c, rs1 AS rs FROM pairs UNION ALL SELECT c2, rs2 FROM pairs) GROUP BY c, rs)) WHERE r = floor((1 - 0.005::double) * t + 0.5))),
+flags AS (SELECT p.read_id, (
+    CASE WHEN c1 = c2 AND re1 = re2 AND s1 <> s2 AND (p2 > p1)::int = s2 THEN 1 WHEN c1 = c2 AND re1 = re2 AND s1 <> s2 THEN 2 WHEN c1 = c2 AND re1 = re2 THEN 4
+         WHEN c1 = c2 AND abs(p1 - p2) < 500 AND s1 <> s2 AND (p2 > p1)::int <> s2 THEN 8 ELSE 0 END
+  + CASE WHEN least(re1 - p1, p1 - rs1, re2 - p2, p2 - rs2) < 5 THEN 16 ELSE 0 END
+  + CASE WHEN least(re1 - rs1, re2 - rs2) < 100 THEN 32 ELSE 0 END + CASE WHEN greatest(re1 - rs1, re2 - rs2) > 100000 THEN 64 ELSE 0 END
+  + CASE WHEN EXISTS (SELECT 1 FROM over_ o WHERE o.c = p.c1 AND o.rs = p.rs1) OR EXISTS (SELECT 1 FROM over_ o WHERE o.c = p.c2 AND o.rs = p.rs2) THEN 128 ELSE 0 END
+  + CASE WHEN row_number() OVER (PARTITION BY c1, p1, c2, p2, s1, s2 ORDER BY read_id) > 1 THEN 256 ELSE 0 END
+  + CASE WHEN least(re1 - p1, p1 - rs1) > 750 OR least(re2 - p2, p2 - rs2) > 750 THEN 512 ELSE 0 END
+  + CASE WHEN c1 <> c2 THEN 1024 ELSE 0 END)::int AS flag, c1, p1, c2, p2 FROM pairs p)
+"""
+
+
+def _flag_sql(body: str) -> str:
+    return sql("", "base", "pairs").rstrip() + ", " + _FLAGS + body
+
+
+@query(_flag_sql("SELECT read_id, flag FROM flags"))
+def pair_flags(s, d):
+    return pairs.classify(I.with_copies(I.contacts(s, d))).select("read_id", "flag")
+
+
+@query(_flag_sql("SELECT k::int AS filter, count(*) AS n FROM flags, range(1, 12) t(k) WHERE (flag >> (k - 1)::int) & 1 = 1 GROUP BY 1"))
+def flag_counts(s, d):
+    return pairs.filter_counts(pairs.classify(I.with_copies(I.contacts(s, d))))
+
+
+@query(_flag_sql(f"SELECT least(a, b) AS i, greatest(a, b) AS j, count(*) AS v FROM (SELECT c1 * {PER_CHROM} + p1 // 100000 AS a, c2 * {PER_CHROM} + p2 // 100000 AS b FROM flags WHERE flag & 463 = 0) GROUP BY 1, 2"))
+def valid_pixels(s, d):
+    valid = pairs.apply_filter(pairs.classify(I.with_copies(I.contacts(s, d))), (1, 2, 3, 4, 7, 8, 9))
+    return pixels.half_pixels(valid, I.bin_of(1), I.bin_of(2))
+
+
+@query(_flag_sql("SELECT read_id FROM flags WHERE flag & 15 <> 0"))
+def filtered_pairs(s, d):
+    return pairs.apply_filter(pairs.classify(I.with_copies(I.contacts(s, d))), (1, 2, 3, 4), reverse=True).select("read_id")
+
+
+@query(sql("SELECT c, rs, count(*) AS n FROM (SELECT c1 AS c, rs1 AS rs FROM base UNION ALL SELECT c2, rs2 FROM base) GROUP BY 1, 2", "base"))
+def fragment_counts(s, d):
+    return pairs.fragment_counts(I.contacts(s, d))
+
+
+@query(_flag_sql("SELECT * FROM over_"))
+def over_represented(s, d):
+    return pairs.over_represented_fragments(I.with_copies(I.contacts(s, d)))
+
+
+@query(sql("SELECT read_id FROM (SELECT read_id, row_number() OVER (PARTITION BY c1, p1, c2, p2, s1, s2 ORDER BY read_id) AS r FROM pairs) WHERE r > 1", "base", "pairs"))
+def duplicates(s, d):
+    return I.with_copies(I.contacts(s, d)).withColumn("r", pairs.duplicate_rank()).where("r > 1").select("read_id")
+
+
+@query(sql("SELECT read_id FROM (SELECT read_id, row_number() OVER (PARTITION BY c1, p1, c2, p2, s1, s2, l1, l2 ORDER BY read_id) AS r FROM pairs) WHERE r > 1", "base", "pairs"))
+def duplicates_strict(s, d):
+    return I.with_copies(I.contacts(s, d)).withColumn("r", pairs.duplicate_rank(True)).where("r > 1").select("read_id")
+
+
+@query(sql("SELECT read_id, CASE WHEN w THEN c2 ELSE c1 END AS c1, CASE WHEN w THEN p2 ELSE p1 END AS p1, CASE WHEN w THEN c1 ELSE c2 END AS c2, CASE WHEN w THEN p1 ELSE p2 END AS p2 FROM (SELECT *, c1 > c2 OR c1 = c2 AND p1 > p2 AS w FROM base)", "base"))
+def oriented_pairs(s, d):
+    return pairs.oriented(I.contacts(s, d)).select("read_id", "c1", "p1", "c2", "p2")
+
+
+@query(sql("SELECT * FROM half", "base", "half"))
+def pixels_half(s, d):
+    return _half(s, d)
+
+
+@query(sql("SELECT i, j, v FROM full_", "base", "half", "full_"))
+def pixels_symmetric(s, d):
+    return _full(s, d)
+
+
+@query(sql("SELECT * FROM cover", "base", "half", "full_", "cover"))
+def bin_coverage(s, d):
+    return badbins.coverage(_full(s, d))
+
+
+@query(sql(f"SELECT b.bin, CASE WHEN 160 - coalesce(cells, 0) > 144 THEN 'zeros' ELSE 'low count' END AS why FROM bins b LEFT JOIN cover c ON b.bin = c.bin WHERE 160 - coalesce(cells, 0) > 144 OR coalesce(total, 0) < 100", "base", "half", "full_", "cover", "bins"))
+def bad_bins_zero(s, d):
+    return badbins.by_zero_count(_full(s, d), I.bins(s), 160, 90, 50)
+
+
+@query(sql("SELECT bin, 'low count' AS why FROM bad", "base", "half", "full_", "cover", "bins", "bad"))
+def bad_bins_mincount(s, d):
+    return _bad(s, d)
+
+
+_LOCAL = "local AS (SELECT f.i AS bin, sum(CASE WHEN x.chrom = y.chrom THEN v ELSE 0 END)::bigint AS cis, sum(v)::bigint AS total, sum(CASE WHEN x.chrom = y.chrom AND abs(f.i - f.j) <= 1 THEN v ELSE 0 END)::bigint AS near, sum(CASE WHEN x.chrom = y.chrom AND abs(f.i - f.j) > 1 AND abs(f.i - f.j) <= 5 THEN v ELSE 0 END)::bigint AS mid FROM full_ f JOIN bins x ON f.i = x.bin JOIN bins y ON f.j = y.bin GROUP BY 1)"
+
+
+def _local_sql(body: str) -> str:
+    return sql("", "base", "half", "full_", "bins").rstrip() + ", " + _LOCAL + " " + body
+
+
+@query(_local_sql("SELECT * FROM local"))
+def local_counts(s, d):
+    return badbins.local_counts(_half(s, d), I.bins(s), 1, 5)
+
+
+@query(_local_sql("SELECT bin, 'local ratio' AS why FROM local WHERE coalesce(near::double / nullif(mid, 0), 0) < 1 OR near < (SELECT coalesce(quantile_cont(near::double, 0.95), 0) FROM local WHERE coalesce(near::double / nullif(mid, 0), 0) < 1 AND near >= 1)"))
+def bad_bins_local_ratio(s, d):
+    return badbins.by_local_ratio(badbins.local_counts(_half(s, d), I.bins(s), 1, 5))
+
+
+@query(_local_sql("SELECT bin, round(cis::double / total, 9) AS share FROM local"))
+def cis_share(s, d):
+    return badbins.cis_share(badbins.local_counts(_half(s, d), I.bins(s), 1, 5)).select("bin", _r("share", 9))
+
+
+@query(sql('SELECT chrom, min(idx) AS first, max(idx) AS last, count(*) AS n FROM (SELECT chrom, idx, idx - row_number() OVER (PARTITION BY chrom ORDER BY idx) AS g FROM bad JOIN bins USING (bin)) GROUP BY chrom, g', "base", "half", "full_", "cover", "bins", "bad"))
+def bad_bin_runs(s, d):
+    return badbins.runs(_bad(s, d), I.bins(s))
+
+
+@query()
+def bad_bins_by_mean(s, d):
+    return badbins.by_mean(_full(s, d), I.bins(s))
+
+
+@query(sql("SELECT round(sum(CASE WHEN x.chrom = y.chrom THEN v ELSE 0 END)::double / sum(v)::double, 9) AS ratio FROM full_ f JOIN bins x ON f.i = x.bin JOIN bins y ON f.j = y.bin", "base", "half", "full_", "bins"))
+def cis_trans_ratio(s, d):
+    return stats.cis_trans_ratio(_full(s, d), I.bins(s)).select(_r("ratio", 9))
+
+
+_B = ("base", "half", "full_", "cover", "bins", "bad", "good", "sums", "bias")
+
+
+@query(sql("SELECT bin, round(b, 9) AS b FROM bias", *_B))
+def vanilla_bias(s, d):
+    return _bias(s, d).select("bin", _r("b", 9))
+
+
+@query(sql("SELECT bin, round(q / m * sqrt(m), 9) AS b FROM (SELECT bin, sqrt(s) AS q, avg(sqrt(s)) OVER () AS m FROM sums)", *_B[:-1]))
+def sqrt_bias(s, d):
+    return normalize.square_root(_good(s, d)).select("bin", _r("b", 9))
+
+
+@query(sql("SELECT bin, round(b * sqrt(t / 25600), 9) AS b FROM bias, (SELECT sum(v) AS t FROM norm)", *_B, "norm"))
+def rescaled_bias(s, d):
+    return normalize.rescaled(_good(s, d), _bias(s, d), 160).select("bin", _r("b", 9))
+
+
+@query()
+def ice_bias(s, d):
+    return normalize.iterative(_good(s, d), iterations=5).select("bin", _r("b", 6))
+
+
+@query(sql("SELECT i, j, round(v, 9) AS v FROM norm WHERE i < 32 AND j >= 32 AND j < 64", *_B, "norm"))
+def norm_matrix_region(s, d):
+    ranges = pixels.focus(("0", "1:0-3200000"), {"0": (0, 32), "1": (32, 64)}, 100_000)
+    return pixels.crop(_norm(s, d), ranges, shift=False).select("i", "j", _r("v", 9))
+
+
+@query(sql("SELECT i - 5 AS i, j - 5 AS j, v FROM full_ WHERE i >= 5 AND i < 20 AND j >= 5 AND j < 20 AND i <> j", "base", "half", "full_"))
+def raw_region(s, d):
+    return pixels.crop(_full(s, d), pixels.focus((6, 20), {}, 100_000), diagonal=False)
+
+
+@query(sql("SELECT round(sum(v), 6) AS total FROM norm", *_B, "norm"))
+def map_total(s, d):
+    return pixels.total(_full(s, d), _bad(s, d), _bias(s, d)).select(_r("total"))
+
+
+_DIST = "dist AS (SELECT x.chrom, g.i - g.j AS dist, sum(g.v)::double AS raw, sum(g.v / p.b / q.b) AS nrm FROM good g JOIN bins x ON g.i = x.bin JOIN bins y ON g.j = y.bin JOIN bias p ON g.i = p.bin JOIN bias q ON g.j = q.bin WHERE g.i >= g.j AND x.chrom = y.chrom GROUP BY 1, 2)"
+
+
+@query(sql("", *_B).rstrip() + ", " + _DIST + " SELECT chrom, dist, raw, round(nrm, 6) AS nrm FROM dist")
+def decay_raw(s, d):
+    return normalize.distance_sums(_good(s, d), I.bins(s), _bias(s, d)).select("chrom", "dist", "raw", _r("nrm"))
+
+
+_DECAY = _DIST + """, gb AS (SELECT * FROM bins WHERE bin NOT IN (SELECT bin FROM bad)),
+ncell AS (SELECT x.chrom, x.idx - y.idx AS dist, count(*) AS n FROM gb x JOIN gb y ON x.chrom = y.chrom AND x.idx >= y.idx GROUP BY 1, 2),
+alld AS (SELECT c.chrom, c.idx AS dist, coalesce(raw, 0) AS raw, coalesce(nrm, 0) AS nrm, coalesce(n, 0) AS n FROM bins c LEFT JOIN dist d ON c.chrom = d.chrom AND c.idx = d.dist LEFT JOIN ncell e ON c.chrom = e.chrom AND c.idx = e.dist),
+walk AS (SELECT chrom, dist, raw AS acc, 0 AS g FROM alld WHERE dist = 0
+  UNION ALL SELECT a.chrom, a.dist, CASE WHEN w.acc > 400 THEN a.raw ELSE w.acc + a.raw END, CASE WHEN w.acc > 400 THEN w.g + 1 ELSE w.g END FROM walk w JOIN alld a ON a.chrom = w.chrom AND a.dist = w.dist + 1),
+grp AS (SELECT w.chrom, w.g, sum(a.raw) AS raw, sum(a.nrm) AS nrm, sum(a.n) AS n FROM walk w JOIN alld a USING (chrom, dist) GROUP BY 1, 2),
+ok AS (SELECT g.*, CASE WHEN g.raw > 400 THEN g.nrm / g.n WHEN p.n IS NOT NULL THEN (p.nrm + g.nrm) / (p.n + g.n) END AS e FROM grp g LEFT JOIN grp p ON p.chrom = g.chrom AND p.g = g.g - 1)
+"""
+_DECAY_SQL = "WITH RECURSIVE " + sql("", *_B)[5:].rstrip() + ", " + _DECAY
+
+
+@query(_DECAY_SQL + " SELECT w.chrom, w.dist, round(e, 9) AS expected FROM walk w JOIN ok USING (chrom, g) WHERE e IS NOT NULL")
+def decay_grouped(s, d):
+    return normalize.decay(_full(s, d), I.bins(s), _bias(s, d), _bad(s, d)).select("chrom", "dist", _r("expected", 9))
+
+
+@query(_DECAY_SQL + " SELECT n.i, n.j, round(n.v / o.e, 6) AS v FROM norm_ n JOIN bins x ON n.i = x.bin JOIN bins y ON n.j = y.bin AND x.chrom = y.chrom JOIN walk w ON w.chrom = x.chrom AND w.dist = abs(n.i - n.j) JOIN ok o ON o.chrom = w.chrom AND o.g = w.g WHERE o.e IS NOT NULL".replace("norm_", "(SELECT g.i, g.j, g.v / p.b / q.b AS v FROM good g JOIN bias p ON g.i = p.bin JOIN bias q ON g.j = q.bin)"))
+def decay_corrected(s, d):
+    decay = normalize.decay(_full(s, d), I.bins(s), _bias(s, d), _bad(s, d))
+    return pixels.decayed(_good(s, d), _bias(s, d), I.bins(s), decay).select("i", "j", _r("v"))
+
+
+@query(sql("SELECT round(sum(CASE WHEN x.chrom = y.chrom THEN v ELSE 0 END), 6) AS cis, round(sum(v), 6) AS total FROM norm f JOIN bins x ON f.i = x.bin JOIN bins y ON f.j = y.bin WHERE i > j", *_B, "norm"))
+def cis_percent(s, d):
+    return normalize.cis_percent(_good(s, d), I.bins(s), _bias(s, d)).select(_r("cis"), _r("total"))
+
+
+_CURVE = "curve AS (SELECT h.j - h.i AS dist, sum(h.v)::bigint AS total, (5 * (32 - (h.j - h.i)))::bigint AS cells FROM half h JOIN bins x ON h.i = x.bin JOIN bins y ON h.j = y.bin WHERE x.chrom = y.chrom AND h.j > h.i GROUP BY 1)"
+
+
+@query(sql("", "base", "half", "bins").rstrip() + ", " + _CURVE + " SELECT dist, total, cells, round(total / cells::double, 9) AS mean FROM curve")
+def distance_curve(s, d):
+    return stats.distance_curve(_half(s, d), I.bins(s)).select("dist", "total", "cells", _r("mean", 9))
+
+
+@query(sql("", "base", "half", "bins").rstrip() + ", " + _CURVE + " SELECT round(regr_slope(ln(total / cells::double), ln(dist)), 6) AS slope, round(regr_intercept(ln(total / cells::double), ln(dist)), 6) AS intercept, round(regr_r2(ln(total / cells::double), ln(dist)), 6) AS r2 FROM curve WHERE dist <= 10")
+def loglog_slope(s, d):
+    return stats.log_slope(stats.distance_curve(_half(s, d), I.bins(s)), 0, 10).select(_r("slope"), _r("intercept"), _r("r2"))
+
+
+@query(sql("SELECT i // 4 AS i, j // 4 AS j, sum(v)::bigint AS v FROM full_ GROUP BY 1, 2", "base", "half", "full_"))
+def rebin(s, d):
+    return pixels.rebin(_full(s, d), 4)
+
+
+@query(sql("SELECT i, j, sum(v)::bigint AS v FROM (SELECT * FROM half_a UNION ALL SELECT * FROM half_b) GROUP BY 1, 2", "base", "half_a", "half_b"))
+def experiment_sum(s, d):
+    return pixels.add(_half(s, d, 0), _half(s, d, 1))
+
+
+@query(sql("SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, round(coalesce(a.v, 0) / b.v::double, 9) AS v FROM half_a a FULL JOIN half_b b ON a.i = b.i AND a.j = b.j", "base", "half_a", "half_b"))
+def experiment_ratio(s, d):
+    return pixels.divide(_half(s, d, 0), _half(s, d, 1)).select("i", "j", _r("v", 9))
+
+
+@query(sql("SELECT i, j, round((l - m) / sd, 6) AS z FROM (SELECT i, j, log10(v) AS l, avg(log10(v)) OVER () AS m, stddev_pop(log10(v)) OVER () AS sd FROM full_ WHERE i <= j)", "base", "half", "full_"))
+def zscores(s, d):
+    return pixels.zscores(_full(s, d)).select("i", "j", _r("z"))
+
+
+@query(sql("SELECT i, j, v FROM full_ WHERE i < j AND v > 5", "base", "half", "full_"))
+def interaction_pairs(s, d):
+    return pixels.interaction_pairs(_full(s, d), 5)
+
+
+_ALIGNED = "al AS (SELECT x.chrom, j - i AS dist, i, coalesce(a, 0)::double AS a, coalesce(b, 0)::double AS b FROM (SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, a.v AS a, b.v AS b FROM half_a a FULL JOIN half_b b ON a.i = b.i AND a.j = b.j) q JOIN bins x ON q.i = x.bin JOIN bins y ON q.j = y.bin WHERE x.chrom = y.chrom AND j - i BETWEEN 1 AND 10)"
+
+
+def _al_sql(body: str) -> str:
+    return sql("", "base", "half_a", "half_b", "bins").rstrip() + ", " + _ALIGNED + " " + body
+
+
+def _aligned(s, d):
+    return compare.aligned_diagonals(_half(s, d, 0), _half(s, d, 1), I.bins(s), 10)
+
+
+@query(_al_sql("SELECT dist, count(*) AS n, round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman FROM (SELECT *, rank() OVER (PARTITION BY dist ORDER BY a) + (count(*) OVER (PARTITION BY dist, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY dist ORDER BY b) + (count(*) OVER (PARTITION BY dist, b) - 1) / 2 AS rb FROM al) GROUP BY 1"))
+def diagonal_correlations(s, d):
+    return compare.by_distance(_aligned(s, d)).select("dist", "n", _r("pearson"), _r("spearman"))
+
+
+@query(_al_sql("SELECT round(sum(r * w) / sum(w), 6) AS scc, round(sqrt(sum(w * w) * var_samp(r) / (sum(w) * sum(w))), 6) AS std FROM (SELECT dist, corr(a, b) AS r, sqrt(var_samp(ua) * var_samp(ub)) * count(*) AS w FROM (SELECT *, row_number() OVER (PARTITION BY dist ORDER BY a, i) / (count(*) OVER (PARTITION BY dist))::double AS ua, row_number() OVER (PARTITION BY dist ORDER BY b, i) / (count(*) OVER (PARTITION BY dist))::double AS ub FROM al) GROUP BY 1)"))
+def stratum_adjusted_correlation(s, d):
+    return compare.stratum_adjusted(_aligned(s, d)).select(_r("scc"), _r("std"))
+
+
+@query()
+def eigenvector_correlations(s, d):
+    return compare.eigenvector_table(pixels.symmetric(_half(s, d, 0)), pixels.symmetric(_half(s, d, 1)), I.bins(s), 3).select("chrom", "x", "y", _r("corr", 4))
+
+
+@query()
+def reproducibility(s, d):
+    return compare.reproducibility(pixels.symmetric(_half(s, d, 0)), pixels.symmetric(_half(s, d, 1)), I.bins(s), 10, 2.0)
+
+
+_INS = "ins AS (SELECT b.chrom, b.idx, coalesce(sum(f.v), 0)::double AS score FROM bins b LEFT JOIN (SELECT x.chrom, x.idx AS x, y.idx AS y, f.v FROM full_ f JOIN bins x ON f.i = x.bin JOIN bins y ON f.j = y.bin WHERE x.chrom = y.chrom) f ON f.chrom = b.chrom AND f.x BETWEEN b.idx - 4 AND b.idx - 1 AND f.y BETWEEN b.idx + 1 AND b.idx + 4 WHERE b.idx >= 4 AND b.idx < 28 GROUP BY 1, 2)"
+
+
+def _ins_sql(body: str) -> str:
+    return sql("", "base", "half", "full_", "bins").rstrip() + ", " + _INS + " " + body
+
+
+@query(_ins_sql("SELECT * FROM ins"))
+def insulation(s, d):
+    return segment.insulation(_full(s, d), I.bins(s), 1, 4)
+
+
+@query(_ins_sql("SELECT chrom, idx, round(log2(score / m), 6) AS score FROM (SELECT *, avg(score) OVER (PARTITION BY chrom) AS m FROM ins) WHERE score > 0 UNION ALL SELECT chrom, idx, NULL FROM ins WHERE score = 0"))
+def insulation_normalized(s, d):
+    return segment.insulation(_full(s, d), I.bins(s), 1, 4, True).select("chrom", "idx", _r("score"))
+
+
+@query(_ins_sql("SELECT chrom, idx, score, round(avg(score) OVER (PARTITION BY chrom ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) - avg(score) OVER (PARTITION BY chrom ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), 6) AS delta FROM ins"))
+def insulation_delta(s, d):
+    return segment.insulation_delta(segment.insulation(_full(s, d), I.bins(s), 1, 4), 3).select("chrom", "idx", "score", _r("delta"))
+
+
+@query()
+def insulation_borders(s, d):
+    return segment.insulation_borders(segment.insulation_delta(segment.insulation(_full(s, d), I.bins(s), 1, 4, True), 3), 0.0)
+
+
+@query()
+def domains_by_window(s, d):
+    return segment.domains_by_window(_full(s, d), I.bins(s), 4)
+
+
+@query()
+def domains_by_likelihood(s, d):
+    return segment.domains_by_likelihood(_full(s, d), I.bins(s))
+
+
+@query()
+def compartments(s, d):
+    full, b = _full(s, d), I.bins(s)
+    return segment.compartments(full, b, normalize.decay(full, b)).select("chrom", "start", "end", "type")
+
+
+@query(sql("SELECT e.chrom, e.start, e.\"end\", coalesce(o.observed, 0) AS observed, round(e.expected, 6) AS expected, round(coalesce(o.observed, 0) / e.expected, 6) AS height FROM (SELECT a.chrom, a.start, a.\"end\", sum(coalesce(m.m, 0) * (a.\"end\" - a.start + 1 - k.k)) AS expected FROM domains a JOIN (SELECT range AS k FROM range(32)) k ON k.k <= a.\"end\" - a.start LEFT JOIN (SELECT x.chrom, f.j - f.i AS k, sum(f.v)::double / (32 - (f.j - f.i)) AS m FROM full_ f JOIN bins x ON f.i = x.bin JOIN bins y ON f.j = y.bin WHERE x.chrom = y.chrom AND f.i <= f.j GROUP BY 1, 2) m ON m.chrom = a.chrom AND m.k = k.k WHERE a.experiment = 'a' GROUP BY 1, 2, 3) e LEFT JOIN (SELECT a.chrom, a.start, sum(f.v)::double AS observed FROM domains a JOIN (SELECT x.chrom, x.idx AS x, y.idx AS y, f.v FROM full_ f JOIN bins x ON f.i = x.bin JOIN bins y ON f.j = y.bin WHERE x.chrom = y.chrom AND f.i <= f.j) f ON f.chrom = a.chrom AND f.x >= a.start AND f.y <= a.\"end\" WHERE a.experiment = 'a' GROUP BY 1, 2) o ON o.chrom = e.chrom AND o.start = e.start", "base", "half", "full_", "bins", "domains"))
+def domain_density(s, d):
+    found = segment.domain_density(I.domains(s).where("experiment = 'a'"), _full(s, d), I.bins(s))
+    return found.select("chrom", "start", "end", "observed", _r("expected"), _r("height"))
+
+
+@query(sql("SELECT chrom, start, \"end\", CASE WHEN \"end\" - start + 1 > 10 THEN -abs(score) ELSE abs(score) END AS score FROM domains", "domains"))
+def limited_domains(s, d):
+    return segment.limit_domains(I.domains(s), 10).select("chrom", "start", "end", "score")
+
+
+@query(sql("SELECT chrom, idx FROM (SELECT DISTINCT experiment, chrom, start + k.range AS idx FROM domains, range(32) k WHERE k.range <= \"end\" - start AND \"end\" - start + 1 > 7) GROUP BY 1, 2 HAVING count(*) = 2", "domains"))
+def forbidden_bins(s, d):
+    return segment.forbidden(I.domains(s), 7)
+
+
+@query(sql("SELECT chrom, first, last, n FROM (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY n DESC, first) AS r FROM (SELECT chrom, min(idx) AS first, max(idx) AS last, count(*) AS n FROM (SELECT chrom, idx, idx - row_number() OVER (PARTITION BY chrom ORDER BY idx) AS g FROM bins WHERE bin NOT IN (SELECT i FROM full_)) GROUP BY chrom, g)) WHERE r = 1", "base", "half", "full_", "bins"))
+def longest_gap(s, d):
+    return segment.longest_gap(_full(s, d), I.bins(s))
+
+
+@query(sql("SELECT chrom, \"end\", score, coalesce(lag(\"end\") OVER (PARTITION BY chrom ORDER BY \"end\") + 1, 0) AS start FROM (SELECT chrom, \"end\", max(score) AS score FROM domains GROUP BY 1, 2)", "domains"))
+def reordered_domains(s, d):
+    return borders.reordered(I.domains(s))
+
+
+_MARKS = "ma AS (SELECT DISTINCT c1 AS chrom, p1 AS pos FROM base WHERE read_id % 50 = 1), mb AS (SELECT DISTINCT c2 AS chrom, p2 AS pos FROM base WHERE read_id % 50 = 2), na AS (SELECT chrom, a, b, d FROM (SELECT ma.chrom, ma.pos AS a, mb.pos AS b, abs(ma.pos - mb.pos) AS d, row_number() OVER (PARTITION BY ma.chrom, ma.pos ORDER BY abs(ma.pos - mb.pos), mb.pos) AS r FROM ma JOIN mb ON ma.chrom = mb.chrom AND abs(ma.pos - mb.pos) <= 20000) WHERE r = 1), nb AS (SELECT chrom, a, b FROM (SELECT ma.chrom, ma.pos AS a, mb.pos AS b, row_number() OVER (PARTITION BY ma.chrom, mb.pos ORDER BY abs(ma.pos - mb.pos), ma.pos) AS r FROM ma JOIN mb ON ma.chrom = mb.chrom AND abs(ma.pos - mb.pos) <= 20000) WHERE r = 1)"
+
+
+def _marks(s, d):
+    rows = I.contacts(s, d)
+    pick = lambda k: rows.where(F.col("read_id") % 50 == k).select(F.col(f"c{k}").alias("chrom"), F.col(f"p{k}").alias("pos")).distinct()
+    return pick(1), pick(2)
+
+
+@query(sql("", "base").rstrip() + ", " + _MARKS + " SELECT * FROM na")
+def nearest_borders(s, d):
+    return borders.nearest(*_marks(s, d), 20_000)
+
+
+@query(sql("", "base").rstrip() + ", " + _MARKS + " SELECT na.chrom, na.a, na.b, na.d FROM na JOIN nb ON na.chrom = nb.chrom AND na.a = nb.a AND na.b = nb.b")
+def mutual_nearest_borders(s, d):
+    return borders.mutual_nearest(*_marks(s, d), 20_000)
+
+
+@query()
+def aligned_borders(s, d):
+    rows = I.domains(s).select("experiment", "chrom", (F.col("end") * 100_000).alias("pos"))
+    return borders.align(rows, max_dist=100_000.0)
+
+
+@query(sql("SELECT id, chrom, start, \"end\" FROM (SELECT id, q.chrom + 1 AS chrom, q.bstart * 2 + 2 * (greatest(start, bstart) - bstart) AS start, q.bstart * 2 + 2 * (least(\"end\", bend) - bstart) AS \"end\", row_number() OVER (PARTITION BY id ORDER BY least(\"end\", bend) - greatest(start, bstart) DESC, bstart) AS r FROM (SELECT read_id AS id, c1 AS chrom, p1 AS start, p1 + 30000 AS \"end\" FROM base WHERE read_id % 10 = 1) s JOIN (SELECT c.range::int AS chrom, k.range * 250000 AS bstart, k.range * 250000 + 200000 AS bend FROM range(5) c, range(8) k) q ON q.chrom = s.chrom AND least(\"end\", bend) - greatest(start, bstart) > 10) WHERE r = 1", "base"))
+def lifted_segments(s, d):
+    segments = I.contacts(s, d).where("read_id % 10 = 1").select(F.col("read_id").alias("id"), F.col("c1").alias("chrom"), F.col("p1").alias("start"), (F.col("p1") + 30_000).alias("end"))
+    k = F.col("id") % 8 * 250_000
+    blocks = s.range(40).select(
+        F.expr("cast(id div 8 as int)").alias("chrom"), k.alias("bstart"), (k + 200_000).alias("bend"), F.expr("cast(id div 8 as int) + 1").alias("tchrom"),
+        (k * 2).alias("tstart"), (k * 2 + 400_000).alias("tend"), F.lit(1).alias("tstrand"),
+    )
+    return borders.lift(segments, blocks)
+
+
+@query(sql("SELECT chrom, bin, count(*) AS n FROM (SELECT c1 AS chrom, p1 // 10000 AS bin FROM base UNION ALL SELECT c2, p2 // 10000 FROM base) GROUP BY 1, 2", "base"))
+def genomic_distribution(s, d):
+    return stats.genomic_distribution(I.contacts(s, d))
+
+
+@query(sql("SELECT dist, count(*) AS n, round(avg((a = 1 AND b = 1)::int), 9) AS plus, round(avg((a = 0 AND b = 0)::int), 9) AS minus, round(avg((a = 1 AND b = 0)::int), 9) AS facing, round(avg((a = 0 AND b = 1)::int), 9) AS away FROM (SELECT abs(p2 - p1) // 5000 AS dist, CASE WHEN p1 <= p2 THEN s1 ELSE s2 END AS a, CASE WHEN p1 <= p2 THEN s2 ELSE s1 END AS b FROM base WHERE c1 = c2 AND abs(p2 - p1) < 200000) GROUP BY 1", "base"))
+def strand_bias(s, d):
+    return stats.strand_bias(I.contacts(s, d), 5000, 200_000).select("dist", "n", *[_r(c, 9) for c in ("plus", "minus", "facing", "away")])
+
+
+_SIZES = "sz AS (SELECT abs(p2 - p1) AS size FROM base WHERE c1 = c2 AND re1 = re2 AND s1 <> s2 AND (p2 > p1)::int <> s2 AND abs(p2 - p1) <= 10000)"
+
+
+@query(sql("", "base").rstrip() + ", " + _SIZES + " SELECT size, count(*) AS n FROM sz GROUP BY 1")
+def insert_sizes(s, d):
+    return stats.insert_sizes(I.contacts(s, d))
+
+
+@query(sql("", "base").rstrip() + ", " + _SIZES + " SELECT count(*) AS n, round(avg(size), 6) AS mean, median(size)::double AS median, (SELECT median(abs(size - (SELECT median(size) FROM sz))) FROM sz)::double AS mad, round(quantile_cont(size::double, 0.999), 6) AS perc_max FROM sz")
+def insert_size_stats(s, d):
+    return stats.insert_size_stats(I.contacts(s, d)).select("n", _r("mean"), "median", "mad", _r("perc_max"))
+
+
+@query(sql("SELECT dist, count(*) AS n FROM (SELECT least(p1 - rs1, re1 - p1) AS dist FROM base WHERE s1 <> s2 UNION ALL SELECT least(p2 - rs2, re2 - p2) FROM base WHERE s1 <> s2) WHERE dist <= 1000 GROUP BY 1", "base"))
+def site_distances(s, d):
+    return stats.site_distances(I.contacts(s, d))
+
+
+_ANN = "SELECT c1 AS chrom, p1 AS start, p1 + 150000 AS \"end\", (read_id % 10)::double AS value FROM base WHERE read_id % 20 = 1"
+
+
+def _annotation(s, d):
+    rows = I.contacts(s, d).where("read_id % 20 = 1")
+    return rows.select(F.col("c1").alias("chrom"), F.col("p1").alias("start"), (F.col("p1") + 150_000).alias("end"), (F.col("read_id") % 10).cast("double").alias("value"))
+
+
+@query(sql(f"SELECT chrom, bin, round(sum((least(\"end\", (bin + 1) * 100000) - greatest(start, bin * 100000)) * value) / 100000, 6) AS value FROM (SELECT *, unnest(range(start // 100000, (\"end\" - 1) // 100000 + 1)) AS bin FROM ({_ANN})) GROUP BY 1, 2", "base"))
+def interval_means(s, d):
+    return stats.interval_means(_annotation(s, d), 100_000).select("chrom", "bin", _r("value"))
+
+
+@query(sql(f"SELECT chrom, \"end\" // 100000 AS bin, sum(value) AS value FROM ({_ANN}) GROUP BY 1, 2", "base"))
+def binned_annotation(s, d):
+    return annotations.binned(_annotation(s, d), 100_000)
+
+
+@query(sql("SELECT i, j, avg((d <= 1.2)::int::double) AS share FROM pp GROUP BY 1, 2", "particles", "pp"))
+def model_contacts(s, d):
+    return models3d.contact_matrix(I.particles(s, d), 1.2)
+
+
+@query(sql("SELECT i, j, round(avg(d), 6) AS mean, round(median(d), 6) AS median FROM pp GROUP BY 1, 2", "particles", "pp"))
+def model_distances(s, d):
+    return models3d.distance_matrix(I.particles(s, d)).select("i", "j", _r("mean"), _r("median"))
+
+
+@query(sql("SELECT model, round(max(d), 6) AS longest, round(min(d), 6) AS shortest FROM pp GROUP BY 1", "particles", "pp"))
+def model_axes(s, d):
+    return models3d.axes(I.particles(s, d)).select("model", _r("longest"), _r("shortest"))
+
+
+@query(sql("SELECT model, round(sqrt(avg((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz))), 6) AS radius_of_gyration, round(sum(step), 6) AS contour, round(sqrt(pow(max(x)-min(x),2)+pow(max(y)-min(y),2)+pow(max(z)-min(z),2)), 6) AS cube_side FROM (SELECT *, avg(x) OVER (PARTITION BY model) AS mx, avg(y) OVER (PARTITION BY model) AS my, avg(z) OVER (PARTITION BY model) AS mz, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS step FROM particles WINDOW w AS (PARTITION BY model ORDER BY particle)) GROUP BY 1", "particles"))
+def model_shape(s, d):
+    return models3d.shape(I.particles(s, d)).select("model", _r("radius_of_gyration"), _r("contour"), _r("cube_side"))
+
+
+@query(sql("SELECT particle, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM particles GROUP BY 1", "particles"))
+def mean_coordinates(s, d):
+    return models3d.mean_coordinates(I.particles(s, d)).select("particle", _r("x"), _r("y"), _r("z"))
+
+
+@query(sql("SELECT p.particle, round(avg(coalesce(k.n, 0)), 6) AS n FROM particles p LEFT JOIN (SELECT model, particle, count(*) AS n FROM (SELECT model, i AS particle FROM pp WHERE d <= 1.2 UNION ALL SELECT model, j FROM pp WHERE d <= 1.2) GROUP BY 1, 2) k ON k.model = p.model AND k.particle = p.particle GROUP BY 1", "particles", "pp"))
+def model_interactions(s, d):
+    return models3d.interactions(I.particles(s, d), 1.2).select("particle", _r("n"))
+
+
+@query(sql("SELECT model, particle, round(degrees(acos(greatest(-1, least(1, dot / norm)))), 4) AS angle FROM (SELECT model, particle, (x-x1)*(x2-x1)+(y-y1)*(y2-y1)+(z-z1)*(z2-z1) AS dot, sqrt(pow(x-x1,2)+pow(y-y1,2)+pow(z-z1,2))*sqrt(pow(x2-x1,2)+pow(y2-y1,2)+pow(z2-z1,2)) AS norm FROM (SELECT *, lead(x,3) OVER w AS x1, lead(y,3) OVER w AS y1, lead(z,3) OVER w AS z1, lead(x,6) OVER w AS x2, lead(y,6) OVER w AS y2, lead(z,6) OVER w AS z2 FROM particles WINDOW w AS (PARTITION BY model ORDER BY particle))) WHERE dot IS NOT NULL AND norm > 0", "particles"))
+def walking_angles(s, d):
+    return models3d.walking_angle(I.particles(s, d)).select("model", "particle", _r("angle", 4))
+
+
+@query()
+def walking_dihedrals(s, d):
+    return models3d.walking_dihedral(I.particles(s, d)).select("model", "particle", _r("angle", 4))
+
+
+@query()
+def model_scores(s, d):
+    return models3d.model_scores(I.particles(s, d), 1.0).select("a", "b", "eqv", _r("rmsd"), _r("drmsd"))
+
+
+@query()
+def model_consistency(s, d):
+    return models3d.consistency(I.particles(s, d), 1.0).select("particle", _r("share"))
+
+
+@query()
+def model_accessibility(s, d):
+    return models3d.accessibility(I.particles(s, d), 0.1, 0.5).select("model", "particle", _r("share"))
+
+
+@query()
+def restraint_table(s, d):
+    z = pixels.zscores(pixels.crop(_full(s, d), (0, 32, 0, 32))).where("i < j")
+    return restraints.restraints(z, 32, 50.0, 500.0, 0.5, -0.5).select("i", "j", "type", _r("kforce"), _r("dist"))
