@@ -114,7 +114,7 @@ def _grouped(minimum: float):
                     expected[x] = nrm / cells if cells else None
                 last, open_, raw, nrm, cells = (nrm, cells), [], 0.0, 0.0, 0
         if last is None:
-            return pd.DataFrame({"chrom": [], "dist": [], "expected": []})
+            return pd.DataFrame({"chrom": pdf.chrom, "dist": pdf.dist, "expected": expected}).iloc[:0].astype({"expected": float})
         for x in open_:
             expected[x] = (last[0] + nrm) / (last[1] + cells) if last[1] + cells else None
         return pd.DataFrame({"chrom": pdf.chrom, "dist": pdf.dist, "expected": expected})

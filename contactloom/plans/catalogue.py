@@ -427,9 +427,10 @@ def aligned_borders(s, d):
     return borders.align(rows, max_dist=100_000.0)
 
 
-@query(sql("SELECT id, chrom, start, \"end\" FROM (SELECT id, q.chrom + 1 AS chrom, q.bstart * 2 + 2 * (greatest(start, bstart) - bstart) AS start, q.bstart * 2 + 2 * (least(\"end\", bend) - bstart) AS \"end\", row_number() OVER (PARTITION BY id ORDER BY least(\"end\", bend) - greatest(start, bstart) DESC, bstart) AS r FROM (SELECT read_id AS id, c1 AS chrom, p1 AS start, p1 + 30000 AS \"end\" FROM base WHERE read_id % 10 = 1) s JOIN (SELECT c.range::int AS chrom, k.range * 250000 AS bstart, k.range * 250000 + 200000 AS bend FROM range(5) c, range(8) k) q ON q.chrom = s.chrom AND least(\"end\", bend) - greatest(start, bstart) > 10) WHERE r = 1", "base"))
+@query(sql("SELECT id, chrom, start, \"end\" FROM (SELECT id, q.chrom + 1 AS chrom, q.bstart * 2 + 2 * (greatest(start, bstart) - bstart) AS start, q.bstart * 2 + 2 * (least(\"end\", bend) - bstart) AS \"end\", row_number() OVER (PARTITION BY id ORDER BY least(\"end\", bend) - greatest(start, bstart) DESC, bstart) AS r FROM (SELECT read_id AS id, min(c1) AS chrom, min(p1) AS start, min(p1) + 30000 AS \"end\" FROM base WHERE read_id % 10 = 1 GROUP BY 1) s JOIN (SELECT c.range::int AS chrom, k.range * 250000 AS bstart, k.range * 250000 + 200000 AS bend FROM range(5) c, range(8) k) q ON q.chrom = s.chrom AND least(\"end\", bend) - greatest(start, bstart) > 10) WHERE r = 1", "base"))
 def lifted_segments(s, d):
-    segments = I.contacts(s, d).where("read_id % 10 = 1").select(F.col("read_id").alias("id"), F.col("c1").alias("chrom"), F.col("p1").alias("start"), (F.col("p1") + 30_000).alias("end"))
+    rows = I.contacts(s, d).where("read_id % 10 = 1").groupBy(F.col("read_id").alias("id"))
+    segments = rows.agg(F.min("c1").alias("chrom"), F.min("p1").alias("start"), (F.min("p1") + 30_000).alias("end"))
     k = F.col("id") % 8 * 250_000
     blocks = s.range(40).select(
         F.expr("cast(id div 8 as int)").alias("chrom"), k.alias("bstart"), (k + 200_000).alias("bend"), F.expr("cast(id div 8 as int) + 1").alias("tchrom"),

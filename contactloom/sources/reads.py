@@ -8,9 +8,10 @@ from pyspark.sql import types as T
 
 from contactloom.functions.text import enzyme, motif_regex
 
-ENDS = T.StructType.fromDDL("name string, chrom string, pos long, strand int, len int, rs long, re long")
-PAIRS = T.StructType.fromDDL(
-    "read_id string, c1 string, p1 long, s1 int, l1 int, rs1 long, re1 long, c2 string, p2 long, s2 int, l2 int, rs2 long, re2 long"
+_END = [("chrom", "c", T.StringType()), ("pos", "p", T.LongType()), ("strand", "s", T.IntegerType()), ("len", "l", T.IntegerType()), ("rs", "rs", T.LongType()), ("re", "re", T.LongType())]
+ENDS = T.StructType([T.StructField("name", T.StringType()), *[T.StructField(name, kind) for name, _, kind in _END]])
+PAIRS = T.StructType(
+    [T.StructField("read_id", T.StringType()), *[T.StructField(f"{short}{k}", kind) for k in (1, 2) for _, short, kind in _END]]
 )
 #: Width of the buckets on which a position meets its restriction fragment.
 CHUNK = 100_000
