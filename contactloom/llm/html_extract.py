@@ -6,7 +6,7 @@ subtree occurs on.  Subtrees that recur on ``MIN_PAGES`` such pages of a host ar
 template and are deleted, as are elements that are boilerplate by their tag, role,
 class or id.  Pages that are copies of each other count once, and paragraphs,
 headings and long passages inside an article are never counted as template, so that
-articles shared between pages stay whole.  Of what is left the article (or main)
+articles shared between pages stay whole; nor are long paragraphs elsewhere.  Of what is left the article (or main)
 element is taken if the page has one, else the body.
 
 Text blocks are joined in page order by one line feed; white space inside a block
@@ -166,6 +166,8 @@ def candidates(root: Node):
             continue
         if inside and (node.tag in TEXT_BLOCKS or len(_plain(node)) >= SHORT):
             continue
+        if node.tag in TEXT_BLOCKS and len(_plain(node)) >= SHORT:
+            continue
         text = subtree_text(node)
         if text:
             yield node, xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
@@ -187,8 +189,8 @@ def signature(root: Node) -> int:
     """Hash of the page's main content: pages with the same one count once."""
     main = main_node(root)
     if main is None:
-        long = [_plain(n) for n, _ in _walk(root) if n.tag in TEXT_BLOCKS and not n.noise]
-        return xxhash.xxh64_intdigest("\n".join(t for t in long if len(t) >= SHORT // 4).encode("utf-8", "replace"))
+        said = [_plain(n) for n, _ in _walk(root) if n.tag in TEXT_BLOCKS and not n.noise]
+        return xxhash.xxh64_intdigest("\n".join(said or [_plain(root)]).encode("utf-8", "replace"))
     return xxhash.xxh64_intdigest(_plain(main).encode("utf-8", "replace"))
 
 
@@ -310,7 +312,7 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, max_broadcast: int =
     # Too many to broadcast: each page gets its own keys, over salted keys of the template table.
     plain = plain.withColumn("__page", F.xxhash64("__host", "__html"))
     own = plain.mapInArrow(_page_keys, "__page long, key long").distinct().withColumn("salt", F.pmod("__page", F.lit(SALTS)))
-    salted = templates(pages, min_pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    salted = templates(pages, min_pages).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     sets = own.join(salted, ["key", "salt"]).groupBy("__page").agg(F.collect_list("key").alias("__keys"))
     return plain.join(sets, "__page", "left").mapInArrow(_extract_batches(names, None, True), schema)
 
