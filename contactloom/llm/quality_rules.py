@@ -108,13 +108,14 @@ def _count(rows: list[dict], rule: list[Condition]) -> tuple[int, int]:
 
 
 def _best_condition(rows: list[dict], features: list[str]) -> tuple[float, Condition] | None:
-    """The threshold with the largest FOIL gain for the rejected class."""
+    """The threshold with the largest FOIL gain for the rejected class; of equal ones, that in the widest gap of its feature's range."""
     bad = sum(r["label"] == 0 for r in rows)
     if not bad or bad == len(rows):
         return None
     before, best = math.log2(bad / len(rows)), None
     for f in features:
         values = sorted((r[f], r["label"]) for r in rows)
+        span = (values[-1][0] - values[0][0]) or 1.0
         p = n = 0
         for (v, label), (following, _) in zip(values, values[1:], strict=False):
             p, n = p + (label == 0), n + (label == 1)
@@ -124,9 +125,10 @@ def _best_condition(rows: list[dict], features: list[str]) -> tuple[float, Condi
             for op, a, b in (("<", p, n), (">=", bad - p, len(rows) - bad - n)):
                 if a:
                     gain = a * (math.log2(a / (a + b)) - before)
-                    if best is None or gain > best[0] + 1e-9:
-                        best = (gain, (f, op, cut))
-    return best
+                    merit = (round(gain, 6), (following - v) / span)
+                    if best is None or merit > best[0]:
+                        best = (merit, (f, op, cut))
+    return best and (best[0][0], best[1])
 
 
 def learn(rows: list[dict], features: list[str] | None = None) -> list[list[Condition]]:
