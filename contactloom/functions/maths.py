@@ -106,3 +106,12 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
     top = max(logs, default=-math.inf)
     return math.exp(top) * sum(math.exp(v - top) for v in logs) if logs else 0.0
+
+
+def likely_enzymes(hits: dict[str, int], reads: int, lengths: dict[str, int], level: float = 1e-6) -> list[tuple[str, float]]:
+    """(enzyme, p) of enzymes whose filled end starts more reads than chance allows, the most likely first.
+
+    By chance a read starts with a motif of n known bases with probability 4^-n.
+    """
+    tested = [(name, binomial_tail(k, reads, 0.25 ** lengths[name])) for name, k in hits.items()]
+    return sorted(((n, p) for n, p in tested if p < level), key=lambda x: (x[1], -hits[x[0]] * 4.0 ** lengths[x[0]], x[0]))

@@ -90,3 +90,38 @@ def reproducibility(first: DataFrame, second: DataFrame, bins: DataFrame, n: int
     """(chrom, score): 1 - distance of the Laplacian eigenvectors / sqrt(2), vectors on too few bins left out."""
     rows = eigenvector_table(first, second, bins, n, True).where(f"x = y AND ipr_a > {min_ipr} AND ipr_b > {min_ipr}")
     return rows.groupBy("chrom").agg((1 - F.avg("distance") / 2**0.5).alias("score"), F.count("*").alias("vectors"))
+
+
+def structure_score(cells: DataFrame, bins: DataFrame, runs: int = 10) -> DataFrame:
+    """(chrom, excess, skewness, kurtosis, n): a map's spectrum against maps with shuffled diagonals, one chromosome a task.
+
+    ``excess`` is the mean of the leading eigenvalues beyond those of the shuffled
+    maps, relative to their sum; skewness and kurtosis are those of the log values.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from contactloom.operators.segment import _dense, chromosome_cells
+    from contactloom.shipping import ship
+
+    rows = chromosome_cells(cells, bins)
+    chrom = dict(rows.dtypes)["chrom"]
+
+    def kernel(key, pdf):
+        m = _dense(pdf)
+        n = len(m)
+        spectrum = lambda x: np.sort(np.abs(np.linalg.eigvalsh((x + x.T) / 2)))[::-1]
+        rng, random = np.random.default_rng(1), np.zeros(n)
+        for _ in range(runs):
+            x = np.zeros_like(m)
+            for k in range(n):
+                d = rng.permutation(np.diagonal(m, k))
+                x[np.arange(n - k), np.arange(k, n)] = d
+            random += spectrum(np.triu(x) + np.triu(x, 1).T) / runs
+        real = spectrum(m)
+        logs = np.log(m[np.triu_indices(n)][m[np.triu_indices(n)] > 0])
+        z = (logs - logs.mean()) / (logs.std() or 1.0) if len(logs) else np.zeros(1)
+        excess = float(np.maximum(real - random, 0).sum() / max(random.sum(), 1e-300))
+        return pd.DataFrame([(key[0], excess, float((z**3).mean()), float((z**4).mean() - 3), n)], columns=["chrom", "excess", "skewness", "kurtosis", "n"])
+
+    return ship(rows).groupBy("chrom").applyInPandas(kernel, f"chrom {chrom}, excess double, skewness double, kurtosis double, n long")

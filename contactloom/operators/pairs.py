@@ -228,3 +228,21 @@ def intersect(ends1: DataFrame, ends2: DataFrame) -> DataFrame:
         for source, target in (("chrom", "c"), ("pos", "p"), ("strand", "s"), ("len", "l"), ("rs", "rs"), ("re", "re"))
     ]
     return oriented(made.select(name.alias("read_id"), *columns))
+
+
+def flags_from_lists(pairs: DataFrame, lists: dict[int, DataFrame]) -> DataFrame:
+    """Pairs with the flag of the read-id lists (column read_id) that name them, one list per filter."""
+    from functools import reduce
+
+    marks = [df.select("read_id", F.lit(1 << (k - 1)).alias("bit")) for k, df in lists.items()]
+    if not marks:
+        return pairs.withColumn("flag", F.lit(0))
+    flags = reduce(DataFrame.unionByName, marks).groupBy("read_id").agg(F.bit_or("bit").alias("flag"))
+    return pairs.join(flags, "read_id", "left").withColumn("flag", F.coalesce("flag", F.lit(0)))
+
+
+def uniquely_mapped(hits: Column | None = None, mapq: Column | None = None, least: int = 4) -> Column:
+    """Whether a read maps once: by its match string (``1`` first among the counts above zero) or its mapping quality."""
+    if hits is not None:
+        return hits.rlike(r"^(?:0:)*1(?:[:+].*)?$")
+    return mapq >= least

@@ -180,3 +180,34 @@ def interaction_pairs(cells: DataFrame, cutoff: float | None = None, diagonal: b
     kept = cells if diagonal else cells.where("i <> j")
     kept = kept.where("i <= j") if uniq else kept
     return kept if cutoff is None else kept.where(F.col("v") > cutoff)
+
+
+def bias_region(bias: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Biases of the bins lo .. hi - 1, numbered from 0."""
+    return bias.where((F.col("bin") >= lo) & (F.col("bin") < hi)).withColumn("bin", F.col("bin") - lo)
+
+
+def region_name(chrom1: str, start1: int | None = None, end1: int | None = None, *other) -> str:
+    """File-name part of one or two regions."""
+    part = lambda c, a, b: c if a is None else f"{c}:{a}-{b}"
+    second = (part(*other) if len(other) == 3 else other[0]) if other else None
+    return part(chrom1, start1, end1) + (f"_{second}" if second else "")
+
+
+def binary_contacts(cells: DataFrame) -> DataFrame:
+    """(i, j) of the upper-triangle cells above the median value."""
+    upper_ = cells.where("i < j")
+    middle = upper_.agg(F.median("v").alias("m"))
+    return upper_.crossJoin(F.broadcast(middle)).where(F.col("v") > F.col("m")).select("i", "j")
+
+
+def randomized(cells: DataFrame, bins: DataFrame, seed: int = 1) -> DataFrame:
+    """Cis values of the upper triangle shuffled within their chromosome's diagonal: each value moves to another cell of it."""
+    from pyspark.sql import Window
+
+    chrom = lambda s: bins.select(F.col("bin").alias(s), F.col("chrom").alias(f"c{s}"))
+    cis = cells.where("i <= j").join(chrom("i"), "i").join(chrom("j"), "j").where("ci = cj").withColumn("dist", F.col("j") - F.col("i"))
+    place = Window.partitionBy("ci", "dist")
+    rows = cis.withColumns({"at": F.row_number().over(place.orderBy("i")), "to": F.row_number().over(place.orderBy(F.xxhash64("i", "j", F.lit(seed)), "i"))})
+    values = rows.select("ci", "dist", F.col("to").alias("at"), F.col("v").alias("w"))
+    return rows.select("ci", "dist", "at", "i", "j").join(values, ["ci", "dist", "at"]).select("i", "j", F.col("w").alias("v"))

@@ -544,3 +544,44 @@ def model_accessibility(s, d):
 def restraint_table(s, d):
     z = pixels.zscores(pixels.crop(_full(s, d), (0, 32, 0, 32))).where("i < j")
     return restraints.restraints(z, 32, 50.0, 500.0, 0.5, -0.5).select("i", "j", "type", _r("kforce"), _r("dist"))
+
+
+@query(sql("SELECT bin - 32 AS bin, round(b, 9) AS b FROM bias WHERE bin >= 32 AND bin < 64", *_B))
+def bias_region(s, d):
+    return pixels.bias_region(_bias(s, d), 32, 64).select("bin", _r("b", 9))
+
+
+@query(sql("SELECT i, j FROM full_ WHERE i < j AND v > (SELECT median(v) FROM full_ WHERE i < j)", "base", "half", "full_"))
+def binary_contacts(s, d):
+    return pixels.binary_contacts(_full(s, d))
+
+
+@query()
+def randomized_map(s, d):
+    return pixels.randomized(_half(s, d), I.bins(s))
+
+
+@query()
+def structure_score(s, d):
+    return compare.structure_score(_full(s, d), I.bins(s)).select("chrom", _r("excess", 4), _r("skewness", 4), _r("kurtosis", 4), "n")
+
+
+@query(sql("SELECT read_id, ((read_id % 2 = 0)::int * 1 + (read_id % 3 = 0)::int * 256)::int AS flag FROM base WHERE read_id % 5 = 0", "base"))
+def flags_from_lists(s, d):
+    rows = I.contacts(s, d).where("read_id % 5 = 0")
+    ids = I.contacts(s, d).select("read_id").distinct()
+    return pairs.flags_from_lists(rows, {1: ids.where("read_id % 2 = 0"), 9: ids.where("read_id % 3 = 0")}).select("read_id", "flag")
+
+
+@query(sql("SELECT t.pos, p.chrom, p.rs, p.re FROM (SELECT DISTINCT c1 AS chrom, p1 AS pos FROM base) t JOIN (SELECT chrom, rs, re FROM (SELECT c.range::int AS chrom, k.range * 1000 + (k.range % 7) * 100 + 1 AS rs, lead(k.range * 1000 + (k.range % 7) * 100 + 1) OVER (PARTITION BY c.range ORDER BY k.range) AS re FROM range(5) c, range(2100) k) WHERE re IS NOT NULL) p ON p.chrom = t.chrom AND t.pos > p.rs AND t.pos <= p.re", "base"))
+def fragment_lookup(s, d):
+    from pyspark.sql import Window
+
+    from contactloom.sources import reads
+
+    k = F.col("id") % 2100
+    sites = s.range(5 * 2100).select(F.expr("cast(id div 2100 as int)").alias("chrom"), (k * 1000 + k % 7 * 100 + 1).alias("start"))
+    frags = sites.withColumn("end", F.lead("start").over(Window.partitionBy("chrom").orderBy("start"))).where("end IS NOT NULL")
+    ends = I.contacts(s, d).select(F.col("c1").alias("chrom"), F.col("p1").alias("pos")).distinct()
+    ends = ends.select(F.lit("r").alias("name"), "chrom", "pos", F.lit(1).alias("strand"), F.lit(50).alias("len"))
+    return reads.with_fragment(ends, frags).where("rs IS NOT NULL AND pos > rs").select("pos", "chrom", "rs", "re")

@@ -8,10 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line number, text); Spark reads gz and bz2 by themselves."""
-    return spark.read.text(path).select(F.col("value").alias("text"), F.monotonically_increasing_id().alias("n"))
+from contactloom.sources.lines import numbered
 
 
 def header(spark: SparkSession, path: str) -> dict:
@@ -62,18 +59,16 @@ def read_dense(spark: SparkSession, path: str, symmetrize: bool = True) -> DataF
     Values are rounded half up; missing ones are 0.  An asymmetric matrix is summed
     with its transpose.  Two lines are read on the driver to tell names from values.
     """
-    body = _lines(spark, path).where(~F.col("text").startswith("#") & (F.trim("text") != ""))
-    head = [r["text"].split("\t") for r in body.orderBy("n").limit(2).collect()]
+    lines = spark.read.text(path).select(F.col("value").alias("text")).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    body = numbered(lines, "i")
+    head = [r["text"].split("\t") for r in body.orderBy("i").limit(2).collect()]
     number = re.compile(r"^(?:[+-]?\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|nan|NaN|NA|NAN)$")
     has_header = bool(head) and not all(number.match(x.strip()) for x in head[0][1:] or head[0])
     sample = head[1] if has_header and len(head) > 1 else head[0]
     names = next((k for k, x in enumerate(sample) if number.match(x.strip())), len(sample))
     if has_header and names == 0 and len(head[0]) + 1 == len(sample):
         names = 1
-    from pyspark.sql import Window
-
-    rows = body.withColumn("i", F.row_number().over(Window.orderBy("n")) - 1)
-    rows = rows.where("i > 0").withColumn("i", F.col("i") - 1) if has_header else rows
+    rows = body.where("i > 0").withColumn("i", F.col("i") - 1) if has_header else body
     cells = rows.select("i", F.posexplode(F.slice(F.split("text", "\t"), names + 1, 2**31 - 1)).alias("j", "x"))
     value = F.floor(F.expr("try_cast(trim(x) AS double)") + 0.5)
     cells = cells.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.when(F.isnan(value), None).otherwise(value).alias("v")).where("v <> 0")

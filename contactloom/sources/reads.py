@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contactloom.functions.text import enzyme, motif_regex
+from contactloom.sources.lines import numbered
 
 _END = [("chrom", "c", T.StringType()), ("pos", "p", T.LongType()), ("strand", "s", T.IntegerType()), ("len", "l", T.IntegerType()), ("rs", "rs", T.LongType()), ("re", "re", T.LongType())]
 ENDS = T.StructType([T.StructField("name", T.StringType()), *[T.StructField(name, kind) for name, _, kind in _END]])
@@ -101,7 +102,7 @@ def read_sam(spark: SparkSession, path: str, min_quality: int = 0) -> DataFrame:
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(name, seq, qual): records of four lines, told apart by their line number."""
-    lines = spark.read.text(path).withColumn("n", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1)
+    lines = numbered(spark.read.text(path))
     record = lines.groupBy(F.floor(F.col("n") / 4).alias("r")).agg(*[F.max(F.when(F.col("n") % 4 == k, F.col("value"))).alias(c) for k, c in ((0, "name"), (1, "seq"), (3, "qual"))])
     return record.select(F.regexp_replace("name", "^@", "").alias("name"), "seq", "qual")
 
