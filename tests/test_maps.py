@@ -148,3 +148,36 @@ def test_normalise_verb_and_regions(cells, bins):
     tables = verbs.normalise(half, bins, "ice", iterations=3)
     for kind in ("raw", "norm", "decay"):
         assert verbs.region(half, bins, tables, (0, 12, 0, 12), kind).count() == 144
+
+
+def test_shuffled_diagonals_keep_their_values(cells, dense, bins):
+    from collections import Counter
+
+    rows = pixels.randomized(cells, bins).collect()
+    assert len(rows) == 2 * 12 * 13 // 2
+    found, want = Counter(), Counter()
+    for r in rows:
+        found[(r.i // 12, r.j - r.i, r.v)] += 1
+    for o in (0, 12):
+        for i in range(12):
+            for j in range(i, 12):
+                want[(o // 12, j - i, float(dense[o + i, o + j]))] += 1
+    assert found == want
+    assert any(r.v != dense[r.i, r.j] for r in rows)
+
+
+def test_structure_score_of_blocks(spark, bins):
+    m = np.where(np.arange(24)[:, None] // 6 == np.arange(24)[None, :] // 6, 50.0, 5.0)
+    blocks = spark.createDataFrame([(int(i), int(j), float(v)) for (i, j), v in np.ndenumerate(m)], "i long, j long, v double")
+    flat = spark.createDataFrame([(i, j, 5.0) for i in range(24) for j in range(24)], "i long, j long, v double")
+    assert min(r.excess for r in compare.structure_score(blocks, bins).collect()) > 0.05
+    assert max(r.excess for r in compare.structure_score(flat, bins).collect()) < 1e-6
+
+
+def test_region_tables(spark, cells):
+    bias = spark.createDataFrame([(k, float(k)) for k in range(6)], "bin long, b double")
+    assert sorted(map(tuple, pixels.bias_region(bias, 2, 4).collect())) == [(0, 2.0), (1, 3.0)]
+    assert pixels.region_name("c1", 5, 9, "c2") == "c1:5-9_c2"
+    high = pixels.binary_contacts(cells)
+    middle = np.median([r.v for r in cells.where("i < j").collect()])
+    assert high.count() == cells.where(f"i < j AND v > {middle}").count()

@@ -88,3 +88,16 @@ def test_empty_pairs(spark):
     df = spark.createDataFrame([], PAIRS)
     assert pairs.classify(df).count() == 0
     assert pairs.filter_counts(pairs.classify(df)).count() == 0
+
+
+def test_flags_from_read_lists(spark):
+    reads = spark.createDataFrame([("a",), ("b",), ("c",)], "read_id string")
+    lists = {1: reads.where("read_id < 'c'"), 9: reads.where("read_id = 'b'")}
+    assert {r.read_id: r.flag for r in pairs.flags_from_lists(reads, lists).collect()} == {"a": 1, "b": 257, "c": 0}
+    assert pairs.flags_from_lists(reads, {}).where("flag <> 0").count() == 0
+
+
+def test_unique_hits(spark):
+    df = spark.createDataFrame([("1", 60), ("0:1", 3), ("2", 10), ("0", 0), ("1:2", 4), ("10", 1)], "hits string, mapq int")
+    found = df.select("hits", pairs.uniquely_mapped(df.hits).alias("u"), pairs.uniquely_mapped(mapq=df.mapq).alias("q")).collect()
+    assert {r.hits for r in found if r.u} == {"1", "0:1", "1:2"} and {r.hits for r in found if r.q} == {"1", "2", "1:2"}

@@ -151,3 +151,24 @@ def test_stream_of_pairs(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.i, r.j): r.v for r in spark.table("cells").collect()} == {(5, 25): 3, (5, 35): 1}
+
+
+def test_lines_are_numbered_over_partitions(spark, tmp_path):
+    from contactloom.sources.lines import numbered
+
+    (tmp_path / "t.txt").write_text("".join(f"{k}\n" for k in range(500)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256b")
+    try:
+        rows = numbered(spark.read.text(str(tmp_path / "t.txt")))
+        assert rows.rdd.getNumPartitions() > 1
+        assert all(int(r.value) == r.n for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_likely_enzymes():
+    from contactloom.functions.maths import likely_enzymes
+
+    found = likely_enzymes({"DpnII": 400, "HindIII": 3, "MseI": 30}, 1000, {"DpnII": 4, "HindIII": 5, "MseI": 3})
+    assert [name for name, _ in found] == ["DpnII"]
