@@ -47,6 +47,10 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus
 
 
+#: Partitions of a bounded sample: its statistics are gathered per task, so few tasks keep them small.
+SAMPLE_PARTITIONS = 16
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int) -> DataFrame:
     """At most ``limit`` labelled rows (doc_id, label, text), chosen by a hash of the id.
 

@@ -20,7 +20,7 @@ column has their name.
 from __future__ import annotations
 
 import operator
-import re
+import string
 import zlib
 from collections import Counter
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import cut, fold, labelled_sample, without
+from contactloom.llm.common import SAMPLE_PARTITIONS, cut, fold, labelled_sample, without
 from contactloom.shipping import ship
 
 MAX_ROWS = 8000
@@ -41,21 +41,25 @@ NONZERO = 6
 HIDDEN = 16
 THRESHOLD = 0.7
 CACHE = 200_000
+MAX_KEY = 1 << 20
+_SUMS = [f"s{k}" for k in range(DIM)]
+SYMBOLS = string.punctuation + "«»“”„’‘…–—¿¡"
 REPEAT = "<repeat>"
 
 
-def types(word: str) -> list[str]:
-    """Types of a word besides its core: shape of the core, capitals, symbols around it."""
-    core = re.sub(r"^\W+|\W+$", "", word)
-    symbols = re.sub(r"\w", "", word)[-3:]
-    found = [f"<{'d' if core.isdigit() else 'U' if len(core) > 1 and core.isupper() else 'w' if core.isalpha() else 'x'}{min(len(core), 12) // 4}>"] if core else []
-    if symbols:
-        found.append(f"<s{symbols}>")
-    return found
-
-
-def core(word: str) -> str:
-    return re.sub(r"^\W+|\W+$", "", word).lower()
+def types(word: str) -> tuple[str, str, str]:
+    """A word's core in lower case, its core's shape, and the symbols at its end; empty where there is none."""
+    core = word.strip(SYMBOLS)
+    if core == word:
+        symbols = ""
+    else:
+        symbols = f"<s{(word[len(word.rstrip(SYMBOLS)) :] if core else word)[-3:]}>"
+    if not core:
+        return "", "", symbols
+    kind = "w" if core.isalpha() else "d" if core.isdigit() else "x"
+    if len(core) > 1 and core.isupper():
+        kind = "U"
+    return core.lower(), f"<{kind}{min(len(core), 12) // 4}>", symbols
 
 
 def index_vector(name: str) -> np.ndarray:
@@ -69,12 +73,14 @@ def index_vector(name: str) -> np.ndarray:
 def _type_docs(batches):
     """Rows (type, docs) of a task's documents."""
     docs: Counter = Counter()
+    known: dict[str, tuple[str, str, str]] = {}
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            words = set((text or "").split())
-            found = {core(w) for w in words}
-            for w in words:
-                found.update(types(w))
+            found = set()
+            for w in set((text or "").split()):
+                if w not in known:
+                    known[w] = types(w)
+                found.update(known[w])
             docs.update(found)
     docs.pop("", None)
     yield pa.RecordBatch.from_arrays([pa.array(list(docs), pa.string()), pa.array(list(docs.values()), pa.int64())], ["type", "docs"])
@@ -96,7 +102,7 @@ class Vectors:
         return self.__dict__ | {"_rows": {}, "_sums": np.zeros((0, DIM), dtype=np.float32)}
 
     def of(self, word: str) -> list[int]:
-        return [i for t in (core(word), *types(word)) if (i := self.ids.get(t)) is not None]
+        return [i for t in types(word) if (i := self.ids.get(t)) is not None]
 
     def _learn(self, words: list[list[str]]) -> None:
         """Remember the summed vectors of a batch's words, in a bounded cache."""
@@ -109,8 +115,10 @@ class Vectors:
                     rows[w] = len(rows)
                     new.append(w)
         if new:
-            sums = np.array([self.vectors[self.of(w)].sum(axis=0) for w in new], dtype=np.float32)
-            self._sums = np.concatenate([self._sums, sums])
+            get, none = self.ids.get, len(self.vectors)
+            ids = np.array([[get(t, none) for t in types(w)] for w in new])
+            padded = np.r_[self.vectors, np.zeros((1, DIM))].astype(np.float32)
+            self._sums = np.concatenate([self._sums, padded[ids[:, 0]] + padded[ids[:, 1]] + padded[ids[:, 2]]])
 
     def pool(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), DIM))
@@ -127,20 +135,32 @@ class Vectors:
 
 
 def _contexts(vectors: Vectors):
-    """Rows (type id, sums): neighbours' index vectors in a window of one word on either side."""
+    """Rows (type id, one rounded sum per dimension): neighbours' index vectors in a window of one word on either side."""
 
     def run(batches):
         sums = np.zeros_like(vectors.vectors)
+        known: dict[str, int] = {}
         for batch in batches:
+            seen = []
             for text in batch.column("text").to_pylist():
-                seen = [vectors.of(w)[:1] for w in (text or "").split()]
-                ids = np.array([s[0] if s else -1 for s in seen], dtype=np.int64)
-                a, b = ids[:-1], ids[1:]
-                ok = (a >= 0) & (b >= 0)
-                np.add.at(sums, a[ok], vectors.vectors[b[ok]])
-                np.add.at(sums, b[ok], vectors.vectors[a[ok]])
+                words = (text or "").split()
+                for w in set(words):
+                    if w not in known:
+                        known[w] = next(iter(vectors.of(w)), -1)
+                seen.append(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)))
+                seen.append(np.array([-1]))
+            ids = np.concatenate(seen) if seen else np.zeros(0, dtype=np.int64)
+            a, b = ids[:-1], ids[1:]
+            ok = (a >= 0) & (b >= 0)
+            pairs, n = np.unique(np.r_[a[ok] * MAX_KEY + b[ok], b[ok] * MAX_KEY + a[ok]], return_counts=True)
+            if len(pairs):
+                left, right = pairs // MAX_KEY, pairs % MAX_KEY
+                first = np.flatnonzero(np.r_[True, left[1:] != left[:-1]])
+                sums[left[first]] += np.add.reduceat(vectors.vectors[right] * n[:, None], first, axis=0)
         used = np.flatnonzero(np.abs(sums).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(sums[used]), pa.list_(pa.float64()))], ["id", "sums"])
+        # Rounded, so that the order in which tasks are added does not matter.
+        columns = [pa.array(used), *[pa.array(np.rint(sums[used, k]).astype(np.int64)) for k in range(DIM)]]
+        yield pa.RecordBatch.from_arrays(columns, ["id", *_SUMS])
 
     return run
 
@@ -148,7 +168,7 @@ def _contexts(vectors: Vectors):
 class Network:
     """tanh layer and logistic output with a temperature."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, held: np.ndarray, steps: int = 400, rate: float = 0.02):
+    def __init__(self, x: np.ndarray, y: np.ndarray, held: np.ndarray, steps: int = 200, rate: float = 0.03):
         rng = np.random.default_rng(7)
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 0.05
         shapes = [(x.shape[1], HIDDEN), (HIDDEN,), (HIDDEN,), (1,)]
@@ -190,7 +210,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS) -> Model:
-    sample = cut(labelled_sample(ship(docs), labels, "quality", fold(F.col("doc_id"), 4) != 2, limit))
+    sample = cut(labelled_sample(ship(docs), labels, "quality", fold(F.col("doc_id"), 4) != 2, limit).repartition(SAMPLE_PARTITIONS))
     names = (
         sample.mapInArrow(_type_docs, "type string, docs long")
         .groupBy("type")
@@ -201,18 +221,14 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS) -> Model:
         .collect()
     )
     vectors = Vectors([r["type"] for r in names])
-    # Sums are rounded before they are added, so that the order of the tasks does not matter.
     added = (
-        sample.mapInArrow(_contexts(vectors), "id long, sums array<double>")
-        .select("id", F.posexplode("sums").alias("k", "s"))
-        .groupBy("id", "k")
-        .agg(F.sum(F.round("s").cast("long")).alias("s"))
+        sample.mapInArrow(_contexts(vectors), "id long, " + ", ".join(f"{c} long" for c in _SUMS))
         .groupBy("id")
-        .agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("sums"))
+        .agg(*[F.sum(c).alias(c) for c in _SUMS])
         .collect()
     )
     for r in added:
-        total = np.array([x["s"] for x in r["sums"]], dtype=float)
+        total = np.array(r[1:], dtype=float)
         norm = np.linalg.norm(total)
         if norm:
             vectors.vectors[r["id"]] += 0.5 * np.sqrt(NONZERO) * total / norm

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import cut, fold, labelled_sample, without
+from contactloom.llm.common import SAMPLE_PARTITIONS, cut, fold, labelled_sample, without
 from contactloom.shipping import ship
 
 MAX_ROWS = 8000
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS) -> Model:
     """The model from at most ``limit`` / 2 labelled rows of either class, so that both rest on like counts."""
     train = fold(F.col("doc_id"), 5) != 0
     parts = [labelled_sample(ship(docs), labels, "toxic", train & (F.col("toxic") == c), limit // 2) for c in (0, 1)]
-    sample = cut(parts[0].unionByName(parts[1]))
+    sample = cut(parts[0].unionByName(parts[1]).repartition(SAMPLE_PARTITIONS))
     share = labels.where(train).agg(F.avg("toxic")).first()[0]
     share = float(np.clip(0.1 if share is None else share, 0.01, 0.99))
     counted = F.pmod(F.xxhash64("doc_id", F.lit("kn")), F.lit(4)) != 0
