@@ -41,6 +41,7 @@ UNITS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+")
 #: Characters of units that are indexed at once, and units that a worker remembers.
 CHUNK = 300_000
 CACHE = 300_000
+PAIRS = 2_000_000
 #: Text that is encoded before a batch is handed back.
 BATCH_CHARS = 4_000_000
 
@@ -69,7 +70,8 @@ class Vocabulary:
         for row, p in zip(chars, known, strict=True):
             row[: len(p)] = np.frombuffer(p.encode("utf-32-le"), dtype=np.uint32)
         self.chars = chars
-        self._pairs: dict[int, bool] = {}
+        #: judged pairs of pieces, sorted, and whether they are compatible
+        self._keys, self._known = np.array([-1]), np.zeros(1, dtype=bool)
         self.cache: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -90,19 +92,26 @@ class Vocabulary:
         """Whether pieces follow each other in an encoding; before: -1 at a unit's start, -2 after a foreign character."""
         n = len(self.pieces)
         keys, back = np.unique((np.maximum(before, -1) + 1) * n + piece, return_inverse=True)
-        ok = np.empty(len(keys), dtype=bool)
-        pairs, pieces = self._pairs, self.pieces
-        for k, key in enumerate(keys.tolist()):
-            found = pairs.get(key)
-            if found is None:
-                left, right = divmod(key, n)
-                p = pieces[right]
-                found = self.merge(p) == [p] if left == 0 else self.merge(pieces[left - 1] + p) == [pieces[left - 1], p]
-                if len(pairs) > 2_000_000:
-                    pairs.clear()
-                pairs[key] = found
-            ok[k] = found
-        return ok[back]
+        at = np.searchsorted(self._keys, keys)
+        at[at == len(self._keys)] = 0
+        new = self._keys[at] != keys
+        if new.any():
+            added = keys[new]
+            found = np.fromiter(map(self._compatible, added.tolist()), dtype=bool, count=len(added))
+            if len(self._keys) > PAIRS:
+                self._keys, self._known = np.array([-1]), np.zeros(1, dtype=bool)
+            every = np.r_[self._keys, added]
+            order = np.argsort(every, kind="stable")
+            self._keys, self._known = every[order], np.r_[self._known, found][order]
+            at = np.searchsorted(self._keys, keys)
+            if (self._keys[np.minimum(at, len(self._keys) - 1)] != keys).any():  # the table was emptied
+                return np.fromiter(map(self._compatible, keys.tolist()), dtype=bool, count=len(keys))[back]
+        return self._known[at][back]
+
+    def _compatible(self, key: int) -> bool:
+        left, right = divmod(key, len(self.pieces))
+        p = self.pieces[right]
+        return self.merge(p) == [p] if left == 0 else self.merge(self.pieces[left - 1] + p) == [self.pieces[left - 1], p]
 
     def occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, piece) of every occurrence of every piece in ``text``."""
@@ -112,7 +121,7 @@ class Vocabulary:
         while True:
             key = rank * (n + 2)
             key[: n - step] += rank[step:] if step < n else 0
-            suffixes = np.argsort(key, kind="stable")
+            suffixes = np.argsort(key)
             ordered = key[suffixes]
             rank = np.empty(n, dtype=np.int64)
             rank[suffixes] = np.cumsum(np.r_[1, ordered[1:] != ordered[:-1]])
@@ -164,7 +173,8 @@ class Vocabulary:
         start, end = np.r_[start, foreign], np.r_[end, foreign + 1]
         piece = np.r_[piece, np.full(len(foreign), -2)]
         offset = end - starts[unit_of[start]]
-        order = np.lexsort((start, offset))
+        narrow = offset.astype(np.uint16) if offset.max(initial=0) < 65536 else offset
+        order = np.argsort(narrow, kind="stable")
         start, end, piece, offset = start[order], end[order], piece[order], offset[order]
         last = np.full(len(text) + 1, -3, dtype=np.int64)
         back = np.zeros(len(text) + 1, dtype=np.int64)
@@ -180,18 +190,33 @@ class Vocabulary:
             ask = np.flatnonzero((p >= 0) & (before != -2))
             ok[ask] = self.compatible(before[ask], p[ask])
             last[e[ok]], back[e[ok]] = p[ok], s[ok]
-        return [self._path(text, last, back, int(a), int(b)) for a, b in zip(starts, ends, strict=True)]
-
-    def _path(self, text, last, back, start: int, end: int) -> bytes:
-        path: list[int] = []
-        while end > start:
-            p, s = int(last[end]), int(back[end])
-            if p >= 0:
-                path.append(p)
-            else:
-                path.extend(self.bytes_at[b] for b in reversed(chr(text[s]).encode("utf-8", "replace")))
-            end = s
-        return np.array(path[::-1], dtype=np.int32).tobytes()
+        return self._paths(text, last, back, starts, ends)
+
+    def _paths(self, text, last, back, starts, ends) -> list[bytes]:
+        """Packed ids of every unit: all units are walked back at once, one piece a step."""
+        unit, at = np.arange(len(starts)), np.asarray(ends, dtype=np.int64)
+        units, pieces, places = [], [], []
+        while len(unit):
+            units.append(unit)
+            pieces.append(last[at])
+            at = back[at]
+            places.append(at)
+            more = at > starts[unit]
+            unit, at = unit[more], at[more]
+        steps = np.repeat(np.arange(len(units)), [len(u) for u in units])
+        unit, piece, place = np.concatenate(units), np.concatenate(pieces), np.concatenate(places)
+        order = np.lexsort((-steps, unit))
+        unit, piece, place = unit[order], piece[order], place[order]
+        foreign = np.flatnonzero(piece < 0)
+        if len(foreign):
+            spelled = [[self.bytes_at[b] for b in chr(c).encode("utf-8", "replace")] for c in text[place[foreign]].tolist()]
+            count = np.ones(len(piece), dtype=np.int64)
+            count[foreign] = [len(x) for x in spelled]
+            unit, piece = np.repeat(unit, count), np.repeat(piece, count)
+            piece[piece < 0] = np.concatenate(spelled)
+        cuts = 4 * np.r_[0, np.cumsum(np.bincount(unit, minlength=len(starts)))]
+        packed, cuts = piece.astype(np.int32).tobytes(), cuts.tolist()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [UNITS.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
