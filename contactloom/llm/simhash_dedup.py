@@ -73,13 +73,14 @@ def _fingerprint_batches(batches):
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         prints = np.fromiter((majority(shingle_hashes(t.as_py())) for t in texts), dtype=np.uint64, count=len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        kept = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(prints.view(np.int64))], [*kept, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed 64-bit integer."""
-    return ship(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _fingerprint_batches, "doc_id long, fp long"
+def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, the carried long columns, fp) with the fingerprint as a signed 64-bit integer."""
+    return ship(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *carried, "text").mapInArrow(
+        _fingerprint_batches, ", ".join(f"{c} long" for c in ("doc_id", *carried, "fp"))
     )
 
 
@@ -207,30 +208,39 @@ def links(prints: DataFrame, n: int) -> DataFrame:
     return sent.repartition(F.col("bucket")).mapInArrow(_receive(prefix), "a long, b long").distinct()
 
 
+def _rooted(distinct: DataFrame) -> DataFrame:
+    """The distinct fingerprints with the root of their component; ``distinct`` is read more than once."""
+    roots = components(links(distinct.select("fp"), distinct.count()))
+    joined = distinct.join(roots, distinct["fp"] == roots["node"], "left")
+    return joined.select(*[distinct[c] for c in distinct.columns], F.coalesce("root", "fp").alias("root"))
+
+
 def decide(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id), one row per document."""
     prints = cut(fingerprints(docs))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("fp"), distinct.count()))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _rooted(cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"))))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; of rows that repeat it, one."""
-    found = decide(docs)
-    keepers = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    """One row of every component: the one of the smallest id (null ids last), then of the smallest row hashes.
+
+    A row is known by two hashes of all its columns, never by its id, which rows
+    of other components can share.  Of rows that repeat in all columns one stays.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names)
-    doc_id = names[docs.columns.index("doc_id")]
-    one = Window.partitionBy(doc_id).orderBy(F.xxhash64(*names))
+    hashed = docs.toDF(*names).withColumns({"__h": F.xxhash64(*names), "__g": F.xxhash64(F.lit(SEED), *names)})
+    where = {n: names[docs.columns.index(n)] for n in ("doc_id", "text")}
+    prints = fingerprints(hashed.select(*[F.col(c).alias(n) for n, c in where.items()], "__h", "__g"), "__h", "__g")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__h", "__g")
+    rooted = _rooted(cut(prints.groupBy("fp").agg(F.min(rank).alias("best"))))
+    keepers = rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.__h", "best.__g")
+    same = Window.partitionBy("__h", "__g").orderBy("__h")
     return (
-        plain.join(keepers, plain[doc_id].eqNullSafe(keepers["__id"]), "left_semi")
-        .withColumn("__n", F.row_number().over(one))
+        hashed.join(keepers, ["__h", "__g"], "left_semi")
+        .withColumn("__n", F.row_number().over(same))
         .where("__n = 1")
         .select(*[F.col(a).alias(c) for a, c in zip(names, docs.columns, strict=True)])
     )

@@ -93,6 +93,18 @@ def test_simhash_agrees_with_brute_force(spark):
     assert simhash_dedup.decide(df.limit(0)).count() == 0
 
 
+def test_one_row_of_every_component_stays_whatever_its_id(spark):
+    rng = random.Random(21)
+    text = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(60))
+    nulls, shared, copied = [text() for _ in range(3)], [text() for _ in range(2)], text()
+    rows = [(None, t) for t in nulls] + [(7, t) for t in shared]
+    # id 5 is a near copy of id 3 and also the id of an unrelated text; null ids lose against 3.
+    rows += [(3, copied), (5, copied + "  "), (5, text()), (None, copied.upper()), (9, "same row"), (9, "same row")]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    kept = sorted((str(r.doc_id), r.text) for r in simhash_dedup.keep_one(df).collect())
+    assert kept == sorted((str(i), t) for i, t in [*rows[:6], rows[7], rows[9]])
+
+
 @pytest.mark.parametrize(("prefix", "chunk"), [(8, 4_000_000), (9, 2000), (12, 500)])
 def test_balls_meet_for_all_near_fingerprints(monkeypatch, prefix, chunk):
     import numpy as np
