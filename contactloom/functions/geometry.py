@@ -62,9 +62,11 @@ def comparison(x: np.ndarray, y: np.ndarray, threshold: float, used: np.ndarray
     used = np.ones(len(x), dtype=bool) if used is None else used
     a, b = superposed(x, y, used)[used], y[used]
     d2 = ((a - b) ** 2).sum(axis=1)
-    dist = lambda m: np.sqrt(((m[:, None] - m[None]) ** 2).sum(axis=2))[np.triu_indices(len(m), 1)]
-    gap = dist(a) - dist(b)
-    return int((d2 < threshold**2).sum()), float(np.sqrt(d2.mean())), float(np.sqrt((gap**2).mean())) if len(gap) else 0.0
+    n, total = len(a), 0.0
+    for i in range(0, n, 256):  # rows of the distance matrices that are held at once
+        gap = [np.sqrt(((m[i : i + 256, None] - m[None, i:]) ** 2).sum(axis=2)) for m in (a, b)]
+        total += float((np.triu(gap[0] - gap[1], 1) ** 2).sum())
+    return int((d2 < threshold**2).sum()), float(np.sqrt(d2.mean())), math.sqrt(total / (n * (n - 1) / 2)) if n > 1 else 0.0
 
 
 def accessible(x: np.ndarray, radius: float, super_radius: float, points: int = 100) -> np.ndarray:

@@ -168,49 +168,60 @@ def volumes(particles: DataFrame, radius: float, grain: float = 20.0) -> DataFra
 
 
 def _packed(particles: DataFrame) -> DataFrame:
-    """(model, xyz): one array of coordinates per model, in particle order."""
-    ordered = F.sort_array(F.collect_list(F.struct("particle", "x", "y", "z")))
-    return particles.groupBy("model").agg(F.flatten(F.transform(ordered, lambda p: F.array(p["x"], p["y"], p["z"]))).alias("xyz"))
+    """(model, ids, xyz): the particles and one array of their coordinates per model, in particle order."""
+    packed = particles.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("particle", "x", "y", "z"))).alias("p"))
+    return packed.select("model", F.col("p.particle").alias("ids"), F.flatten(F.transform("p", lambda p: F.array(p["x"], p["y"], p["z"]))).alias("xyz"))
+
+
+def _model_pairs(particles: DataFrame) -> DataFrame:
+    packed = _packed(particles)
+    return packed.toDF("a", "ia", "xa").join(packed.toDF("b", "ib", "xb"), F.col("a") < F.col("b"))
+
+
+def _shared(ia, xa, ib, xb) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Particles that both models have, with their coordinates in either."""
+    ids, i, j = np.intersect1d(ia, ib, return_indices=True)
+    return ids, np.reshape(xa, (-1, 3))[i], np.reshape(xb, (-1, 3))[j]
 
 
 def model_scores(particles: DataFrame, threshold: float = 200.0) -> DataFrame:
     """(a, b, eqv, rmsd, drmsd, score) of all pairs of models after superposition; score = eqv * drmsd / rmsd, scaled by the maxima.
 
     Each model is sent once per pair as one packed row; the ensemble of the best
-    models is small by nature.
+    models is small by nature.  Models are compared on the particles that both have.
     """
-    packed = _packed(particles)
-    pairs = packed.toDF("a", "xa").join(packed.toDF("b", "xb"), F.col("a") < F.col("b"))
 
     @F.pandas_udf("eqv int, rmsd double, drmsd double")
-    def compare(xa: pd.Series, xb: pd.Series) -> pd.DataFrame:
-        rows = [geometry.comparison(np.reshape(p, (-1, 3)), np.reshape(q, (-1, 3)), threshold) for p, q in zip(xa, xb, strict=True)]
+    def compare(ia: pd.Series, xa: pd.Series, ib: pd.Series, xb: pd.Series) -> pd.DataFrame:
+        rows = []
+        for pair in zip(ia, xa, ib, xb, strict=True):
+            ids, p, q = _shared(*pair)
+            rows.append(geometry.comparison(p, q, threshold) if len(ids) else (0, None, None))
         return pd.DataFrame(rows, columns=["eqv", "rmsd", "drmsd"])
 
     ship(particles)
-    scored = pairs.select("a", "b", compare("xa", "xb").alias("c")).select("a", "b", "c.*")
+    scored = _model_pairs(particles).select("a", "b", compare("ia", "xa", "ib", "xb").alias("c")).select("a", "b", "c.*")
     top = Window.partitionBy()
     scale = F.try_divide(F.max("rmsd").over(top), F.max("drmsd").over(top))
     return scored.withColumn("score", F.coalesce(F.try_divide(F.col("eqv") * F.col("drmsd"), F.col("rmsd")) * scale, F.col("eqv").cast("double")))
 
 
 def consistency(particles: DataFrame, cutoff: float) -> DataFrame:
-    """(particle, share) of model pairs in which the particle is within ``cutoff`` after superposition."""
-    packed = _packed(particles)
-    pairs = packed.toDF("a", "xa").join(packed.toDF("b", "xb"), F.col("a") < F.col("b"))
+    """(particle, share) of the model pairs with the particle in which it is within ``cutoff`` after superposition."""
 
-    @F.pandas_udf("array<boolean>")
-    def near(xa: pd.Series, xb: pd.Series) -> pd.Series:
-        def one(p, q):
-            p, q = np.reshape(p, (-1, 3)), np.reshape(q, (-1, 3))
-            return ((geometry.superposed(p, q) - q) ** 2).sum(axis=1) <= cutoff**2
+    @F.pandas_udf("particle array<long>, ok array<boolean>")
+    def near(ia: pd.Series, xa: pd.Series, ib: pd.Series, xb: pd.Series) -> pd.DataFrame:
+        def one(pair):
+            ids, p, q = _shared(*pair)
+            ok = ((geometry.superposed(p, q) - q) ** 2).sum(axis=1) <= cutoff**2 if len(ids) else np.zeros(0, dtype=bool)
+            return ids.tolist(), ok.tolist()
 
-        return pd.Series([one(p, q).tolist() for p, q in zip(xa, xb, strict=True)])
+        return pd.DataFrame([one(pair) for pair in zip(ia, xa, ib, xb, strict=True)], columns=["particle", "ok"])
 
     ship(particles)
-    order = particles.select("particle").distinct().withColumn("k", F.row_number().over(Window.orderBy("particle")) - 1)
-    rows = pairs.select(F.posexplode(near("xa", "xb")).alias("k", "ok")).groupBy("k").agg(F.avg(F.col("ok").cast("double")).alias("share"))
-    return rows.join(order, "k").select("particle", "share")
+    found = _model_pairs(particles).select(near("ia", "xa", "ib", "xb").alias("c"))
+    rows = found.select(F.explode(F.arrays_zip(F.col("c.particle").alias("particle"), F.col("c.ok").alias("ok"))).alias("e"))
+    return rows.groupBy("e.particle").agg(F.avg(F.col("e.ok").cast("double")).alias("share"))
 
 
 def aligned(particles: DataFrame, reference: int) -> DataFrame:
