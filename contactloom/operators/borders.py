@@ -15,14 +15,22 @@ from contactloom.shipping import ship
 def nearest(first: DataFrame, second: DataFrame, max_dist: int) -> DataFrame:
     """(chrom, a, b, d): the nearest border of ``second`` for each of ``first`` within ``max_dist``; ties go to the lower.
 
-    Borders (chrom, pos) are joined on buckets of width max_dist and the two beside
-    them, so a border meets only its neighbourhood.
+    Borders (chrom, pos) are dealt to buckets of width max_dist, those of ``second``
+    also to the two beside theirs.  In a bucket both are sorted by position, and the
+    last border of ``second`` before and after is carried along: no pairs are made,
+    however dense the borders are.
     """
-    a = first.select("chrom", F.col("pos").alias("a"), F.floor(F.col("pos") / max_dist).alias("k"))
-    b = second.select("chrom", F.col("pos").alias("b"), F.floor(F.col("pos") / max_dist).alias("h"))
-    b = b.withColumn("k", F.explode(F.array(F.col("h") - 1, F.col("h"), F.col("h") + 1)))
-    near = a.join(b, ["chrom", "k"]).withColumn("d", F.abs(F.col("a") - F.col("b"))).where(F.col("d") <= max_dist)
-    return near.groupBy("chrom", "a").agg(F.min_by("b", F.struct("d", "b")).alias("b"), F.min("d").alias("d"))
+    a = first.where("chrom IS NOT NULL AND pos IS NOT NULL").select("chrom", "pos", F.floor(F.col("pos") / max_dist).alias("k"), F.lit(True).alias("asks"))
+    b = second.where("chrom IS NOT NULL AND pos IS NOT NULL").select("chrom", "pos", F.floor(F.col("pos") / max_dist).alias("h"))
+    b = b.select("chrom", "pos", F.explode(F.array(F.col("h") - 1, F.col("h"), F.col("h") + 1)).alias("k"), F.lit(False).alias("asks"))
+    bucket, given = Window.partitionBy("chrom", "k"), F.when(~F.col("asks"), F.col("pos"))
+    # The default frame ends with the rows of equal position.
+    rows = a.distinct().unionByName(b).withColumn("low", F.last(given, True).over(bucket.orderBy("pos")))
+    rows = rows.withColumn("high", F.last(given, True).over(bucket.orderBy(F.desc("pos")))).where("asks")
+    down, up = F.col("pos") - F.col("low"), F.col("high") - F.col("pos")
+    lower = down.isNotNull() & (up.isNull() | (down <= up))
+    near = rows.select("chrom", F.col("pos").alias("a"), F.when(lower, F.col("low")).otherwise(F.col("high")).alias("b"), F.when(lower, down).otherwise(up).alias("d"))
+    return near.where(F.col("d") <= max_dist)
 
 
 def mutual_nearest(first: DataFrame, second: DataFrame, max_dist: int = 100_000) -> DataFrame:

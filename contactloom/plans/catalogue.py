@@ -407,7 +407,7 @@ _MARKS = "ma AS (SELECT DISTINCT c1 AS chrom, p1 AS pos FROM base WHERE read_id
 
 def _marks(s, d):
     rows = I.contacts(s, d)
-    pick = lambda k: rows.where(F.col("read_id") % 50 == k).select(F.col(f"c{k}").alias("chrom"), F.col(f"p{k}").alias("pos")).distinct()
+    pick = lambda k: rows.select(F.col(f"c{k}").alias("chrom"), F.col(f"p{k}").alias("pos")).distinct()
     return pick(1), pick(2)
 
 
@@ -429,7 +429,7 @@ def aligned_borders(s, d):
 
 @query(sql("SELECT id, chrom, start, \"end\" FROM (SELECT id, q.chrom + 1 AS chrom, q.bstart * 2 + 2 * (greatest(start, bstart) - bstart) AS start, q.bstart * 2 + 2 * (least(\"end\", bend) - bstart) AS \"end\", row_number() OVER (PARTITION BY id ORDER BY least(\"end\", bend) - greatest(start, bstart) DESC, bstart) AS r FROM (SELECT read_id AS id, min(c1) AS chrom, min(p1) AS start, min(p1) + 30000 AS \"end\" FROM base WHERE read_id % 10 = 1 GROUP BY 1) s JOIN (SELECT c.range::int AS chrom, k.range * 250000 AS bstart, k.range * 250000 + 200000 AS bend FROM range(5) c, range(8) k) q ON q.chrom = s.chrom AND least(\"end\", bend) - greatest(start, bstart) > 10) WHERE r = 1", "base"))
 def lifted_segments(s, d):
-    rows = I.contacts(s, d).where("read_id % 10 = 1").groupBy(F.col("read_id").alias("id"))
+    rows = I.contacts(s, d).groupBy(F.col("read_id").alias("id"))
     segments = rows.agg(F.min("c1").alias("chrom"), F.min("p1").alias("start"), (F.min("p1") + 30_000).alias("end"))
     k = F.col("id") % 8 * 250_000
     blocks = s.range(40).select(
@@ -471,7 +471,7 @@ _ANN = "SELECT c1 AS chrom, p1 AS start, p1 + 150000 AS \"end\", (read_id % 10):
 
 
 def _annotation(s, d):
-    rows = I.contacts(s, d).where("read_id % 20 = 1")
+    rows = I.contacts(s, d)
     return rows.select(F.col("c1").alias("chrom"), F.col("p1").alias("start"), (F.col("p1") + 150_000).alias("end"), (F.col("read_id") % 10).cast("double").alias("value"))
 
 
@@ -568,7 +568,7 @@ def structure_score(s, d):
 
 @query(sql("SELECT read_id, ((read_id % 2 = 0)::int * 1 + (read_id % 3 = 0)::int * 256)::int AS flag FROM base WHERE read_id % 5 = 0", "base"))
 def flags_from_lists(s, d):
-    rows = I.contacts(s, d).where("read_id % 5 = 0")
+    rows = I.contacts(s, d)
     ids = I.contacts(s, d).select("read_id").distinct()
     return pairs.flags_from_lists(rows, {1: ids.where("read_id % 2 = 0"), 9: ids.where("read_id % 3 = 0")}).select("read_id", "flag")
 
