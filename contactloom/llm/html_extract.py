@@ -1,12 +1,17 @@
 """Main text of web pages by site template removal.
 
-A page is parsed leniently into a tree.  Its block subtrees outside paragraphs are
+A page is parsed leniently into a tree.  Its block subtrees are
 hashed, and Spark counts for every host how many pages *of different main content* a
 subtree occurs on.  Subtrees that recur on ``MIN_PAGES`` such pages of a host are its
 template and are deleted, as are elements that are boilerplate by their tag, role,
-class or id.  Pages that are copies of each other count once, and paragraphs,
-headings and long passages inside an article are never counted as template, so that
-articles shared between pages stay whole; nor are long paragraphs elsewhere.  Of what is left the article (or main)
+class or id.  Pages that are copies of each other count once.
+
+Short text blocks inside an article can be content that a few pages share.  They are
+template if they recur on ``SHARE`` of the host's different pages, where pages are
+told apart by their longest text block outside the subtree: near copies of an article
+count once and stay whole, while a notice on most pages of a host goes.  Passages of
+``SHORT`` characters or more inside an article and such paragraphs elsewhere always
+stay, even if every page of a host has them.  Of what is left the article (or main)
 element is taken if the page has one, else the body.
 
 Text blocks are joined in page order by one line feed; white space inside a block
@@ -32,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import without
+from contactloom.llm.common import cut, without
 from contactloom.llm.url_filter import host_of
 from contactloom.shipping import ship
 
@@ -40,6 +45,8 @@ MIN_PAGES = 3
 MAX_BROADCAST = 500_000
 #: Inside an article only subtrees with less text than this can be template.
 SHORT = 200
+#: Share of a host's different pages on which a text block inside an article is template.
+SHARE = 0.5
 SALTS = 16
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -160,17 +167,15 @@ def _plain(node: Node) -> str:
 
 
 def candidates(root: Node):
-    """(node, hash) of subtrees that can be template."""
+    """(node, hash, shared) of subtrees that can be template; ``shared`` ones can be content that pages share."""
     for node, inside in _walk(root):
         if node.noise or node.tag in INLINE or node.tag in MAIN or node.tag in ("html", "body") or node.tag in VOID:
             continue
-        if inside and (node.tag in TEXT_BLOCKS or len(_plain(node)) >= SHORT):
-            continue
-        if node.tag in TEXT_BLOCKS and len(_plain(node)) >= SHORT:
+        if (inside or node.tag in TEXT_BLOCKS) and len(_plain(node)) >= SHORT:
             continue
         text = subtree_text(node)
         if text:
-            yield node, xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
+            yield node, xxhash.xxh64_intdigest(text.encode("utf-8", "replace")), inside and node.tag in TEXT_BLOCKS
 
 
 def main_node(root: Node) -> Node | None:
@@ -194,9 +199,39 @@ def signature(root: Node) -> int:
     return xxhash.xxh64_intdigest(_plain(main).encode("utf-8", "replace"))
 
 
-def blocks(root: Node, template: set[int] | frozenset[int] = frozenset()) -> list[str]:
+class Outside:
+    """Hashes of the longest text block of a page's main content, and of the longest one outside a subtree."""
+
+    def __init__(self, root: Node):
+        self.span: dict[int, tuple[int, int]] = {}
+        said: dict[int, list[str]] = {}
+        todo: list = [(main_node(root) or root, None)]
+        at = 0
+        while todo:
+            x, block = todo.pop()
+            if block is not None and block < 0:  # the end of a block
+                self.span[id(x)] = (-block - 1, at)
+            elif isinstance(x, str):
+                said.setdefault(block or 0, []).append(x)
+            elif not x.noise:
+                if x.tag not in INLINE:
+                    block, at = at, at + 1
+                    todo.append((x, -block - 1))
+                todo.extend((c, block) for c in reversed(x.children))
+        texts = {k: " ".join("".join(t).split()) for k, t in said.items()}
+        self.longest = sorted(((t, k) for k, t in texts.items() if t), key=lambda x: (-len(x[0]), x[0]))
+
+    def of(self, node: Node | None = None) -> int:
+        first, end = self.span.get(id(node), (0, 0))
+        for text, k in self.longest:
+            if not first <= k < end:
+                return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
+        return 0
+
+
+def blocks(root: Node, template: set | frozenset = frozenset()) -> list[str]:
     """Text blocks of the page's main content without template and boilerplate."""
-    gone = {id(node) for node, h in candidates(root) if h in template} if template else set()
+    gone = {id(node) for node, *key in candidates(root) if tuple(key) in template} if template else set()
     main = main_node(root)
     out: list[str] = []
     current: list[str] = []
@@ -229,7 +264,7 @@ def blocks(root: Node, template: set[int] | frozenset[int] = frozenset()) -> lis
     return out
 
 
-def extract(html: str | None, template: set[int] | frozenset[int] = frozenset()) -> str:
+def extract(html: str | None, template: set | frozenset = frozenset()) -> str:
     return "\n".join(blocks(parse(html or ""), template))
 
 
@@ -237,27 +272,35 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _key(host: str, subtree: int) -> int:
-    return xxhash.xxh64_intdigest(f"{host}\n{subtree}".encode("utf-8", "replace"))
+def _key(host: str, subtree: int, shared: bool) -> int:
+    return xxhash.xxh64_intdigest(f"{host}\n{subtree}{' shared' if shared else ''}".encode("utf-8", "replace"))
 
 
 def _subtree_batches(batches):
+    """Rows (host, key, content): a row without host counts by itself, one without key is the page among its host's."""
     for batch in batches:
-        rows = []
+        rows = set()
         for host, html in zip(batch.column("__host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if html:
                 root = parse(html)
-                content = _signed(signature(root))
-                rows.extend((_signed(_key(host, h)), content) for h in {h for _, h in candidates(root)})
+                content, outside = _signed(signature(root)), Outside(root)
+                site = _signed(xxhash.xxh64_intdigest(host.encode("utf-8", "replace")))
+                rows.add((site, None, _signed(outside.of())))
+                for node, h, shared in candidates(root):
+                    rows.add((site if shared else None, _signed(_key(host, h, shared)), _signed(outside.of(node)) if shared else content))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["key", "content"]
+            [pa.array(list(c), pa.int64()) for c in (zip(*rows, strict=True) if rows else ([], [], []))], ["site", "key", "content"]
         )
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """Keys of (host, subtree) that occur with at least ``min_pages`` different main contents."""
-    found = ship(pages).select(host_of(F.col("url")).alias("__host"), "html").mapInArrow(_subtree_batches, "key long, content long")
-    return found.distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("key")
+    """Keys of (host, subtree) that occur with at least ``min_pages`` different main contents, and a ``SHARE`` of the host's where pages can share content."""
+    found = ship(pages).select(host_of(F.col("url")).alias("__host"), "html").mapInArrow(_subtree_batches, "site long, key long, content long")
+    counted = found.distinct().groupBy("site", "key").agg(F.count("*").alias("n")).where((F.col("n") >= min_pages) | F.col("key").isNull())
+    counted = cut(counted)
+    sites = counted.where("key IS NULL").select("site", F.col("n").alias("of"))
+    often = counted.where("key IS NOT NULL").join(sites, "site", "left")
+    return often.where(F.col("site").isNull() | (F.col("n") >= F.col("of") * SHARE)).select("key").distinct()
 
 
 def _extract_batches(names: list[str], keys, per_page: bool):
@@ -271,7 +314,7 @@ def _extract_batches(names: list[str], keys, per_page: bool):
             ):
                 root = parse(html or "")
                 own = frozenset(sets[i] or []) if per_page else known
-                template = {h for _, h in candidates(root) if _signed(_key(host, h)) in own} if own else frozenset()
+                template = {(h, shared) for _, h, shared in candidates(root) if _signed(_key(host, h, shared)) in own} if own else frozenset()
                 texts.append("\n".join(blocks(root, template)))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -291,7 +334,7 @@ def _page_keys(batches):
         rows = []
         for page, host, html in zip(*[batch.column(c).to_pylist() for c in ("__page", "__host", "__html")], strict=True):
             if html:
-                rows.extend((page, _signed(_key(host, h))) for h in {h for _, h in candidates(parse(html))})
+                rows.extend((page, _signed(_key(host, *key))) for key in {tuple(key) for _, *key in candidates(parse(html))})
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["__page", "key"]
         )

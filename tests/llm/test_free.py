@@ -225,6 +225,25 @@ def test_templates_of_a_site_are_removed(spark, limit):
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_what_recurs_on_a_host_goes_inside_articles_too(spark, limit):
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    notice, table = "<p>Read our other pages</p>", "<table><tr><td>Call us</td></tr></table>"
+    passage, copied = words(12), [words(60), words(12)]
+    rows, want = [], {}
+    for k in range(12):
+        own = [words(30), words(20)] + ([passage] if k < 4 else [])
+        rows.append((k, f"http://a.org/{k}", f"<article><h1>{own[0]}</h1>{notice}{table}" + "".join(f"<p>{t}</p>" for t in own[1:]) + "</article>"))
+        want[k] = "\n".join(own)
+    for k in range(12, 17):  # near copies of one article fill this host
+        last = words(3)
+        rows.append((k, f"http://b.org/{k}", "<main>" + "".join(f"<p>{t}</p>" for t in [*copied, last]) + "</main>"))
+        want[k] = "\n".join([*copied, last])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.main_text(df, max_broadcast=limit).collect()} == want
+
+
 def test_copies_of_one_page_are_no_template(spark):
     page = "<body><div><p>The same words on every page, which are an article all the same.</p></div></body>"
     df = spark.createDataFrame([(k, f"http://a.org/{k}", page) for k in range(20)], "page_id long, url string, html string")
