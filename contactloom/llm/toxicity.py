@@ -5,14 +5,15 @@ labelled documents, so that inflected and unseen expressions count by their stem
 Orders ``ORDER`` to ``CLASS_ORDER`` are counted per class and discounted
 absolutely; below them both classes back off to one shared model of continuation
 counts (how many different characters a context follows, in either class), so that
-rare expressions cost both models alike.  A document's score is the calibrated
-difference of its log-likelihoods divided by its number of words.  Both classes are
+rare expressions cost both models alike.  A document's score is calibrated from the
+difference of its log-likelihoods divided by its number of words and from its clear evidence.  Both classes are
 fitted on like numbers of rows; a quarter of the rows is left out of the counts and
 used for the calibration, where classes weigh as among all labels.
 
-The fitted sample has at most ``MAX_ROWS`` labelled rows; counts are taken by Spark,
-and the model keeps at most ``MAX_GRAMS`` n-grams, which bounds what is sent to the
-tasks.  Every text is scored whole.
+The fitted sample has at most ``MAX_ROWS`` labelled rows, which bounds the counts that
+Spark takes and the model sent to the tasks; all n-grams of the sample are kept.  One
+feature of the calibration, the log total of a text's clear evidence, is not divided
+by the number of words.  Every text is scored whole.
 
 Defined cases: null and empty texts, and texts without words, get the calibrated
 score of no evidence; without labels of both classes every score is the share of
@@ -36,7 +37,6 @@ from contactloom.llm.common import SAMPLE_PARTITIONS, cut, fold, labelled_sample
 from contactloom.shipping import ship
 
 MAX_ROWS = 8000
-MAX_GRAMS = 1_000_000
 ORDER = 5
 CLASS_ORDER = 3
 DISCOUNT = 0.75
@@ -187,8 +187,6 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS) -> Model:
         counts.mapInArrow(_gram_counts, "gram string, label int, n long")
         .groupBy("gram")
         .agg(*[F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)])
-        .orderBy(F.desc(F.col("n0") + F.col("n1")), "gram")
-        .limit(MAX_GRAMS)
         .collect()
     )
     model = Model({r["gram"]: (r["n0"], r["n1"]) for r in found})
