@@ -37,15 +37,21 @@ BITS = 14
 MAX_ROWS = 5000
 ORDERS = (3, 4, 5)
 
-#: A small labelled table: 1 blocks.  Words of unwanted sites against words of ordinary ones, on common layouts.
-_UNWANTED = "spam-farm cheap-pills casino-bonus free-money adult-x adult-cams win-prizes payday-loans torrent-crack replica-watches click-bait".split()
-_ORDINARY = "news blog library weather university museum recipes gardening science city-council ththre therin tionsh ththan theron thernd".split()
+#: A small labelled table: 1 blocks.  Words of unwanted sites against words of ordinary ones, on common layouts; none is taken from data.
+_UNWANTED = (
+    "casino-bonus free-money adult-dating cheap-meds buy-pills spam-links live-cams win-prizes payday-loans torrent-crack replica-watches "
+    "click-bait poker-online lottery-winner porn-videos fast-cash miracle-diet fake-followers warez-keygen sex-chat"
+).split()
+_ORDINARY = (
+    "news blog library weather university museum recipes gardening science city-council travel history football hospital school "
+    "theatre railway insurance software encyclopedia"
+).split()
 _LAYOUTS = [
-    ("http://{}.example.com", "/en/{}"),
-    ("https://www.{}.example.org", "/de/{}.html"),
-    ("https://{}.example.net", "/fr/{}/"),
-    ("http://m.{}.example.org", "/es/{}?page=2"),
-    ("https://blog.{}.example.com", "/{}#top"),
+    ("http://{}.org", "/page/{}"),
+    ("https://www.{}.com", "/articles/{}.html"),
+    ("https://{}.net", "/category/{}/"),
+    ("http://m.{}.info", "/view?id={}"),
+    ("https://shop.{}.co.uk", "/{}#top"),
 ]
 
 
