@@ -402,7 +402,13 @@ def reordered_domains(s, d):
     return borders.reordered(I.domains(s))
 
 
-_MARKS = "ma AS (SELECT DISTINCT c1 AS chrom, p1 AS pos FROM base WHERE read_id % 50 = 1), mb AS (SELECT DISTINCT c2 AS chrom, p2 AS pos FROM base WHERE read_id % 50 = 2), na AS (SELECT chrom, a, b, d FROM (SELECT ma.chrom, ma.pos AS a, mb.pos AS b, abs(ma.pos - mb.pos) AS d, row_number() OVER (PARTITION BY ma.chrom, ma.pos ORDER BY abs(ma.pos - mb.pos), mb.pos) AS r FROM ma JOIN mb ON ma.chrom = mb.chrom AND abs(ma.pos - mb.pos) <= 20000) WHERE r = 1), nb AS (SELECT chrom, a, b FROM (SELECT ma.chrom, ma.pos AS a, mb.pos AS b, row_number() OVER (PARTITION BY ma.chrom, mb.pos ORDER BY abs(ma.pos - mb.pos), ma.pos) AS r FROM ma JOIN mb ON ma.chrom = mb.chrom AND abs(ma.pos - mb.pos) <= 20000) WHERE r = 1)"
+_MARKS = """ma AS (SELECT DISTINCT c1 AS chrom, p1 AS pos FROM base), mb AS (SELECT DISTINCT c2 AS chrom, p2 AS pos FROM base),
+na AS (SELECT chrom, a, CASE WHEN hi IS NULL OR a - lo <= hi - a THEN lo ELSE hi END AS b, least(a - lo, hi - a) AS d FROM (
+    SELECT ma.chrom, ma.pos AS a, l.pos AS lo, h.pos AS hi FROM ma ASOF LEFT JOIN mb l ON ma.chrom = l.chrom AND ma.pos >= l.pos ASOF LEFT JOIN mb h ON ma.chrom = h.chrom AND ma.pos <= h.pos)
+  WHERE least(a - lo, hi - a) <= 20000),
+nb AS (SELECT chrom, CASE WHEN hi IS NULL OR b - lo <= hi - b THEN lo ELSE hi END AS a, b FROM (
+    SELECT mb.chrom, mb.pos AS b, l.pos AS lo, h.pos AS hi FROM mb ASOF LEFT JOIN ma l ON mb.chrom = l.chrom AND mb.pos >= l.pos ASOF LEFT JOIN ma h ON mb.chrom = h.chrom AND mb.pos <= h.pos)
+  WHERE least(b - lo, hi - b) <= 20000)"""
 
 
 def _marks(s, d):
@@ -427,7 +433,7 @@ def aligned_borders(s, d):
     return borders.align(rows, max_dist=100_000.0)
 
 
-@query(sql("SELECT id, chrom, start, \"end\" FROM (SELECT id, q.chrom + 1 AS chrom, q.bstart * 2 + 2 * (greatest(start, bstart) - bstart) AS start, q.bstart * 2 + 2 * (least(\"end\", bend) - bstart) AS \"end\", row_number() OVER (PARTITION BY id ORDER BY least(\"end\", bend) - greatest(start, bstart) DESC, bstart) AS r FROM (SELECT read_id AS id, min(c1) AS chrom, min(p1) AS start, min(p1) + 30000 AS \"end\" FROM base WHERE read_id % 10 = 1 GROUP BY 1) s JOIN (SELECT c.range::int AS chrom, k.range * 250000 AS bstart, k.range * 250000 + 200000 AS bend FROM range(5) c, range(8) k) q ON q.chrom = s.chrom AND least(\"end\", bend) - greatest(start, bstart) > 10) WHERE r = 1", "base"))
+@query(sql("SELECT id, chrom, start, \"end\" FROM (SELECT id, q.chrom + 1 AS chrom, q.bstart * 2 + 2 * (greatest(start, bstart) - bstart) AS start, q.bstart * 2 + 2 * (least(\"end\", bend) - bstart) AS \"end\", row_number() OVER (PARTITION BY id ORDER BY least(\"end\", bend) - greatest(start, bstart) DESC, bstart) AS r FROM (SELECT read_id AS id, min(c1) AS chrom, min(p1) AS start, min(p1) + 30000 AS \"end\" FROM base GROUP BY 1) s JOIN (SELECT c.range::int AS chrom, k.range * 250000 AS bstart, k.range * 250000 + 200000 AS bend FROM range(5) c, range(8) k) q ON q.chrom = s.chrom AND least(\"end\", bend) - greatest(start, bstart) > 10) WHERE r = 1", "base"))
 def lifted_segments(s, d):
     rows = I.contacts(s, d).groupBy(F.col("read_id").alias("id"))
     segments = rows.agg(F.min("c1").alias("chrom"), F.min("p1").alias("start"), (F.min("p1") + 30_000).alias("end"))
@@ -467,7 +473,7 @@ def site_distances(s, d):
     return stats.site_distances(I.contacts(s, d))
 
 
-_ANN = "SELECT c1 AS chrom, p1 AS start, p1 + 150000 AS \"end\", (read_id % 10)::double AS value FROM base WHERE read_id % 20 = 1"
+_ANN = "SELECT c1 AS chrom, p1 AS start, p1 + 150000 AS \"end\", (read_id % 10)::double AS value FROM base"
 
 
 def _annotation(s, d):
@@ -566,7 +572,7 @@ def structure_score(s, d):
     return compare.structure_score(_full(s, d), I.bins(s)).select("chrom", _r("excess", 4), _r("skewness", 4), _r("kurtosis", 4), "n")
 
 
-@query(sql("SELECT read_id, ((read_id % 2 = 0)::int * 1 + (read_id % 3 = 0)::int * 256)::int AS flag FROM base WHERE read_id % 5 = 0", "base"))
+@query(sql("SELECT read_id, ((read_id % 2 = 0)::int * 1 + (read_id % 3 = 0)::int * 256)::int AS flag FROM base", "base"))
 def flags_from_lists(s, d):
     rows = I.contacts(s, d)
     ids = I.contacts(s, d).select("read_id").distinct()

@@ -84,7 +84,7 @@ SQL = {
     "sums": "select i as bin, sum(v)::double as s from good group by 1",
     "bias": "select bin, s / m * sqrt(m) as b from sums, (select avg(s) as m from sums)",
     "norm": "select g.i, g.j, g.v / x.b / y.b as v from good g join bias x on g.i = x.bin join bias y on g.j = y.bin",
-    "particles": "select vec_id % 10 as model, vec_id // 10 as particle, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings where vec_id < 400",
+    "particles": "select vec_id % 10 as model, vec_id // 10 as particle, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings",
     "pp": "select a.model, a.particle as i, b.particle as j, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) as d from particles a join particles b on a.model = b.model and a.particle < b.particle",
     "domains": "select 'a' as experiment, cast(range // 4 as int) as chrom, range % 4 * 8 as start, range % 4 * 8 + 7 as \"end\", (range % 10)::double as score from range(20) union all select 'b', cast(range // 2 as int), range % 2 * 16, range % 2 * 16 + 15, (range % 10)::double from range(10)",
 }
