@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space and word classes of all contracts (ASCII white space only).
@@ -17,17 +16,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; a folder of our own is
-    set only where the session has none (local tests).
+    A local session without one (tests) gets a folder of its own; on a cluster a
+    machine-local folder would be lost with its executor, so that is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="ckpt")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt")
-        )
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -51,11 +61,13 @@ def fold(doc_id: Column, modulus: int) -> Column:
 SAMPLE_PARTITIONS = 16
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int) -> DataFrame:
-    """At most ``limit`` labelled rows (doc_id, label, text), chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int, max_chars: int) -> DataFrame:
+    """At most ``limit`` labelled rows (doc_id, label, text) with at most ``max_chars`` characters in all, chosen by a hash of the id.
 
-    ``limit`` bounds the fitted sample whatever the size of the tables, which
-    also bounds the side that is broadcast: rows of one id and one label.
+    Both bounds hold whatever the size of the tables: at most ``limit`` ids are
+    broadcast, rows of repeated ids count one by one, and rows are taken in the order of
+    the hash until their texts fill ``max_chars``.  Labels of an id that contradict each
+    other count as 1.
     """
     chosen = (
         labels.where(keep & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
@@ -64,4 +76,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = (
+        docs.select("doc_id", "text")
+        .join(F.broadcast(chosen), "doc_id")
+        .withColumns({"h": F.xxhash64("doc_id"), "g": F.xxhash64("text"), "size": F.coalesce(F.length("text"), F.lit(0))})
+        .orderBy("h", "doc_id", "g")
+        .limit(limit)
+    )
+    before = Window.orderBy("h", "doc_id", "g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("total", F.sum("size").over(before)).where(F.col("total") <= max_chars).select("doc_id", "label", "text")

@@ -1,20 +1,24 @@
 """Quality classifier: random-indexing vectors, pooled, and a two-layer network.
 
-A word is seen as one or more types: itself if it is common, else its shape; the
-symbols at its end; whether it is in capitals; whether it repeats the word before.
-Every type has a fixed sparse random index vector.  A type's word vector is its own
-index vector plus the normalised sum of its neighbours' over a bounded labelled
-sample.  A document is the mean of its types' vectors, and a network with one hidden
-layer, trained with numpy on the driver, gives a probability that is calibrated by a
-temperature fitted on rows left out of the training.
-
-The sample has at most ``MAX_ROWS`` labelled rows and the vocabulary at most
-``MAX_TYPES`` types, which bounds all that is collected or sent to the tasks.
+A word is seen as up to three types: itself in lower case, its shape (letters, digits,
+capitals, length), and the symbols at its end; a word that repeats the one before it adds
+a fourth.  Every type has a fixed sparse random index vector, which follows from a hash of
+its name and is stored nowhere.  A type that stands in at least ``MIN_DOCS`` documents of
+a bounded labelled sample also has a context vector, the normalised sum of its
+neighbours' index vectors: below that a sum of neighbours is chance.  A type's word vector
+is the sum of both.  A document is the mean of its types' vectors, and a network with one
+hidden layer, trained with numpy on the driver, gives a probability that is calibrated by
+a temperature fitted on rows left out of the training.
+
+The sample has at most ``MAX_ROWS`` labelled rows with at most ``MAX_CHARS`` characters in
+all, which bounds the context vectors and so all that is collected or sent to the tasks.
+Every word of every text is pooled.
 
 Defined cases: null and empty texts have the zero vector and the network's score for
-it; without labels of both classes every score is the share of good labels; null ids
-fold like the empty text; extra columns are carried and replaced where an output
-column has their name.
+it; without labels of both classes every score is the share of good labels (0.5 without
+any); rows of one labelled id are all fitted, within the bounds, and contradicting labels
+of an id count as good; null ids fold like the empty text and are never fitted; extra
+columns are carried and replaced where an output column has their name.
 """
 
 from __future__ import annotations
@@ -34,14 +38,15 @@ from contactloom.llm.common import SAMPLE_PARTITIONS, cut, fold, labelled_sample
 from contactloom.shipping import ship
 
 MAX_ROWS = 8000
-MAX_TYPES = 8192
+MAX_CHARS = 24_000_000
 MIN_DOCS = 5
 DIM = 64
 NONZERO = 6
 HIDDEN = 16
 THRESHOLD = 0.7
+#: Words that a worker remembers with their sums, and the characters that it pools at once.
 CACHE = 200_000
-MAX_KEY = 1 << 20
+SLICE_CHARS = 4_000_000
 _SUMS = [f"s{k}" for k in range(DIM)]
 SYMBOLS = string.punctuation + "«»“”„’‘…–—¿¡"
 REPEAT = "<repeat>"
@@ -62,12 +67,19 @@ def types(word: str) -> tuple[str, str, str]:
     return core.lower(), f"<{kind}{min(len(core), 12) // 4}>", symbols
 
 
-def index_vector(name: str) -> np.ndarray:
-    """The type's fixed sparse ternary vector."""
-    rng = np.random.default_rng(zlib.crc32(name.encode("utf-8", "replace")))
-    v = np.zeros(DIM)
-    v[rng.permutation(DIM)[:NONZERO]] = rng.choice([-1.0, 1.0], NONZERO)
-    return v
+def index_vectors(names: list[str]) -> np.ndarray:
+    """The types' fixed sparse ternary vectors, one row each; zero for the empty name."""
+    code = np.fromiter((zlib.crc32(n.encode("utf-8", "replace")) for n in names), dtype=np.uint64, count=len(names))
+    named = np.fromiter((n != "" for n in names), dtype=bool, count=len(names))
+    out = np.zeros((len(names), DIM), dtype=np.float32)
+    rows = np.arange(len(names))
+    for k in range(1, NONZERO + 1):
+        x = (code + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) * np.uint64(2 * k + 1)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(29)
+        sign = ((x >> np.uint64(20)) & np.uint64(1)).astype(np.float32) * 2 - 1
+        out[rows, (x >> np.uint64(24)) % np.uint64(DIM)] += sign * named
+    return out
 
 
 def _type_docs(batches):
@@ -87,11 +99,12 @@ def _type_docs(batches):
 
 
 class Vectors:
-    """Vocabulary with its vectors; pools texts."""
+    """Context vectors of the frequent types; pools texts."""
 
     def __init__(self, names: list[str]):
-        self.ids = {t: i for i, t in enumerate([REPEAT, *names])}
-        self.vectors = np.stack([index_vector(t) for t in self.ids])
+        self.ids = {t: i for i, t in enumerate(names)}
+        self.contexts = np.zeros((len(names) + 1, DIM), dtype=np.float32)  # the last row is that of all others
+        self.repeat = index_vectors([REPEAT])[0]
         self._forget()
 
     def _forget(self) -> None:
@@ -101,11 +114,12 @@ class Vectors:
     def __getstate__(self):
         return self.__dict__ | {"_rows": {}, "_sums": np.zeros((0, DIM), dtype=np.float32)}
 
-    def of(self, word: str) -> list[int]:
-        return [i for t in types(word) if (i := self.ids.get(t)) is not None]
+    def of(self, names: list[str]) -> np.ndarray:
+        at = np.fromiter((self.ids.get(n, -1) for n in names), dtype=np.int64, count=len(names))
+        return index_vectors(names) + self.contexts[at]
 
     def _learn(self, words: list[list[str]]) -> None:
-        """Remember the summed vectors of a batch's words, in a bounded cache."""
+        """Remember the summed vectors of a slice's words, in a bounded cache."""
         if len(self._rows) > CACHE:
             self._forget()
         rows, new = self._rows, []
@@ -115,51 +129,62 @@ class Vectors:
                     rows[w] = len(rows)
                     new.append(w)
         if new:
-            get, none = self.ids.get, len(self.vectors)
-            ids = np.array([[get(t, none) for t in types(w)] for w in new])
-            padded = np.r_[self.vectors, np.zeros((1, DIM))].astype(np.float32)
-            self._sums = np.concatenate([self._sums, padded[ids[:, 0]] + padded[ids[:, 1]] + padded[ids[:, 2]]])
+            cores, shapes, symbols = zip(*map(types, new), strict=True)
+            added = self.of(list(cores))
+            for names in (shapes, symbols):  # few different ones
+                kinds = sorted(set(names))
+                place = {n: i for i, n in enumerate(kinds)}
+                added += self.of(kinds)[[place[n] for n in names]]
+            self._sums = np.concatenate([self._sums, added])
 
     def pool(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), DIM))
-        for at in range(0, len(texts), 1000):
-            words = [(t or "").split() for t in texts[at : at + 1000]]
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end] or "") <= SLICE_CHARS):
+                size += len(texts[end] or "")
+                end += 1
+            words = [(t or "").split() for t in texts[at:end]]
             self._learn(words)
             row = self._rows.__getitem__
             for i, found in enumerate(words, at):
                 if found:
                     total = self._sums[np.fromiter(map(row, found), dtype=np.int64, count=len(found))].sum(axis=0, dtype=np.float64)
                     repeats = sum(map(operator.eq, found, found[1:]))
-                    out[i] = (total + repeats * self.vectors[0]) / len(found)
+                    out[i] = (total + repeats * self.repeat) / len(found)
+            at = end
         return out
 
 
 def _contexts(vectors: Vectors):
-    """Rows (type id, one rounded sum per dimension): neighbours' index vectors in a window of one word on either side."""
+    """Rows (type id, one sum per dimension): neighbours' index vectors in a window of one word on either side."""
 
     def run(batches):
-        sums = np.zeros_like(vectors.vectors)
-        known: dict[str, int] = {}
+        sums = np.zeros((len(vectors.ids), DIM), dtype=np.int64)
         for batch in batches:
+            place: dict[str, int] = {}
             seen = []
             for text in batch.column("text").to_pylist():
                 words = (text or "").split()
-                for w in set(words):
-                    if w not in known:
-                        known[w] = next(iter(vectors.of(w)), -1)
-                seen.append(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)))
+                seen.append(np.fromiter((place.setdefault(w, len(place)) for w in words), dtype=np.int64, count=len(words)))
                 seen.append(np.array([-1]))
-            ids = np.concatenate(seen) if seen else np.zeros(0, dtype=np.int64)
+            if not place:
+                continue
+            ids = np.concatenate(seen)
+            cores = [types(w)[0] for w in place]
+            known = np.fromiter((vectors.ids.get(c, -1) for c in cores), dtype=np.int64, count=len(cores))
+            index = index_vectors(cores).astype(np.int64)
             a, b = ids[:-1], ids[1:]
             ok = (a >= 0) & (b >= 0)
-            pairs, n = np.unique(np.r_[a[ok] * MAX_KEY + b[ok], b[ok] * MAX_KEY + a[ok]], return_counts=True)
-            if len(pairs):
-                left, right = pairs // MAX_KEY, pairs % MAX_KEY
-                first = np.flatnonzero(np.r_[True, left[1:] != left[:-1]])
-                sums[left[first]] += np.add.reduceat(vectors.vectors[right] * n[:, None], first, axis=0)
+            pairs, n = np.unique(np.r_[a[ok] * len(place) + b[ok], b[ok] * len(place) + a[ok]], return_counts=True)
+            left, right = known[pairs // len(place)], pairs % len(place)
+            for at in range(0, len(pairs), 100_000):
+                part = slice(at, at + 100_000)
+                own = left[part] >= 0
+                np.add.at(sums, left[part][own], index[right[part][own]] * n[part][own, None])
         used = np.flatnonzero(np.abs(sums).sum(axis=1))
-        # Rounded, so that the order in which tasks are added does not matter.
-        columns = [pa.array(used), *[pa.array(np.rint(sums[used, k]).astype(np.int64)) for k in range(DIM)]]
+        columns = [pa.array(used), *[pa.array(sums[used, k]) for k in range(DIM)]]
         yield pa.RecordBatch.from_arrays(columns, ["id", *_SUMS])
 
     return run
@@ -209,29 +234,22 @@ class Model:
         return self.network.probability(self.vectors.pool(texts))
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS) -> Model:
-    sample = cut(labelled_sample(ship(docs), labels, "quality", fold(F.col("doc_id"), 4) != 2, limit).repartition(SAMPLE_PARTITIONS))
-    names = (
-        sample.mapInArrow(_type_docs, "type string, docs long")
-        .groupBy("type")
-        .agg(F.sum("docs").alias("docs"))
-        .where(F.col("docs") >= MIN_DOCS)
-        .orderBy(F.desc("docs"), "type")
-        .limit(MAX_TYPES)
-        .collect()
-    )
-    vectors = Vectors([r["type"] for r in names])
+def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
+    sample = labelled_sample(ship(docs), labels, "quality", fold(F.col("doc_id"), 4) != 2, limit, max_chars)
+    sample = cut(sample.repartition(SAMPLE_PARTITIONS, "doc_id"))
+    counted = sample.mapInArrow(_type_docs, "type string, docs long").groupBy("type").agg(F.sum("docs").alias("docs"))
+    names = counted.where(F.col("docs") >= MIN_DOCS).toArrow()["type"].to_pylist()
+    vectors = Vectors(sorted(names))
     added = (
         sample.mapInArrow(_contexts(vectors), "id long, " + ", ".join(f"{c} long" for c in _SUMS))
         .groupBy("id")
         .agg(*[F.sum(c).alias(c) for c in _SUMS])
-        .collect()
+        .toArrow()
     )
-    for r in added:
-        total = np.array(r[1:], dtype=float)
-        norm = np.linalg.norm(total)
-        if norm:
-            vectors.vectors[r["id"]] += 0.5 * np.sqrt(NONZERO) * total / norm
+    if added.num_rows:
+        total = np.stack([added[c].to_numpy() for c in _SUMS], axis=1).astype(float)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        vectors.contexts[added["id"].to_numpy()] = 0.5 * np.sqrt(NONZERO) * total / np.maximum(norm, 1e-9)
 
     @F.pandas_udf("array<double>")
     def pooled(text: pd.Series) -> pd.Series:

@@ -29,6 +29,7 @@ FEATURES = ["symbol_ratio", "upper_ratio", "exclaim_ratio", "repeat_ratio", "dup
 OUTPUT = [*BASE, "kept"]
 #: Bound of the labelled sample that the list is learned from.
 MAX_ROWS = 4000
+MAX_CHARS = 24_000_000
 MAX_RULES = 8
 MAX_CONDITIONS = 3
 MIN_PRECISION = 0.95
@@ -163,7 +164,7 @@ def learn(rows: list[dict], features: list[str] | None = None) -> list[list[Cond
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS) -> list[dict]:
     """Statistics of at most ``limit`` labelled documents that pass the base rule, in a fixed order."""
-    sample = statistics(labelled_sample(docs, labels, "quality", F.lit(True), limit))
+    sample = statistics(labelled_sample(docs, labels, "quality", F.lit(True), limit, MAX_CHARS))
     found = sample.select(F.xxhash64("doc_id").alias("h"), "doc_id", "label", "base_failed", *FEATURES).collect()
     return [r.asDict() for r in sorted(found) if not r.base_failed]
 

@@ -1,29 +1,35 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Words are spelled by two character models, one of toxic and one of ordinary
-labelled documents, so that inflected and unseen expressions count by their stems.
-Orders ``ORDER`` to ``CLASS_ORDER`` are counted per class and discounted
-absolutely; below them both classes back off to one shared model of continuation
-counts (how many different characters a context follows, in either class), so that
-rare expressions cost both models alike.  A document's score is calibrated from the
-difference of its log-likelihoods divided by its number of words and from its clear evidence.  Both classes are
-fitted on like numbers of rows; a quarter of the rows is left out of the counts and
-used for the calibration, where classes weigh as among all labels.
-
-The fitted sample has at most ``MAX_ROWS`` labelled rows, which bounds the counts that
-Spark takes and the model sent to the tasks; all n-grams of the sample are kept.  One
-feature of the calibration, the log total of a text's clear evidence, is not divided
-by the number of words.  Every text is scored whole.
-
-Defined cases: null and empty texts, and texts without words, get the calibrated
-score of no evidence; without labels of both classes every score is the share of
-toxic labels; ids may repeat or be null (null folds like the empty text); extra
-columns are carried and replaced where an output column has their name.
+Two character models, one of toxic and one of ordinary labelled documents, spell words.
+A character's context is the word before it, up to ``ORDER`` - 1 characters from the
+word's start mark on.  Each class's counts of a context are discounted absolutely by
+``DISCOUNT``, and the freed mass goes to one backoff model that both classes share: the
+pooled counts of the same context, and below them Kneser-Ney continuation counts (how
+many different characters a string follows) of up to ``LOW`` characters.  An expression
+that is rare in a class so costs both models alike.
+
+A toxic text is ordinary text with a few toxic expressions.  Its word probability is
+therefore the mixture (1 - ``SHARE``) ordinary + ``SHARE`` toxic, and the score compares
+the log-likelihoods of the two models, each divided by the number of words:
+the mean over the text's words of log(1 + SHARE (toxic / ordinary - 1)).  Repeats of a
+word in a text say nothing new, so documents count words once, in fitting as in scoring.
+One slope and one offset turn that difference into a probability; they are fitted on a
+quarter of the rows by a model of the others.
+
+Fitted are at most ``MAX_ROWS`` labelled rows with at most ``MAX_CHARS`` characters in
+all, which bounds what is counted, collected and sent to the tasks (12 bytes for every
+different n-gram of the sample; all of them are kept).  Every text is scored whole.
+
+Defined cases: null and empty texts, and texts without words, have no evidence (a
+difference of 0); without labels of both classes every score is the share of toxic
+labels (0.1 without any); rows of one labelled id are all fitted, within the bounds, and
+contradicting labels of an id count as toxic; null ids fold like the empty text and are
+never fitted; extra columns are carried and replaced where an output column has their
+name.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -37,175 +43,203 @@ from contactloom.llm.common import SAMPLE_PARTITIONS, cut, fold, labelled_sample
 from contactloom.shipping import ship
 
 MAX_ROWS = 8000
-ORDER = 5
-CLASS_ORDER = 3
-DISCOUNT = 0.75
-#: A word's difference counts as clear evidence beyond the first, up to the second.
-CLEAR = 2.0
-CLEAR_MOST = 6.0
+MAX_CHARS = 24_000_000
+ORDER = 12
+LOW = 5
+DISCOUNT = 2.0
+LOW_DISCOUNT = 0.75
+SHARE = 0.003
+#: Words that a worker remembers, and the longest of them.
 CACHE = 300_000
+CACHED_LENGTH = 40
 WORDS = re.compile(r"\w+")
-
-
-def tokens(text: str | None) -> list[str]:
-    return WORDS.findall((text or "").lower())
-
-
-def grams(word: str) -> list[str]:
-    """The word's characters, each after its context: up to ``ORDER`` - 1 characters from the word's start mark on."""
-    marked = f"^{word}$"
-    return [marked[max(0, i + 1 - ORDER) : i + 1] for i in range(1, len(marked))]
-
-
-def _gram_counts(batches):
-    """Rows (gram, label, n) of a task's documents."""
-    words: Counter = Counter()
-    for batch in batches:
-        for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words.update(zip(found := tokens(text), [label] * len(found), strict=True))
-    n: Counter = Counter()
-    for (word, label), k in words.items():
-        for g in grams(word):
-            n[g, label] += k
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([g for g, _ in n], pa.string()), pa.array([c for _, c in n], pa.int32()), pa.array(list(n.values()), pa.int64())],
-        ["gram", "label", "n"],
-    )
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_START, _END = 1, 2
+
+
+def tokens(text: str | None) -> set[str]:
+    """The different words of a text in lower case."""
+    return set(WORDS.findall((text or "").lower()))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) + _BASE
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Spelled:
+    """The characters of words, each with 64-bit hashes of the strings that end with it."""
+
+    def __init__(self, words: list[str]):
+        sizes = np.array([len(w) + 2 for w in words], dtype=np.int64)
+        first = np.cumsum(sizes) - sizes
+        chars = np.zeros(int(sizes.sum()), dtype=np.uint64)
+        word_of = np.repeat(np.arange(len(words)), sizes)
+        inside = np.ones(len(chars), dtype=bool)
+        inside[first] = inside[first + sizes - 1] = False
+        chars[inside] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        chars[first], chars[first + sizes - 1] = _START, _END
+        # A string's hash is the sum of its characters times powers of an odd base, divided by the power of its start.
+        powers = np.multiply.accumulate(np.full(len(chars) + 1, _BASE))
+        inverse = np.multiply.accumulate(np.full(len(chars) + 1, np.uint64(pow(int(_BASE), -1, 1 << 64))))
+        self._sums = np.r_[np.uint64(0), np.cumsum(_mixed(chars) * powers[:-1])]
+        self._inverse = inverse
+        ends = np.flatnonzero(np.arange(len(chars)) != first[word_of])  # all but the start marks
+        self.word, self.end = word_of[ends], ends + 1
+        self.start = np.maximum(first[self.word], self.end - ORDER)
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mixed((self._sums[end] - self._sums[start]) * self._inverse[start])
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of the n-gram, hash of its context) of every character."""
+        return self.hashes(self.start, self.end), self.hashes(self.start, self.end - 1)
+
+
+def _grouped(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(different keys, place of every key among them, sums of the values)."""
+    found, back = np.unique(keys, return_inverse=True)
+    return found, back, [np.bincount(back, weights=v, minlength=len(found)) for v in values]
+
+
+def backoff(spelled: Spelled, kept: np.ndarray) -> np.ndarray:
+    """Continuation probability of the last character of each kept n-gram after up to ``LOW`` - 1 characters."""
+    start, end = spelled.start[kept], spelled.end[kept]
+    p = np.full(len(kept), 1.0 / 256)
+    for size in range(1, LOW + 1):
+        long = end - start > size  # something stands before the string
+        if not long.any():
+            break
+        e = end[long]
+        before, string = spelled.hashes(e - size - 1, e), spelled.hashes(e - size, e)
+        place = np.unique(before, return_index=True)[1]  # one row per different continuation
+        strings, _, (n,) = _grouped(string[place], np.ones(len(place)))
+        first = np.unique(string, return_index=True)[1]
+        contexts, back, (total, freed) = _grouped(spelled.hashes(e[first] - size, e[first] - 1), n, np.minimum(n, LOW_DISCOUNT))
+        at = np.searchsorted(strings, string)
+        h = back[at]
+        p[long] = (np.maximum(n[at] - LOW_DISCOUNT, 0) + freed[h] * p[long]) / total[h]
+    return p
 
 
 class Model:
-    """Log-likelihood differences (toxic minus ordinary) per word, from the counts of full-context n-grams."""
-
-    def __init__(self, counts: dict[str, tuple[int, int]]):
-        n: dict[str, list[float]] = {}
-        for gram, pair in counts.items():
-            for i in range(len(gram) - CLASS_ORDER + 1 if len(gram) >= CLASS_ORDER else 1):
-                kept = n.setdefault(gram[i:], [0, 0])
-                kept[0] += pair[0]
-                kept[1] += pair[1]
-        self.n = {g: tuple(k) for g, k in n.items()}
-        #: context -> (total, freed mass) per class
-        context: dict[str, list[float]] = {}
-        before: dict[str, set[str]] = {}
-        for gram, pair in self.n.items():
-            kept = context.setdefault(gram[:-1], [0, 0, 0, 0])
-            for c in (0, 1):
-                kept[c] += pair[c]
-                kept[2 + c] += min(pair[c], DISCOUNT)
-            before.setdefault(gram[-2:], set()).add(gram[:-2])
-        self.context = {h: tuple(k) for h, k in context.items()}
-        #: shared continuation counts of the last two characters, their totals, and of the last one
-        self.pairs = {g: len(s) for g, s in before.items()}
-        self.firsts: Counter = Counter()
-        self.kinds: Counter = Counter()
-        self.lasts: Counter = Counter()
-        for g, k in self.pairs.items():
-            self.firsts[g[:-1]] += k
-            self.kinds[g[:-1]] += 1
-            self.lasts[g[-1]] += 1
-        self.total = sum(self.lasts.values()) + 1.0
-        self.calibration = np.zeros(4)
-        self._grams: dict[str, float] = {}
+    """Log ratios (toxic over ordinary) of n-grams, of the unseen characters of contexts, and the calibration."""
+
+    def __init__(self, words: list[str], ordinary: np.ndarray, toxic: np.ndarray):
+        counted = np.flatnonzero(ordinary + toxic > 0)
+        words, ordinary, toxic = [words[i] for i in counted], ordinary[counted], toxic[counted]
+        spelled = Spelled(words)
+        gram, context = spelled.grams()
+        self.grams, back, n = _grouped(gram, ordinary[spelled.word], toxic[spelled.word])
+        kept = np.unique(gram, return_index=True)[1]
+        pooled = n[0] + n[1]
+        parts = [*n, pooled, *[np.minimum(x, DISCOUNT) for x in n], np.minimum(pooled, LOW_DISCOUNT)]
+        self.contexts, h, (t0, t1, t, f0, f1, f) = _grouped(context[kept], *parts)
+        shared = (np.maximum(pooled - LOW_DISCOUNT, 0) + f[h] * backoff(spelled, kept)) / t[h]
+        # The weight of the shared model is 1 for a class that has never seen the context.
+        weight = [np.where(a > 0, b / np.maximum(a, 1e-9), 1.0) for a, b in ((t0, f0), (t1, f1))]
+        p = [np.maximum(x - DISCOUNT, 0) / np.maximum(a, 1e-9)[h] + w[h] * shared for x, a, w in zip(n, (t0, t1), weight, strict=True)]
+        self.seen = (np.log(p[1]) - np.log(p[0])).astype(np.float32)
+        self.unseen = (np.log(weight[1]) - np.log(weight[0])).astype(np.float32)
+        self.slope, self.offset = 0.0, 0.0
         self._words: dict[str, float] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"_grams": {}, "_words": {}}
-
-    def shared(self, pair: str) -> float:
-        single = (self.lasts.get(pair[-1], 0) + 0.01) / self.total
-        h = pair[:-1]
-        if not (all_ := self.firsts.get(h)):
-            return single
-        return (max(self.pairs.get(pair, 0) - DISCOUNT, 0) + DISCOUNT * self.kinds[h] * single) / all_
-
-    def difference(self, gram: str) -> float:
-        found = self._grams.get(gram)
-        if found is None:
-            p = [self.shared(gram[-2:])] * 2
-            start = min(CLASS_ORDER, len(gram))
-            for size in range(start, len(gram) + 1):
-                g = gram[-size:]
-                held, seen = self.context.get(g[:-1]), self.n.get(g, (0, 0))
-                if held:
-                    for c in (0, 1):
-                        if held[c]:
-                            p[c] = (max(seen[c] - DISCOUNT, 0) + held[2 + c] * p[c]) / held[c]
-            found = math.log(p[1]) - math.log(p[0])
-            if len(self._grams) > CACHE:
-                self._grams.clear()
-            self._grams[gram] = found
-        return found
-
-    def word(self, word: str) -> float:
-        found = self._words.get(word)
-        if found is None:
-            found = sum(map(self.difference, grams(word)))
-            if len(self._words) > CACHE:
-                self._words.clear()
-            self._words[word] = found
-        return found
-
-    def evidence(self, texts: list[str | None]) -> np.ndarray:
-        """Rows (mean difference, mean and log total of what exceeds ``CLEAR``) per text: differences per word."""
-        out = np.zeros((len(texts), 3))
-        for row, text in zip(out, texts, strict=True):
-            if found := tokens(text):
-                d = np.fromiter(map(self.word, found), dtype=float, count=len(found))
-                clear = float(np.clip(d - CLEAR, 0, CLEAR_MOST).sum())
-                row[:] = d.mean(), 10 * clear / len(found), math.log1p(clear)
+        return self.__dict__ | {"_words": {}}
+
+    def ratios(self, words: list[str]) -> np.ndarray:
+        """Log-likelihood of each word under the toxic model minus that under the ordinary one."""
+        spelled = Spelled(words)
+        gram, context = spelled.grams()
+        out = np.zeros(len(gram))
+        known = np.zeros(len(gram), dtype=bool)
+        for keys, values, asked in ((self.grams, self.seen, gram), (self.contexts, self.unseen, context)):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                hit = ~known & (keys[at] == asked)
+                out[hit] = values[at[hit]]
+                known |= hit
+        return np.bincount(spelled.word, weights=out, minlength=len(words))
+
+    def difference(self, texts: list[str | None]) -> np.ndarray:
+        """Length-normalised log-likelihood of each text under the toxic mixture minus that under the ordinary model."""
+        known = self._words
+        if len(known) > CACHE:
+            known.clear()
+        found = [tokens(t) for t in texts]
+        new = sorted(set().union(*found).difference(known)) if found else []
+        for at in range(0, len(new), 50_000):
+            part = new[at : at + 50_000]
+            known.update(zip(part, np.log1p(SHARE * np.expm1(np.minimum(self.ratios(part), 500.0))).tolist(), strict=True))
+        out = np.array([sum(sorted(map(known.__getitem__, w))) / len(w) if w else 0.0 for w in found])
+        for w in new:
+            if len(w) > CACHED_LENGTH:
+                del known[w]
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        e = self.evidence(texts)
-        z = e @ self.calibration[:3] + self.calibration[3]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.difference(texts) * self.slope + self.offset, -30, 30)))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, share: float, steps: int = 50) -> np.ndarray:
-    """Logistic regression by Newton steps with a small ridge; classes weigh as among all labels."""
+def calibrate(x: np.ndarray, y: np.ndarray, share: float, steps: int = 50) -> tuple[float, float]:
+    """Slope and offset of a logistic regression by Newton steps; classes weigh as among all labels."""
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    x = np.c_[x, np.ones(len(x))]
-    w = np.zeros(x.shape[1])
+    scale = x.std() or 1.0
+    z = np.c_[x / scale, np.ones(len(x))]
+    w = np.zeros(2)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - y)) + 1e-2 * w
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        g = z.T @ (weight * (p - y)) + 1e-2 * w
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2)
         w -= np.linalg.solve(h, g)
-    return w
+    return float(w[0] / scale), float(w[1])
+
+
+def _word_docs(batches):
+    """Rows (word, label, counted, documents) of a task's documents."""
+    docs: Counter = Counter()
+    for batch in batches:
+        rows = zip(*[batch.column(c).to_pylist() for c in ("label", "counted", "text")], strict=True)
+        for label, counted, text in rows:
+            docs.update((w, label, counted) for w in tokens(text))
+    types = (pa.string(), pa.int32(), pa.bool_())
+    keys = zip(*docs, strict=True) if docs else ([], [], [])
+    columns = [pa.array(list(k), t) for k, t in zip(keys, types, strict=True)]
+    yield pa.RecordBatch.from_arrays([*columns, pa.array(list(docs.values()), pa.int64())], ["word", "label", "counted", "n"])
+
 
+def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
+    """The model from at most ``limit`` / 2 labelled rows of either class, with at most ``max_chars`` / 2 characters.
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS) -> Model:
-    """The model from at most ``limit`` / 2 labelled rows of either class, so that both rest on like counts."""
+    The calibration is fitted on a quarter of them by a model of the others; the model returned counts all.
+    """
     train = fold(F.col("doc_id"), 5) != 0
-    parts = [labelled_sample(ship(docs), labels, "toxic", train & (F.col("toxic") == c), limit // 2) for c in (0, 1)]
-    sample = cut(parts[0].unionByName(parts[1]).repartition(SAMPLE_PARTITIONS))
+    own = labels.where(train).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    parts = [labelled_sample(ship(docs), own, "toxic", F.col("toxic") == c, limit // 2, max_chars // 2) for c in (0, 1)]
+    sample = parts[0].unionByName(parts[1]).repartition(SAMPLE_PARTITIONS, "doc_id")
+    sample = cut(sample.withColumn("counted", F.pmod(F.xxhash64("doc_id", F.lit("kn")), F.lit(4)) != 0))
     share = labels.where(train).agg(F.avg("toxic")).first()[0]
     share = float(np.clip(0.1 if share is None else share, 0.01, 0.99))
-    counted = F.pmod(F.xxhash64("doc_id", F.lit("kn")), F.lit(4)) != 0
-    counts = sample.where(counted)
-    found = (
-        counts.mapInArrow(_gram_counts, "gram string, label int, n long")
-        .groupBy("gram")
-        .agg(*[F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)])
-        .collect()
-    )
-    model = Model({r["gram"]: (r["n0"], r["n1"]) for r in found})
-    rest = sample.where(~counted)
-    seen = rest.select("label", _evidence(model)("text").alias("e")).collect()
-    y = np.array([r["label"] for r in seen], dtype=float)
-    if len(set(y)) == 2:
-        model.calibration = calibrate(np.array([r["e"] for r in seen]), y, share)
-    else:
-        model.calibration = np.array([0, 0, 0, np.log(share / (1 - share))])
+    total = lambda *given: F.sum(F.when(F.expr(" AND ".join(given)), F.col("n")).otherwise(0))
+    sums = [total(f"label = {c}", *more).alias(f"{name}{c}") for name, more in (("n", ("counted",)), ("all", ())) for c in (0, 1)]
+    found = sample.mapInArrow(_word_docs, "word string, label int, counted boolean, n long").groupBy("word").agg(*sums).toArrow()
+    words, counts = found["word"].to_pylist(), {c: found[c].to_numpy().astype(float) for c in found.column_names[1:]}
+    model = Model(words, counts["n0"], counts["n1"])
+    seen = sample.where("NOT counted").select("label", _difference(model)("text").alias("d")).toArrow()
+    y, x = seen["label"].to_numpy().astype(float), seen["d"].to_numpy()
+    model = Model(words, counts["all0"], counts["all1"])
+    model.slope, model.offset = calibrate(x, y, share) if len(set(y)) == 2 else (0.0, float(np.log(share / (1 - share))))
     return model
 
 
-def _evidence(model: Model):
-    @F.pandas_udf("array<double>")
-    def evidence(text: pd.Series) -> pd.Series:
-        return pd.Series(list(model.evidence(text.tolist())))
+def _difference(model: Model):
+    @F.pandas_udf("double")
+    def difference(text: pd.Series) -> pd.Series:
+        return pd.Series(model.difference(text.tolist()))
 
-    return evidence
+    return difference
 
 
 def judge(docs: DataFrame, model: Model) -> DataFrame:
