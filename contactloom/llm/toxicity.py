@@ -104,20 +104,31 @@ def _grouped(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return found, back, [np.bincount(back, weights=v, minlength=len(found)) for v in values]
 
 
-def backoff(spelled: Spelled, kept: np.ndarray) -> np.ndarray:
-    """Continuation probability of the last character of each kept n-gram after up to ``LOW`` - 1 characters."""
-    start, end = spelled.start[kept], spelled.end[kept]
-    p = np.full(len(kept), 1.0 / 256)
+def _chunks(words: list[str], size: int = 20_000):
+    """The words spelled in parts, so that what is built on the way stays small."""
+    for at in range(0, len(words), size):
+        yield slice(at, at + size), Spelled(words[at : at + size])
+
+
+def backoff(words: list[str], grams: np.ndarray) -> np.ndarray:
+    """Continuation probability of the last character of each n-gram after up to ``LOW`` - 1 characters."""
+    p = np.full(len(grams), 1.0 / 256)
     for size in range(1, LOW + 1):
-        long = end - start > size  # something stands before the string
+        before, string, context = (np.zeros(len(grams), dtype=np.uint64) for _ in range(3))
+        long = np.zeros(len(grams), dtype=bool)  # something stands before the string
+        for _, spelled in _chunks(words):
+            some = np.flatnonzero(spelled.end - spelled.start > size)
+            at = np.searchsorted(grams, spelled.hashes(spelled.start[some], spelled.end[some]))
+            e = spelled.end[some]
+            before[at], string[at], context[at] = (spelled.hashes(e - a, e - b) for a, b in ((size + 1, 0), (size, 0), (size, 1)))
+            long[at] = True
         if not long.any():
             break
-        e = end[long]
-        before, string = spelled.hashes(e - size - 1, e), spelled.hashes(e - size, e)
+        before, string, context = before[long], string[long], context[long]
         place = np.unique(before, return_index=True)[1]  # one row per different continuation
         strings, _, (n,) = _grouped(string[place], np.ones(len(place)))
         first = np.unique(string, return_index=True)[1]
-        contexts, back, (total, freed) = _grouped(spelled.hashes(e[first] - size, e[first] - 1), n, np.minimum(n, LOW_DISCOUNT))
+        _, back, (total, freed) = _grouped(context[first], n, np.minimum(n, LOW_DISCOUNT))
         at = np.searchsorted(strings, string)
         h = back[at]
         p[long] = (np.maximum(n[at] - LOW_DISCOUNT, 0) + freed[h] * p[long]) / total[h]
@@ -130,14 +141,24 @@ class Model:
     def __init__(self, words: list[str], ordinary: np.ndarray, toxic: np.ndarray):
         counted = np.flatnonzero(ordinary + toxic > 0)
         words, ordinary, toxic = [words[i] for i in counted], ordinary[counted], toxic[counted]
-        spelled = Spelled(words)
-        gram, context = spelled.grams()
-        self.grams, back, n = _grouped(gram, ordinary[spelled.word], toxic[spelled.word])
-        kept = np.unique(gram, return_index=True)[1]
+        parts = []
+        for part, spelled in _chunks(words):
+            gram, context = spelled.grams()
+            found, _, n = _grouped(gram, ordinary[part][spelled.word], toxic[part][spelled.word])
+            parts.append((found, context[np.unique(gram, return_index=True)[1]], *n))
+        if parts:
+            gram, context, *n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        else:
+            gram, context, *n = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+        del parts
+        self.grams, _, n = _grouped(gram, *n)
+        context = context[np.unique(gram, return_index=True)[1]]
+        del gram
         pooled = n[0] + n[1]
         parts = [*n, pooled, *[np.minimum(x, DISCOUNT) for x in n], np.minimum(pooled, LOW_DISCOUNT)]
-        self.contexts, h, (t0, t1, t, f0, f1, f) = _grouped(context[kept], *parts)
-        shared = (np.maximum(pooled - LOW_DISCOUNT, 0) + f[h] * backoff(spelled, kept)) / t[h]
+        self.contexts, h, (t0, t1, t, f0, f1, f) = _grouped(context, *parts)
+        del context, parts
+        shared = (np.maximum(pooled - LOW_DISCOUNT, 0) + f[h] * backoff(words, self.grams)) / t[h]
         # The weight of the shared model is 1 for a class that has never seen the context.
         weight = [np.where(a > 0, b / np.maximum(a, 1e-9), 1.0) for a, b in ((t0, f0), (t1, f1))]
         p = [np.maximum(x - DISCOUNT, 0) / np.maximum(a, 1e-9)[h] + w[h] * shared for x, a, w in zip(n, (t0, t1), weight, strict=True)]
@@ -229,6 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS, max_chars: in
     model = Model(words, counts["n0"], counts["n1"])
     seen = sample.where("NOT counted").select("label", _difference(model)("text").alias("d")).toArrow()
     y, x = seen["label"].to_numpy().astype(float), seen["d"].to_numpy()
+    del found, model
     model = Model(words, counts["all0"], counts["all1"])
     model.slope, model.offset = calibrate(x, y, share) if len(set(y)) == 2 else (0.0, float(np.log(share / (1 - share))))
     return model
