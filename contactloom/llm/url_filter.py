@@ -1,16 +1,21 @@
 """URL filter: explicit rules, else logistic regression on hashed character n-grams.
 
 The classifier is trained on the driver from a small labelled URL table (by default
-the one below, at most ``MAX_ROWS`` rows) on hashed 3- to 5-grams of host and path,
-kept apart by a prefix.  Rules decide before it: a rule holds for its host and all
-subdomains if the path starts with the rule's; the longest wins.
+the one below, at most ``MAX_ROWS`` rows; more are an error) on hashed 3- to 5-grams of
+host and path, kept apart by a prefix.  Rules decide before it: a rule holds for its host
+and all subdomains if the path starts with the rule's; the longest wins.
+
+The default table is made of general English words of unwanted and of ordinary sites, put
+into common layouts.  Most urls are ordinary, so unwanted rows weigh ``PRIOR`` of all, and a url that
+resembles neither kind is allowed.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased.
 Path: from there up to ``?``, ``#`` or the end.
 
 Defined cases: a null url and one without ``://`` have an empty host and path, fit no
-rule, and get the classifier's verdict on the empty text; equal urls get equal
-verdicts; extra columns are carried and replaced where an output column has their name.
+rule, show no n-gram of a name, and are allowed (score 0); urls of any length are judged
+whole; equal urls get equal verdicts; extra columns are carried and replaced where an
+output column has their name.
 """
 
 from __future__ import annotations
@@ -36,32 +41,44 @@ RULES = [
 BITS = 14
 MAX_ROWS = 5000
 ORDERS = (3, 4, 5)
-
-#: A small labelled table: 1 blocks.  Words of unwanted sites against words of ordinary ones, on common layouts; none is taken from data.
-_UNWANTED = (
-    "casino-bonus free-money adult-dating cheap-meds buy-pills spam-links live-cams win-prizes payday-loans torrent-crack replica-watches "
-    "click-bait poker-online lottery-winner porn-videos fast-cash miracle-diet fake-followers warez-keygen sex-chat"
+#: Share of unwanted urls that the fit assumes.
+PRIOR = 0.2
+
+# General words of unwanted and of ordinary sites.
+UNWANTED = (
+    "adult ads banner bet betting bets bingo bonus bride cams cash casino cheap clickbait clicks counterfeit crack dating deals debt diet "
+    "drugs erotic escort fake followers forex free gambling giveaway hack hookup jackpot keygen loans lottery lucky malware meds "
+    "millionaire miracle naked nude offers payday phishing pills pirate poker popup porn prize promo replica scam serial sex slots spam "
+    "steroids sweepstakes torrent track tracker viagra virus warez webcam win winner xxx"
 ).split()
-_ORDINARY = (
-    "news blog library weather university museum recipes gardening science city-council travel history football hospital school "
-    "theatre railway insurance software encyclopedia"
+ORDINARY = (
+    "academy airport archive art astronomy atlas bakery bank biology blog books bridge bulletin camera castle chemistry choir church city "
+    "clinic climate club coffee college cooking council court culture dentist design dictionary education encyclopedia energy "
+    "engineering family farm festival film football forest forum foundation garden geography gallery government grammar guide harbour health "
+    "history hospital house insurance institute island journal journey kitchen laboratory language law library magazine maps market "
+    "mathematics medicine memorial mountain museum music nature news observatory orchestra painting park physics pictures poetry police "
+    "post press radio railway recipes research review river road school science sea software sport station stories student studio "
+    "teacher theatre times town trail travel university valley village water weather winter woman wood world writing youth"
 ).split()
 _LAYOUTS = [
     ("http://{}.org", "/page/{}"),
     ("https://www.{}.com", "/articles/{}.html"),
     ("https://{}.net", "/category/{}/"),
     ("http://m.{}.info", "/view?id={}"),
-    ("https://shop.{}.co.uk", "/{}#top"),
+    ("https://blog.{}.co.uk", "/{}#top"),
 ]
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    return [
-        (host.format(w) + path.format(17 + 37 * i + 101 * j), label)
-        for label, names in ((1, _UNWANTED), (0, _ORDINARY))
-        for i, w in enumerate(names)
-        for j, (host, path) in enumerate(_LAYOUTS)
-    ]
+def labelled_urls(unwanted=UNWANTED, ordinary=ORDINARY) -> list[tuple[str, int]]:
+    """(url, 1 for block) rows: pairs of words of a kind as a host, and single words as a path's first part."""
+    rows = []
+    for label, names in ((1, unwanted), (0, ordinary)):
+        for i, word in enumerate(names):
+            for j, (host, path) in enumerate(_LAYOUTS):
+                other = names[(i * 7 + j * 13 + 5) % len(names)]
+                name = [word, f"{word}-{other}", f"{other}{word}", f"{word}{other}", f"the-{word}"][j]
+                rows.append((host.format(name) + path.format(17 + 37 * i + 101 * j), label))
+    return rows
 
 
 def host_of(url: Column) -> Column:
@@ -92,18 +109,26 @@ def features(host: str, path: str) -> list[int]:
     return sorted(found)
 
 
-def train(urls: list[tuple[str, int]], epochs: int = 200, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias; full-batch gradient steps on length-normalised n-gram vectors."""
-    rows = [features(*split_url(u)) for u, _ in urls[:MAX_ROWS]]
-    y = np.array([label for _, label in urls[:MAX_ROWS]], dtype=float)
-    x = np.zeros((len(rows), 1 << BITS))
-    for r, found in zip(x, rows, strict=True):
-        r[found] = 1 / np.sqrt(max(len(found), 1))
+def _sparse(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of length-normalised n-gram vectors."""
+    sizes = np.array([len(r) for r in rows], dtype=np.int64)
+    row = np.repeat(np.arange(len(rows)), sizes)
+    column = np.fromiter((c for r in rows for c in r), dtype=np.int64, count=int(sizes.sum()))
+    return row, column, 1 / np.sqrt(np.maximum(sizes, 1))[row]
+
+
+def train(urls: list[tuple[str, int]], epochs: int = 400, rate: float = 3.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias by full-batch gradient steps; memory in proportion to the n-grams of the table."""
+    if len(urls) > MAX_ROWS:
+        raise ValueError(f"the labelled table may have {MAX_ROWS} rows")
+    row, column, value = _sparse([features(*split_url(u)) for u, _ in urls])
+    y = np.array([label for _, label in urls], dtype=float)
+    weight = np.where(y == 1, PRIOR / max(y.mean(), 1e-9), (1 - PRIOR) / max(1 - y.mean(), 1e-9)) if 0 < y.sum() < len(y) else np.ones(len(y))
     w, b = np.zeros(1 << BITS), 0.0
-    for _ in range(epochs):
-        p = 1 / (1 + np.exp(-(x @ w + b)))
-        w -= rate * (x.T @ (p - y) / max(len(y), 1) * 10 + decay * w)
-        b -= rate * float((p - y).mean()) if len(y) else 0.0
+    for _ in range(epochs if len(y) else 0):
+        d = weight * (1 / (1 + np.exp(-(np.bincount(row, weights=value * w[column], minlength=len(y)) + b))) - y)
+        w -= rate * (np.bincount(column, weights=value * d[row], minlength=len(w)) / len(y) * 10 + decay * w)
+        b -= rate / 4 * float(d.mean())
     return w, b
 
 
@@ -113,9 +138,9 @@ def scorer(weights: np.ndarray, bias: float):
         known: dict[tuple[str, str], float] = {}
         for key in zip(host, path, strict=True):
             if key not in known:
-                found = features(*key)
+                found = features(*key) if key != ("", "") else []
                 z = float(weights[found].sum()) / np.sqrt(max(len(found), 1)) + bias
-                known[key] = float(1 / (1 + np.exp(-z)))
+                known[key] = float(1 / (1 + np.exp(-np.clip(z, -30, 30)))) if found else 0.0
         return pd.Series([known[k] for k in zip(host, path, strict=True)])
 
     return score
