@@ -14,9 +14,16 @@ links are verified by their bit count and deduplicated.  Pairs of a group of cop
 are never enumerated: exact copies share one fingerprint, and a ball of radius 4 has
 a bounded number of fingerprints.
 
+A fingerprint stands for its best row, the one of the smallest id, and the best row of
+all fingerprints reachable is the root of its component, so a component's id needs no
+further lookup.  Rows get it by (fingerprint, salt of the id), so copies that share one
+fingerprint are dealt over ``SALTS`` tasks.
+
 Defined cases: null and blank texts have fingerprint zero and are linked like any
-other; null ids do not become a component's id unless there is no other; rows that
-repeat are kept apart; extra columns are carried by ``keep_one``.
+other; ids may have any type that has an order; null ids do not become a component's id
+unless there is no other; rows that repeat are kept apart by ``decide``, which ignores
+columns other than id and text; extra columns, whatever their names, are carried by
+``keep_one``.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.llm.common import cut
@@ -39,6 +46,7 @@ SEED = 42
 RADIUS = 4
 #: Variants that a task sorts at once.
 CHUNK = 4_000_000
+SALTS = 32
 
 
 def shingle_hashes(text: bytes | None) -> list[int]:
@@ -78,10 +86,9 @@ def _fingerprint_batches(batches):
 
 
 def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
-    """(doc_id, the carried long columns, fp) with the fingerprint as a signed 64-bit integer."""
-    return ship(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *carried, "text").mapInArrow(
-        _fingerprint_batches, ", ".join(f"{c} long" for c in ("doc_id", *carried, "fp"))
-    )
+    """(doc_id, the carried columns, fp) with the fingerprint as a signed 64-bit integer."""
+    kept = docs.select("doc_id", *carried, "text")
+    return ship(kept).mapInArrow(_fingerprint_batches, kept.drop("text").schema.add("fp", "long"))
 
 
 def _flips(bits: list[int], most: int) -> list[tuple[int, int]]:
@@ -209,19 +216,26 @@ def links(prints: DataFrame, n: int) -> DataFrame:
 
 
 def _rooted(distinct: DataFrame) -> DataFrame:
-    """The distinct fingerprints with the root of their component; ``distinct`` is read more than once."""
-    roots = components(links(distinct.select("fp"), distinct.count()))
-    joined = distinct.join(roots, distinct["fp"] == roots["node"], "left")
-    return joined.select(*[distinct[c] for c in distinct.columns], F.coalesce("root", "fp").alias("root"))
+    """(fp, best) of every distinct fingerprint, with the best row of its whole component; ``distinct`` is read more than once."""
+    found = links(distinct.select("fp"), distinct.count())
+    node = lambda side: distinct.select(F.col("fp").alias(f"fp_{side}"), F.struct("best", "fp").alias(side))
+    named = found.select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(node("a"), "fp_a").join(node("b"), "fp_b")
+    roots = components(named.select("a", "b")).select(F.col("node.fp").alias("fp"), F.col("root.best").alias("root"))
+    return distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "best").alias("best"))
+
+
+def _salt(*columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
 
 
 def decide(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id), one row per document."""
-    prints = cut(fingerprints(docs))
-    rooted = _rooted(cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"))))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    prints = cut(fingerprints(docs)).withColumn("salt", _salt("doc_id"))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")
+    cells = prints.groupBy("fp", "salt").agg(F.min(rank).alias("best"))
+    rooted = _rooted(cut(cells.groupBy("fp").agg(F.min("best").alias("best"))))
+    of_cell = cells.select("fp", "salt").join(rooted, "fp").select("fp", "salt", F.col("best.doc_id").alias("component_id"))
+    return prints.join(of_cell, ["fp", "salt"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -236,14 +250,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     prints = fingerprints(hashed.select(*[F.col(c).alias(n) for n, c in where.items()], "__h", "__g"), "__h", "__g")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__h", "__g")
     rooted = _rooted(cut(prints.groupBy("fp").agg(F.min(rank).alias("best"))))
-    keepers = rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.__h", "best.__g")
-    same = Window.partitionBy("__h", "__g").orderBy("__h")
-    return (
-        hashed.join(keepers, ["__h", "__g"], "left_semi")
-        .withColumn("__n", F.row_number().over(same))
-        .where("__n = 1")
-        .select(*[F.col(a).alias(c) for a, c in zip(names, docs.columns, strict=True)])
-    )
+    keepers = rooted.select("best.__h", "best.__g").distinct()
+    once = hashed.dropDuplicates(["__h", "__g"]).join(keepers, ["__h", "__g"], "left_semi")
+    return once.select(*[F.col(a).alias(c) for a, c in zip(names, docs.columns, strict=True)])
 
 
 def query(spark, sf_dir):
