@@ -4,8 +4,8 @@ A template is any function from a list of (role, text) turns to a string.  It is
 rendered on successive prefixes of a conversation; where an output extends the one
 before it, the extension is the new turn's span.  An output that does not extend the
 one before it shows a template that rewrites history.  A text's place inside its span
-is found by rendering the turn with two probe texts and comparing the outputs.  The
-cost is the sum of a conversation's prefixes.
+is found by rendering the turn with another text and comparing the outputs, for the
+turns whose texts are wanted.  The cost is the sum of a conversation's prefixes.
 
 The template here writes ``### role:`` and a line feed, the text, ``</turn>`` and a
 line feed.  Inside texts a backslash becomes ``\\``, ``###`` becomes ``\h`` and
@@ -14,14 +14,13 @@ line feed.  Inside texts a backslash becomes ``\\``, ``###`` becomes ``\h`` and
 
 Conversations are gathered per id and ordered by turn, then role, then text; a
 conversation is one output string and must fit a task.  Null texts and roles are
-empty; rows that repeat are turns of their own; a null id is a conversation of its
-own; empty tables give empty results; other columns are ignored.
+empty; rows that repeat are turns of their own; ids may have any type, and a null id is a
+conversation of its own; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable
 
@@ -57,33 +56,66 @@ def parse(formatted: str) -> Turns:
     return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
-def render(turns: Turns, template: Template = template) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]], int | None]:
-    """(output, turn spans, text spans, first turn at which history was rewritten or None)."""
+def _common(a: str, b: str, start: int = 0) -> int:
+    """Length of the common prefix of two strings, known to agree up to ``start``."""
+    low, high = start, min(len(a), len(b))
+    step = 64
+    while low < high and a[low : low + step] == b[low : low + step] and low + step <= high:
+        low, step = low + step, step * 2
+    high = min(high, low + step)
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def _place(turns: Turns, k: int, output: str, following: str, template: Template) -> tuple[int, int]:
+    """Where the text of turn ``k`` stands in the output after it, by rendering the turn with other texts.
+
+    A character that the output has nowhere is rendered in the text's place: the outputs
+    part where the text starts, and what follows the character follows the text.  A
+    template that does not treat it as a text of one character is asked with two plain texts.
+    """
+    head_of = [*turns[:k]]
+    role = turns[k][0]
+    known = len(output) if following.startswith(output) else 0
+    mark = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in following)
+    probe = template([*head_of, (role, mark)])
+    head = _common(following, probe, known if probe.startswith(output) else 0)
+    if probe[head : head + 1] == mark and following.endswith(probe[head + 1 :]) and len(following) >= len(probe) - 1:
+        return head, len(following) - (len(probe) - head - 1)
+    a, b = (template([*head_of, (role, text)]) for text in ("a", "b"))
+    head = _common(a, b)
+    tail = _common(a[: head : -1], b[: head : -1])
+    return head, len(following) - tail
+
+
+def render(turns: Turns, template: Template = template, wanted=lambda role: True) -> tuple[str, list[tuple[int, int]], list[tuple[int, int] | None], int | None]:
+    """(output, turn spans, text spans, first turn at which history was rewritten or None); only texts of wanted roles are located."""
     output, spans, texts, rewritten = template([]), [], [], None
     for k, (role, _) in enumerate(turns):
         following = template(turns[: k + 1])
         if not following.startswith(output):
             rewritten = k if rewritten is None else rewritten
-            start = len(os.path.commonprefix([output, following]))
+            start = _common(output, following)
         else:
             start = len(output)
         spans.append((start, len(following)))
-        probes = [template([*turns[:k], (role, probe)]) for probe in ("a", "b")]
-        head = len(os.path.commonprefix(probes))
-        tail = len(os.path.commonprefix([p[head + 1 :][::-1] for p in probes]))
-        texts.append((head, len(following) - tail))
+        texts.append(_place(turns, k, output, following, template) if wanted(role) else None)
         output = following
     return output, spans, texts, rewritten
 
 
 def formatted_row(turns: Turns, template: Template = template) -> dict:
-    output, spans, texts, rewritten = render(turns, template)
-    mask = [texts[i] for i, (role, _) in enumerate(turns) if role == "assistant"]
-    return {"formatted": output, "turn_spans": spans, "loss_spans": mask, "rewritten_at": rewritten}
+    output, spans, texts, rewritten = render(turns, template, lambda role: role == "assistant")
+    return {"formatted": output, "turn_spans": spans, "loss_spans": [t for t in texts if t is not None], "rewritten_at": rewritten}
 
 
 _SCHEMA = (
-    "conv_id long, formatted string, turn_spans array<struct<start: long, end: long>>, "
+    "formatted string, turn_spans array<struct<start: long, end: long>>, "
     "loss_spans array<struct<start: long, end: long>>, rewritten_at int"
 )
 
@@ -113,12 +145,12 @@ def _format_batches(template: Template):
 
 def format_conversations(conversations: DataFrame, template: Template = template) -> DataFrame:
     """One row per conversation: the formatted text, the spans of its turns and of the texts under the loss mask."""
-    turns = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(
+    turns = conversations.groupBy("conv_id").agg(
         F.sort_array(
             F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
         ).alias("turns")
     )
-    return ship(turns).mapInArrow(_format_batches(template), _SCHEMA)
+    return ship(turns).mapInArrow(_format_batches(template), f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, {_SCHEMA}")
 
 
 def _digest_batches(batches):
@@ -143,9 +175,10 @@ def _sha(text: str) -> str:
 
 def digests(formatted: DataFrame) -> DataFrame:
     """Counts and digests read back from formatted conversations and their loss spans."""
+    kind = formatted.schema["conv_id"].dataType.simpleString()
     return formatted.mapInArrow(
         _digest_batches,
-        "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
+        f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
     )
 
 

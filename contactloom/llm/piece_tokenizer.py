@@ -14,7 +14,8 @@ compatible, so one edge survives at every position and the result equals that of
 the merge procedure.  Characters outside the vocabulary become byte pieces.
 
 Pieces have blanks only at their start and never hold a line feed, so units are
-encoded independently; their results are kept in a bounded cache.
+encoded independently; results of short ones are kept in a cache of bounded bytes.  A
+unit without blanks takes one round per character, whatever its length.
 
 Defined cases: null and empty texts have no pieces and decode to the empty text;
 texts of any length are encoded whole; U+2581 decodes to a blank, as the format
@@ -38,9 +39,10 @@ from contactloom.shipping import ship
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 UNITS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+")
-#: Characters of units that are indexed at once, and units that a worker remembers.
+#: Characters of units that are indexed at once; units that a worker remembers, and the longest of them.
 CHUNK = 300_000
 CACHE = 300_000
+CACHED_LENGTH = 60
 PAIRS = 2_000_000
 #: Text that is encoded before a batch is handed back.
 BATCH_CHARS = 4_000_000
@@ -232,7 +234,11 @@ class Vocabulary:
                 j += 1
             cache.update(zip(new[i:j], self.encode_units(new[i:j]), strict=True))
             i = j
-        return [np.frombuffer(b"".join([cache[u] for u in units]), dtype=np.int32) for units in cut]
+        ids = [np.frombuffer(b"".join([cache[u] for u in units]), dtype=np.int32) for units in cut]
+        for u in new:  # long units are not worth their bytes
+            if len(u) > CACHED_LENGTH:
+                del cache[u]
+        return ids
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")

@@ -11,8 +11,9 @@ Repeated windows are found by sorting the 64-bit hashes of a text's three-word
 windows, so the cost is n log n in the words of one text.
 
 Defined cases: a null or blank text has 0 words and fails the base rule; without
-labels the list is empty and the base rule decides; extra columns are carried and
-replaced where an output column has their name.
+labels the list is empty and the base rule decides; rows of one labelled id are all
+learned from, within the bounds, and contradicting labels of an id count as good; extra
+columns are carried and replaced only where an output column has their name.
 """
 
 from __future__ import annotations
@@ -22,16 +23,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import SPACE, WORD, labelled_sample
+from contactloom.llm.common import SPACE, WORD, labelled_sample, without
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 FEATURES = ["symbol_ratio", "upper_ratio", "exclaim_ratio", "repeat_ratio", "dup_line_ratio", "mean_word"]
 OUTPUT = [*BASE, "kept"]
-#: Bound of the labelled sample that the list is learned from.
+#: Bounds of the labelled sample that the list is learned from.
 MAX_ROWS = 4000
 MAX_CHARS = 24_000_000
-MAX_RULES = 8
-MAX_CONDITIONS = 3
 MIN_PRECISION = 0.95
 MIN_COVER = 3
 
@@ -138,10 +137,10 @@ def learn(rows: list[dict], features: list[str] | None = None) -> list[list[Cond
     grow = [r for i, r in enumerate(rows) if i % 3]
     prune = [r for i, r in enumerate(rows) if not i % 3]
     rules: list[list[Condition]] = []
-    while len(rules) < MAX_RULES:
+    while True:
         rule: list[Condition] = []
         covered = grow
-        while len(rule) < MAX_CONDITIONS and (found := _best_condition(covered, features)) and found[0] > 1e-6:
+        while (found := _best_condition(covered, features)) and found[0] > 1e-6:
             rule.append(found[1])
             covered = [r for r in covered if _holds(r, rule)]
         if not rule:
@@ -183,7 +182,11 @@ def verdict(rules: list[list[Condition]]) -> Column:
 def judge(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS) -> DataFrame:
     """``docs`` with the base statistics and ``kept``."""
     rules = learn(training_rows(docs, labels, limit))
-    return statistics(docs.drop("kept")).withColumn("kept", verdict(rules)).drop(*FEATURES)
+    names = [c for c in docs.columns if c.lower() not in OUTPUT]
+    held = [f"c{i}" for i in range(len(names))]
+    plain = docs.select(F.col("text").alias("text"), *[c.alias(h) for c, h in zip(without(docs, OUTPUT), held, strict=True)])
+    judged = statistics(plain).withColumn("kept", verdict(rules))
+    return judged.select(*[F.col(h).alias(c) for h, c in zip(held, names, strict=True)], *OUTPUT)
 
 
 def query(spark, sf_dir):
