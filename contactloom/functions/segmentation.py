@@ -41,15 +41,6 @@ def diamond(m: np.ndarray, i: int, w: int) -> np.ndarray:
     return m[max(0, i - w + 1) : i + 1, i + 1 : min(len(m), i + 1 + w)]
 
 
-def triangles(m: np.ndarray, i: int, w: int) -> np.ndarray:
-    """Upper-triangle contacts inside the w bins up to i and inside the w bins after it."""
-    parts = []
-    for lo, hi in ((max(0, i - w + 1), i + 1), (i + 1, min(len(m), i + 1 + w))):
-        block = m[lo:hi, lo:hi]
-        parts.append(block[np.triu_indices(len(block), 1)])
-    return np.concatenate(parts)
-
-
 def rank_sum_less(a: np.ndarray, b: np.ndarray) -> float:
     """One-sided p that ``a`` tends to be less than ``b``: normal approximation with tie and continuity corrections."""
     n, m = len(a), len(b)
@@ -65,145 +56,241 @@ def rank_sum_less(a: np.ndarray, b: np.ndarray) -> float:
     return 0.5 * math.erfc(-((u - n * m / 2 + 0.5) / math.sqrt(var)) / math.sqrt(2))
 
 
-def turning_points(x: np.ndarray) -> tuple[list[int], list[int]]:
-    """(minima, maxima) of a curve, from a greedy piecewise-linear fit of the curve scaled by its mean steps."""
-    n = len(x)
-    if n < 3:
-        return [], []
-    steps = np.abs(np.diff(x)).mean() or 1.0
-    y = np.r_[0, np.cumsum(np.diff(x))] / steps
-    points, i = [0], 0
-    while i < n - 1:
-        best, at = -math.inf, n - 1
-        for j in range(i + 1, n):
-            k = np.arange(i + 1, j)
-            base = math.hypot(j - i, y[j] - y[i])
-            gap = np.abs((y[j] - y[i]) * k - (j - i) * y[k] - i * y[j] + j * y[i]).sum() / base if len(k) else 0.0
-            gain = base - gap
-            if gain < best:
+def _bends(z: np.ndarray) -> list[int]:
+    """Places where a polyline of complex points is cut into chords.
+
+    From each cut the chord is lengthened point by point while its merit does not fall:
+    its length less the distances of the points that it passes by.
+    """
+    cuts, last = [0], len(z) - 1
+    while cuts[-1] < last:
+        here = cuts[-1]
+        merit, end = -math.inf, last
+        for j in range(here + 1, len(z)):
+            chord = z[j] - z[here]
+            passed = (np.conj(chord / abs(chord)) * (z[here + 1 : j] - z[here])).imag
+            following = abs(chord) - np.abs(passed).sum()
+            if following < merit:
+                end = j - 1
                 break
-            best, at = gain, j
-        points.append(at)
-        i = at
-    values = x[points]
-    low = [points[k] for k in range(1, len(points) - 1) if values[k] <= values[k - 1] and values[k] < values[k + 1]]
-    high = [points[k] for k in range(1, len(points) - 1) if values[k] >= values[k - 1] and values[k] > values[k + 1]]
-    return low, high
+            merit = following
+        cuts.append(end)
+    return cuts
 
 
-def gap_bins(m: np.ndarray) -> np.ndarray:
-    """Bins whose rows are empty."""
-    return m.sum(axis=1) == 0
+def turning_points(x: np.ndarray) -> tuple[list[int], list[int]]:
+    """(minima, maxima) of a curve, from its cuts into chords in units of its mean steps.
+
+    A cut is an extreme if it is one among its adjacent points; a stretch between cuts,
+    except the last, adds the points that lie below or above both of its ends.
+    """
+    x = np.nan_to_num(np.asarray(x, dtype=float))
+    n = len(x)
+    if n <= 3:
+        return ([int(x.argmin())], [int(x.argmax())]) if n else ([], [])
+    y = x / (np.abs(np.diff(x)).mean() or 1.0)
+    cuts = _bends(np.arange(n) + 1j * y)
+    low, high = set(), set()
+    for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):
+        beside = y[[b - 1, b + 1]]
+        if (y[b] >= beside).all():
+            high.add(b)
+        elif (y[b] < beside).all():
+            low.add(b)
+        stretch = y[a : b + 1]
+        for found, other, at, beyond in ((low, high, stretch.argmin(), stretch.min() < min(y[a], y[b])), (high, low, stretch.argmax(), stretch.max() > max(y[a], y[b]))):
+            if beyond:
+                found.add(a + int(at))
+                other.discard(a + int(at))
+    return sorted(low), sorted(high)
 
 
-def regions(gap: np.ndarray, least: int = 3) -> list[tuple[int, int]]:
+def gap_bins(m: np.ndarray) -> np.ndarray:
+    """Bins of runs of two or more bins without a contact among themselves, taken greedily from the left."""
+    n = len(m)
+    area = np.zeros((n + 1, n + 1))
+    area[1:, 1:] = np.cumsum(np.cumsum(m, axis=0), axis=1)
+    inside = lambda a, b: area[b, b] - area[a, b] - area[b, a] + area[a, a]
+    gap, a = np.zeros(n, dtype=bool), 0
+    while a < n:
+        b = a + 1
+        while b < n and inside(a, b + 1) == 0:
+            b += 1
+        gap[a:b] |= b - a > 1
+        a = b
+    return gap
+
+
+def regions(gap: np.ndarray, least: int = 4) -> list[tuple[int, int]]:
     """Half-open runs of at least ``least`` bins without a gap."""
     edge = np.flatnonzero(np.diff(np.r_[1, gap.astype(int), 1]))
-    return [(a, b) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= least]
+    return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= least]
+
 
+def border_test(scaled: np.ndarray, i: int, w: int) -> float:
+    """p that contacts across the border after bin i are fewer than those within the w + 1 bins before and the w bins behind it."""
+    inner = []
+    for lo, hi in ((max(0, i - w), i + 1), (i + 1, min(len(scaled), i + 1 + w))):
+        block = scaled[lo:hi, lo:hi]
+        inner.append(block[np.triu_indices(len(block), 1)])
+    inner = np.concatenate(inner)
+    return rank_sum_less(diamond(scaled, i, w).ravel(), inner[inner != 0])
 
-def window_domains(m: np.ndarray, w: int, test: bool = True) -> list[tuple[int, int, str, float]]:
-    """(start, end, kind, p) of domains and gaps by diamond means of size w."""
+
+def window_domains(m: np.ndarray, w: int, test: bool = True, cut: float = 0.05) -> list[tuple[int, int, str, float]]:
+    """(start, end, kind, score) of domains, boundaries and gaps by diamond means of size w.
+
+    Borders are the minima of the diamond means between gaps, with ``test`` those that the
+    rank test confirms.  A domain ends with its border; its score is the mean p of its
+    bins, and if all of them are below ``cut`` it is a boundary.  Borders side by side are
+    a boundary of their own.  Gaps and boundaries score 0.
+    """
     n = len(m)
     mean = np.array([d.mean() if (d := diamond(m, i, w)).size else 0.0 for i in range(n)])
     gap = gap_bins(m)
-    borders: dict[int, float] = {}
-    scaled = np.zeros_like(m, dtype=float)
-    for k in range(1, 2 * w):
-        if k < n:
-            d = np.diagonal(m, k).astype(float)
-            sd = d.std(ddof=1) if len(d) > 1 else 0.0
-            scaled[np.arange(n - k), np.arange(k, n)] = (d - d.mean()) / sd if sd > 0 else 0.0
+    border, p = np.zeros(n, dtype=bool), np.ones(n)
+    scaled = np.triu(m).astype(float)
+    for k in range(1, min(2 * w, n)):
+        d = np.diagonal(m, k).astype(float)
+        sd = d.std(ddof=1) if len(d) > 1 else 0.0
+        scaled[np.arange(n - k), np.arange(k, n)] = (d - d.mean()) / sd if sd > 0 else 0.0
     for a, b in regions(gap):
-        for x in turning_points(mean[a:b])[0]:
-            i = a + x
-            p = rank_sum_less(diamond(scaled, i, w).ravel(), triangles(scaled, i, w)) if test else 0.0
-            if p < 0.05 or not test:
-                borders[i] = p
-    out = []
-    cuts = sorted({0, n, *(i + 1 for i in borders), *(x for r in regions(gap, 1) for x in r)})
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        kind = "gap" if gap[a] else "domain"
-        out.append((int(a), int(b - 1), kind, float(borders.get(b - 1, 1.0))))
-    return out
+        if test:
+            p[a : b - 1] = [border_test(scaled[a:b, a:b], k, w) for k in range(b - a - 1)]
+        border[[a + x for x in turning_points(mean[a:b])[0]]] = True
+    border &= (p < cut) if test else True
+    out: list[tuple[int, int, str, float]] = []
+    for a, b in regions(~gap, 1):
+        out.append((a, b - 1, "gap", 0.0))
+    for a, b in regions(~border, 2):
+        out.append((a, b - 1, "boundary", 0.0))
+    for a, b in regions(gap | border, 1):
+        own = p[a:b]
+        kind = "boundary" if test and (own < cut).all() else "domain"
+        alone = b < n and border[b] and not (b + 1 < n and border[b + 1])
+        out.append((a, b - 1 + alone, kind, float(own.mean()) if test else 0.0))
+    return sorted(out)
 
 
 # --- likelihood-based domains ---------------------------------------------------
 
 
-def _fit_block(counts: np.ndarray, logd: np.ndarray, weight: np.ndarray) -> float:
-    """Poisson log-likelihood of counts with mean weight * exp(a + b * log distance), a and b fitted by Newton steps."""
-    ok = weight > 0
-    k, d, w = counts[ok], logd[ok], weight[ok]
-    if not len(k) or k.sum() == 0:
-        return 0.0
-    a, b = math.log(k.sum() / w.sum()), 0.0
-    flat = d.max() - d.min() < 1e-12
-    value = -math.inf
-    for _ in range(100):
-        lam = w * np.exp(np.clip(a + b * d, -50, 50))
-        now = float((k * (a + b * d) - lam).sum())
-        if now - value < 1e-6 and now >= value:
-            value = now
-            break
-        value = now
-        r = k - lam
-        if flat:
-            a += r.sum() / lam.sum()
-            continue
-        g = np.array([r.sum(), (r * d).sum()])
-        h = np.array([[lam.sum(), (lam * d).sum()], [(lam * d).sum(), (lam * d * d).sum()]])
-        try:
-            step = np.linalg.solve(h + 1e-9 * np.eye(2), g)
-        except np.linalg.LinAlgError:
-            break
-        scale = 1.0
-        while scale > 1e-6:
-            lam = w * np.exp(np.clip(a + scale * step[0] + (b + scale * step[1]) * d, -50, 50))
-            if float((k * (a + scale * step[0] + (b + scale * step[1]) * d) - lam).sum()) >= value:
+def _fit_many(k: np.ndarray, w: np.ndarray, logd: np.ndarray) -> np.ndarray:
+    """Poisson log-likelihoods, one a row, of totals per distance with mean w * exp(a + b * log distance), fitted by damped Newton steps."""
+    total, weight = k.sum(axis=1), w.sum(axis=1)
+    out = np.zeros(len(k))
+    fit = np.flatnonzero((total > 0) & (weight > 0))
+    if not len(fit):
+        return out
+    k, w = k[fit], w[fit]
+    a, b = np.log(total[fit] / weight[fit]), np.zeros(len(fit))
+    kd = (k * logd).sum(axis=1)
+    k0 = total[fit]
+
+    def value(a, b, rows):
+        lam = w[rows] * np.exp(np.clip(a[:, None] + b[:, None] * logd, -50, 50))
+        return k0[rows] * a + kd[rows] * b - lam.sum(axis=1), lam
+
+    live = np.arange(len(fit))
+    best, lam = value(a, b, live)
+    for _ in range(60):
+        s0, s1, s2 = lam.sum(axis=1), (lam * logd).sum(axis=1), (lam * logd * logd).sum(axis=1)
+        g0, g1 = k0[live] - s0, kd[live] - s1
+        det = s0 * s2 - s1 * s1
+        flat = det <= 1e-9 * s0 * s2 + 1e-300  # one distance only: the level alone can be fitted
+        safe = np.where(flat, 1.0, det)
+        da = np.where(flat, g0 / np.maximum(s0, 1e-300), (s2 * g0 - s1 * g1) / safe)
+        db = np.where(flat, 0.0, (s0 * g1 - s1 * g0) / safe)
+        scale = np.ones(len(live))
+        for _ in range(30):
+            after, lam = value(a[live] + scale * da, b[live] + scale * db, live)
+            worse = ~(after >= best[live])
+            if not worse.any():
                 break
-            scale /= 2
-        a, b = a + scale * step[0], b + scale * step[1]
-    return value
+            scale[worse] /= 2
+        better = after >= best[live]
+        gain = np.where(better, after - best[live], 0.0)
+        a[live[better]] += (scale * da)[better]
+        b[live[better]] += (scale * db)[better]
+        best[live] += gain
+        go = gain >= 1e-6
+        live = live[go]
+        if not len(live):
+            break
+        lam = lam[go]
+    out[fit] = best
+    return out
 
 
-def segment_likelihoods(m: np.ndarray, least: int = 5, longest: int | None = None) -> np.ndarray:
-    """ll[i, j]: log-likelihood of the segment of bins i..j: its own block plus half of its blocks with what is before and after."""
+class Diagonals:
+    """Running sums of a map and of its weights along every diagonal: totals per distance of any block in one look-up each."""
+
+    def __init__(self, m: np.ndarray):
+        n = len(m)
+        sums = m.sum(axis=0).astype(float)
+        self.n, self.logd = n, np.log(np.arange(1, max(n, 2)))
+        self.k, self.w = np.zeros((max(n - 1, 1), n + 1)), np.zeros((max(n - 1, 1), n + 1))
+        for d in range(1, n):
+            self.k[d - 1, 1 : n - d + 1] = np.cumsum(np.diagonal(m, d))
+            self.w[d - 1, 1 : n - d + 1] = np.cumsum(sums[: n - d] * sums[d:])
+            self.k[d - 1, n - d + 1 :], self.w[d - 1, n - d + 1 :] = self.k[d - 1, n - d], self.w[d - 1, n - d]
+
+    def totals(self, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Totals of the cells (x, x + d) with first <= x < end, for every row of bounds and every distance d (a column)."""
+        d = np.arange(first.shape[1])
+        end = np.maximum(end, first)
+        return self.k[d, end] - self.k[d, first], self.w[d, end] - self.w[d, first]
+
+    def segments(self, i: int, ends: np.ndarray) -> np.ndarray:
+        """Log-likelihoods of the segments from bin i to each end: the own block plus half of the blocks with what is before and after."""
+        n, d = self.n, np.arange(1, self.n)
+        j = ends[:, None]
+        longest = int(ends.max()) - i
+        near = d[:longest][None, :]
+        value = _fit_many(*self.totals(np.full((len(ends), longest), i), np.clip(j + 1 - near, i, n)), self.logd[:longest])
+        if i:
+            reach = d[: int(ends.max())][None, :]  # x < i <= x + d <= j
+            first, end = np.maximum(0, i - reach) + 0 * j, np.minimum(i, j + 1 - reach)
+            value += 0.5 * _fit_many(*self.totals(first, end), self.logd[: reach.shape[1]])
+        reach = d[: n - 1 - i][None, :]  # i <= x <= j < x + d
+        if reach.size:
+            first, end = np.maximum(i, j + 1 - reach), np.minimum(j + 1, n - reach)
+            value += 0.5 * _fit_many(*self.totals(first, end), self.logd[: reach.shape[1]])
+        return value
+
+
+def segment_likelihoods(m: np.ndarray, least: int = 5, longest: int | None = None, starts=None) -> np.ndarray:
+    """ll[i, j - i]: log-likelihood of the segment of bins i..j of at most ``longest`` bins; -inf where it is shorter than ``least``, or not asked for."""
     n = len(m)
-    sums = m.sum(axis=0).astype(float)
-    weight = np.outer(sums, sums)
-    logd = np.log(np.maximum(np.abs(np.subtract.outer(np.arange(n), np.arange(n))), 1))
-    ll = np.full((n, n), -np.inf)
-    for i in range(n):
-        for j in range(i + least - 1, min(n, i + (longest or n))):
-            own = np.triu_indices(j - i + 1, 1)
-            block = slice(i, j + 1)
-            total = _fit_block(m[block, block][own], logd[block, block][own], weight[block, block][own])
-            for other in (slice(0, i), slice(j + 1, n)):
-                if other.stop > other.start:
-                    total += 0.5 * _fit_block(m[other, block].ravel(), logd[other, block].ravel(), weight[other, block].ravel())
-            ll[i, j] = total
+    longest = min(longest or n, n)
+    ll = np.full((n, longest), -np.inf)
+    sums = Diagonals(m)
+    for i in range(n) if starts is None else starts:
+        ends = np.arange(i + least - 1, min(n, i + longest))
+        if len(ends):
+            ll[i, ends - i] = sums.segments(i, ends)
     return ll
 
 
 def optimal_breaks(ll: np.ndarray, samples: int = 1, most: int | None = None) -> list[int]:
     """Ends of the segments that maximise the likelihood under the penalty breaks + samples * (8 + 6 * breaks)."""
-    n = len(ll)
+    n, longest = ll.shape
     most = most if most is not None else max(n // 5, 1)
-    best = ll[0].copy()
-    history = [best]
-    back: list[np.ndarray] = []
+    # by_end[e, l]: the segment of l + 1 bins that ends at e; prior[e, l]: the end before it.
+    e, l = np.arange(n)[:, None], np.arange(longest)[None, :]
+    start = e - l
+    by_end = np.where(start >= 0, ll[np.maximum(start, 0), l], -np.inf)
+    best = np.where(np.arange(n) < longest, ll[0, np.minimum(np.arange(n), longest - 1)], -np.inf)
     penalty = lambda nb: nb + samples * (8 + 6 * nb)
-    scores = [best[n - 1] - penalty(0)]
+    scores, back = [best[n - 1] - penalty(0)], []
     for nb in range(1, most + 1):
-        options = history[-1][:-1, None] + ll[1:, :]
-        at = options.argmax(axis=0)
-        value = options.max(axis=0)
-        if not np.isfinite(value[n - 1]):
+        options = by_end + np.where(start >= 1, best[np.maximum(start - 1, 0)], -np.inf)
+        size = options.argmax(axis=1)
+        best = options[np.arange(n), size]
+        back.append(np.arange(n) - size - 1)
+        scores.append(best[n - 1] - penalty(nb))
+        if not np.isfinite(best).any():
             break
-        back.append(at)
-        history.append(value)
-        scores.append(value[n - 1] - penalty(nb))
     nb = int(np.argmax(scores))
     ends, x = [n - 1], n - 1
     for k in range(nb, 0, -1):
@@ -212,33 +299,42 @@ def optimal_breaks(ll: np.ndarray, samples: int = 1, most: int | None = None) ->
     return ends[::-1]
 
 
-def likelihood_domains(maps: list[np.ndarray], removed: np.ndarray | None = None, rounds: int = 10) -> list[tuple[int, int, float | None]]:
-    """(start, end, score) of the domains; the score counts in how many of ten runs, each penalising the segments used before by 6 per sample, a border survives."""
-    n = len(maps[0])
-    keep = np.flatnonzero(~removed) if removed is not None else np.arange(n)
-    if len(keep) < 5:
-        return [(0, n - 1, None)] if n else []
-    ll = sum(segment_likelihoods(m[np.ix_(keep, keep)].astype(float)) for m in maps)
-    ends = optimal_breaks(ll, len(maps))
+def scored_breaks(ll: np.ndarray, samples: int = 1, rounds: int = 10) -> list[tuple[int, int | None]]:
+    """(end, score) of the optimal segments; a score counts in how many further runs, each penalising the segments used before by 6 per sample, the border survives."""
+    ends = optimal_breaks(ll, samples)
     count = dict.fromkeys(ends[:-1], 0)
-    penalised = ll.copy()
-    current = ends
+    penalised, current = ll.copy(), ends
     for _ in range(rounds):
         start = 0
         for e in current:
-            penalised[start, e] -= 6 * len(maps)
+            penalised[start, e - start] -= 6 * samples
             start = e + 1
-        current = optimal_breaks(penalised, len(maps))
-        for e in count:
-            count[e] += any(abs(e - x) <= 0 for x in current[:-1])
+        current = optimal_breaks(penalised, samples)
+        for e in set(count).intersection(current[:-1]):
+            count[e] += 1
+    return [(e, count.get(e)) for e in ends]
+
+
+def kept_domains(scored: list[tuple[int, int | None]], keep: np.ndarray, n: int) -> list[tuple[int, int, float | None]]:
+    """(start, end, score) on the full map of segments of its kept bins."""
     out, start = [], 0
-    for e in ends:
+    for e, score in scored:
         end = n - 1 if e == len(keep) - 1 else int(keep[e])
-        out.append((start, end, float(count[e]) if e in count else None))
+        out.append((start, end, None if score is None else float(score)))
         start = end + 1
     return out
 
 
+def likelihood_domains(maps: list[np.ndarray], removed: np.ndarray | None = None, rounds: int = 10, longest: int | None = None) -> list[tuple[int, int, float | None]]:
+    """(start, end, score) of the domains of one or more maps of the same bins."""
+    n = len(maps[0])
+    keep = np.flatnonzero(~removed) if removed is not None else np.arange(n)
+    if len(keep) < 5:
+        return [(0, n - 1, None)] if n else []
+    ll = sum(segment_likelihoods(m[np.ix_(keep, keep)].astype(float), longest=longest) for m in maps)
+    return kept_domains(scored_breaks(ll, len(maps), rounds), keep, n)
+
+
 # --- borders of several experiments ------------------------------------------
 
 
