@@ -25,10 +25,12 @@ output column is replaced by it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import SPACE, without
+from contactloom.llm.common import SPACE, cut, without
 
 SALTS = 32
 OUTPUT = ["keep_id", "group_size", "kept", "text_sha256"]
@@ -48,12 +50,16 @@ def _keyed(docs: DataFrame, digest) -> DataFrame:
 
 
 def winners(docs: DataFrame, digest=sha256) -> DataFrame:
-    """(digest, salt, norm) of every salted group of (id, text) rows, with the id that stays, the group's size and whether the digest has several texts."""
+    """Narrow rows (digest, salt, norm) of every salted group of (id, text) rows, with the id that stays, the group's size and whether the digest has several texts.
+
+    The text is kept only where it is needed to tell such texts apart, so that the table is small when it is written.
+    """
     merged = _keyed(docs.select("id", "text"), digest).groupBy("digest", "salt", "norm").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     # The window over the digest comes first: its shuffle serves the other one too.
     texts, same = Window.partitionBy("digest"), Window.partitionBy("digest", "norm")
     several = merged.withColumn("several", F.min("norm").over(texts) != F.max("norm").over(texts))
-    return several.withColumns({"keep_id": F.min("least").over(same), "group_size": F.sum("n").over(same)}).drop("least", "n")
+    won = several.withColumns({"keep_id": F.min("least").over(same), "group_size": F.sum("n").over(same)})
+    return cut(won.withColumn("norm", F.when(F.col("several"), F.col("norm"))).drop("least", "n"))
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = True, digest=sha256) -> DataFrame:
@@ -67,13 +73,15 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     held = [f"c{i}" for i in range(len(names))]
     plain = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), *[c.alias(h) for c, h in zip(others, held, strict=True)])
     keyed, won = _keyed(plain, digest).drop("text"), winners(plain, digest)
-    one = keyed.drop("norm").join(won.where("NOT several").drop("norm", "several"), ["digest", "salt"])
-    # Digests with several texts: a bounded list, empty unless the digest is broken.
-    broken = won.where("several").select("digest").distinct()
-    more = keyed.join(F.broadcast(broken), "digest").join(won.where("several").drop("several"), ["digest", "salt", "norm"])
+    parts = [(keyed.drop("norm").join(won.where("NOT several").drop("norm", "several"), ["digest", "salt"]), ("digest", "salt", "id"))]
+    if not won.where("several").isEmpty():
+        # The list of digests with several texts is bounded: it is empty unless the digest is broken.
+        broken = won.where("several").select("digest").distinct()
+        more = keyed.join(F.broadcast(broken), "digest").join(won.where("several").drop("several"), ["digest", "salt", "norm"])
+        parts.append((more, ("digest", "salt", "norm", "id")))
     order = F.xxhash64(*held) if carry else F.lit(0)
     out = []
-    for joined, keys in ((one, ("digest", "salt", "id")), (more, ("digest", "salt", "norm", "id"))):
+    for joined, keys in parts:
         first = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) == 1
         out.append(
             joined.select(
@@ -84,7 +92,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
                 F.col("digest").alias("text_sha256"),
             )
         )
-    return out[0].unionByName(out[1])
+    return reduce(DataFrame.unionByName, out)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
