@@ -45,8 +45,8 @@ NONZERO = 6
 HIDDEN = 16
 THRESHOLD = 0.7
 #: Words that a worker remembers with their sums, and the characters that it pools at once.
-CACHE = 200_000
-SLICE_CHARS = 4_000_000
+CACHE = 100_000
+SLICE_CHARS = 500_000
 _SUMS = [f"s{k}" for k in range(DIM)]
 SYMBOLS = string.punctuation + "«»“”„’‘…–—¿¡"
 REPEAT = "<repeat>"

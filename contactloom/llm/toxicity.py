@@ -49,9 +49,10 @@ LOW = 5
 DISCOUNT = 2.0
 LOW_DISCOUNT = 0.75
 SHARE = 0.003
-#: Words that a worker remembers, and the longest of them.
-CACHE = 300_000
+#: Words that a worker remembers, and the longest of them; characters that it scores at once.
+CACHE = 200_000
 CACHED_LENGTH = 40
+SLICE_CHARS = 1_000_000
 WORDS = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _START, _END = 1, 2
@@ -186,6 +187,17 @@ class Model:
 
     def difference(self, texts: list[str | None]) -> np.ndarray:
         """Length-normalised log-likelihood of each text under the toxic mixture minus that under the ordinary model."""
+        out, at = [np.zeros(0)], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end] or "") <= SLICE_CHARS):
+                size += len(texts[end] or "")
+                end += 1
+            out.append(self._slice(texts[at:end]))
+            at = end
+        return np.concatenate(out)
+
+    def _slice(self, texts: list[str | None]) -> np.ndarray:
         known = self._words
         if len(known) > CACHE:
             known.clear()
