@@ -79,24 +79,43 @@ def fit_persistence(points: list[tuple[float, float]], low: float = 1e-3, high:
     return math.exp((a + b) / 2)
 
 
-def low_root(x: list[float], y: list[float], fifth: float, orders=range(6, 18)) -> float:
-    """First real root below the fifth percentile of the polynomial with the best fit; 0 if there is none."""
-    x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
-    span = (x.max() - x.min()) or 1.0
-    z = (x - x.min()) / span
-    best = (-math.inf, None)
-    for order in orders:
-        if len(x) <= order:
-            break
-        p = np.polynomial.Polynomial.fit(z, y, order)
-        r2 = 1 - ((y - p(z)) ** 2).sum() / max(((y - y.mean()) ** 2).sum(), 1e-300)
-        if r2 > best[0]:
-            best = (r2, p)
-    if best[1] is None:
+def depth_histogram(totals: np.ndarray, classes: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lower edges, counts, kept totals): the highest totals are left out one by one while over half of the classes are empty."""
+    kept = np.sort(np.asarray(totals, dtype=float))
+    while len(kept):
+        width = (kept[-1] - kept[0]) / (classes - 1) or 1.0
+        counts = np.bincount(((kept - kept[0]) / width + 1e-9).astype(int), minlength=classes)[:classes]
+        if (counts == 0).sum() <= classes / 2 or kept[-1] == kept[0]:
+            return kept[0] + width * np.arange(classes), counts, kept
+        kept = kept[:-1]
+    return np.zeros(classes), np.zeros(classes, dtype=int), kept
+
+
+def low_root(totals, orders=range(6, 18)) -> float:
+    """Where the histogram of totals first dips: the first minimum, below the fifth percentile, of the polynomial that fits it best; 0 if there is none.
+
+    Of a polynomial's two lowest extremes the first is taken if the curve rises after it,
+    else the second.  Orders above 13 pay a thirtieth of the order in fit.
+    """
+    totals = np.asarray(totals, dtype=float)
+    if not len(totals):
         return 0.0
-    roots = best[1].roots()
-    real = sorted(float(r.real) * span + x.min() for r in roots if abs(r.imag) < 1e-9)
-    return next((r for r in real if 0 < r < fifth), 0.0)
+    edges, counts, kept = depth_histogram(totals)
+    fifth, best = np.percentile(totals, 5), (-math.inf, 0.0)
+    spread = ((counts - counts.mean()) ** 2).sum()
+    if kept[-1] <= kept[0] or not spread:
+        return 0.0
+    for order in orders:
+        curve = np.polynomial.Polynomial.fit(edges, counts, order)
+        slope = curve.deriv()
+        flat = np.sort([r.real for r in slope.roots() if abs(r.imag) < 1e-9 * max(abs(r.real), 1.0)])
+        if len(flat) < 2:
+            continue
+        root = flat[0] if slope((flat[0] + flat[1]) / 2) > 0 else flat[1]
+        if 0 < root < fifth:
+            fit = 1 - ((counts - curve(edges)) ** 2).sum() / spread - (order / 30 if order > 13 else 0)
+            best = max(best, (fit, float(root)))
+    return best[1]
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -115,3 +134,65 @@ def likely_enzymes(hits: dict[str, int], reads: int, lengths: dict[str, int], le
     """
     tested = [(name, binomial_tail(k, reads, 0.25 ** lengths[name])) for name, k in hits.items()]
     return sorted(((n, p) for n, p in tested if p < level), key=lambda x: (x[1], -hits[x[0]] * 4.0 ** lengths[x[0]], x[0]))
+
+
+def stable_window(share: np.ndarray, size: int, low: float, high: float) -> int:
+    """The first of ten successive window sizes whose medians between two depth quantiles all agree with their middle within a deviation."""
+    n_windows = min(1000, size // 10)
+    first, last = int(size * low), int(size * high)
+    if n_windows < 1 or (last - first) // n_windows < 1:
+        return 1
+    at = np.arange(first, last, (last - first) // n_windows)[:n_windows]
+    found, streak = 1, 0
+    for window in np.unique(np.logspace(1, 4, 100).astype(int)):
+        parts = [share[k : k + window] for k in at]
+        if not all(len(p) for p in parts):
+            break
+        middle, sd = np.array([np.median(p) for p in parts]), np.array([p.std() for p in parts])
+        centre = np.median(middle)
+        if ((middle - sd < centre) & (centre < middle + sd)).all():
+            found, streak = (window if not streak else found), streak + 1
+            if streak == 10:
+                break
+        else:
+            streak = 0
+    return int(found)
+
+
+def _first_run(ok: np.ndarray, length: int) -> int | None:
+    """Start of the first run of at least ``length`` true values."""
+    edge = np.flatnonzero(np.diff(np.r_[False, ok, False]))
+    runs = [a for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= length]
+    return int(runs[0]) if runs else None
+
+
+def depth_limits(
+    share: np.ndarray, size: int, low: float = 0.3, high: float = 0.8, sigma: float = 2.0, min_perc: float | None = None, max_perc: float | None = None, run: int = 11
+) -> tuple[int, int]:
+    """(left, right): ranks of depth between which the cis share is ordinary.
+
+    Bands of ``sigma`` deviations around the median run over the shares in the order of depth.  A place fits if both
+    bands lie within ``sigma`` deviations of their median between the quantiles; the limits are the outer ends of the
+    first and the last run of ``run`` fitting places.  Percentages given by hand overrule them.
+    """
+    window = stable_window(share, size, low, high)
+    upper, lower = np.full(size, np.nan), np.full(size, np.nan)
+    whole = np.lib.stride_tricks.sliding_window_view(share, window) if len(share) >= window else np.zeros((0, window))
+    for a in range(0, len(whole), 10_000):
+        part = whole[a : a + 10_000]
+        middle, sd = np.median(part, axis=1), part.std(axis=1)
+        upper[a : a + len(part)], lower[a : a + len(part)] = middle + sigma * sd, middle - sigma * sd
+    for k in range(len(whole), min(len(share), size)):  # windows that the end cuts off
+        middle, sd = np.median(share[k:]), share[k:].std()
+        upper[k], lower[k] = middle + sigma * sd, middle - sigma * sd
+    ok = np.ones(size, dtype=bool)
+    for band in (upper, lower):
+        inner = band[int(size * low) : int(size * high)]
+        centre, sd = np.median(inner), inner.std()
+        ok &= (centre - sigma * sd < band) & (band < centre + sigma * sd)
+    left, right = _first_run(ok, run), _first_run(ok[::-1], run)
+    if left is None and min_perc is None or right is None and max_perc is None:
+        raise ValueError("no run of ordinary bins was found; give min_perc and max_perc by hand")
+    left = int(min_perc / 100 * size) if min_perc else int(left or 0)
+    right = int(max_perc / 100 * size) if max_perc else int(size - (right or 0))
+    return left, right

@@ -57,36 +57,46 @@ def cis_share(counts: DataFrame) -> DataFrame:
     return counts.select("bin", F.try_divide(F.col("cis").cast("double"), F.col("total").cast("double")).alias("share"))
 
 
-def by_cis_share(counts: DataFrame, low: float, high: float, window: int = 101, sigma: float = 2.0) -> DataFrame:
-    """Bins by depth whose share leaves the rolling mean +- sigma deviations taken between two depth quantiles."""
-    from pyspark.sql import Window
+def by_cis_share(counts: DataFrame, n_bins: int, low: float = 0.3, high: float = 0.8, sigma: float = 2.0, min_perc: float | None = None, max_perc: float | None = None) -> DataFrame:
+    """Bins whose depth lies outside the range in which the cis share behaves as between the depth quantiles ``low`` and ``high``.
+
+    ``counts`` (bin, cis, total).  The shares, one number a bin in the order of depth, go to
+    the driver, where the limits are found: bins do not grow with the reads.  Bins without
+    contacts are below the range.
+    """
+    from contactloom.functions.maths import depth_limits
+
+    rows = counts.where("total > 0").select("bin", "cis", "total").toPandas().sort_values(["total", "bin"])
+    total = rows["total"].to_numpy(dtype=float)
+    left, right = depth_limits((rows["cis"] / rows["total"]).to_numpy(dtype=float), n_bins, low, high, sigma, min_perc, max_perc)
+    least, most = total[min(left, len(total) - 1)], total[right] if right < len(total) else total[-1] + 1
+    every = counts.sparkSession.range(n_bins).withColumnRenamed("id", "bin").join(counts.select("bin", "total"), "bin", "left").fillna(0, ["total"])
+    return every.where((F.col("total") < float(least)) | (F.col("total") > float(most))).select("bin", F.lit("cis share").alias("why"))
+
 
-    ranked = cis_share(counts).join(counts.select("bin", "total"), "bin").withColumn("q", F.percent_rank().over(Window.orderBy("total", "bin")))
-    middle = ranked.where(F.col("q").between(low, high)).agg(F.avg("share").alias("m"), F.stddev_pop("share").alias("s"))
-    rolled = Window.orderBy("total", "bin").rowsBetween(-(window // 2), window // 2)
-    smooth = ranked.withColumn("r", F.avg("share").over(rolled)).crossJoin(F.broadcast(middle))
-    return smooth.where(F.abs(F.col("r") - F.col("m")) > sigma * F.col("s")).select("bin", F.lit("cis share").alias("why"))
+def for_modelling(cells: DataFrame, bins: DataFrame, n_bins: int, perc_zero: float = 90, min_count: float | None = None, auto: bool = True, diagonal: bool = True) -> DataFrame:
+    """Bins that models leave out: empty or low ones, ones of a low mean, and ones without contacts on the diagonal or with an unknown value."""
+    parts = [by_zero_count(cells, bins, n_bins, perc_zero, min_count, doubled=False)]
+    if auto:
+        parts.append(by_mean(cells, bins))
+    if diagonal:
+        on = cells.where("i = j AND v <> 0").select(F.col("i").alias("bin"))
+        parts.append(bins.select("bin").join(on, "bin", "left_anti").select("bin", F.lit("empty diagonal").alias("why")))
+    unknown = cells.where(F.isnan(F.col("v").cast("double"))).select(F.col("i").alias("bin")).distinct()
+    parts.append(unknown.select("bin", F.lit("unknown value").alias("why")))
+    return union(*parts)
 
 
 def by_mean(cells: DataFrame, bins: DataFrame) -> DataFrame:
-    """Bins whose row sum is below the first root of the polynomial that fits the histogram of the row sums best.
+    """Bins whose row sum lies below the first dip of the histogram of the row sums.
 
-    The histogram has one row per 100th of the range; the fit is made on it on the driver.
+    The sums, one number a bin, go to the driver: bins do not grow with the reads.
     """
     from contactloom.functions.maths import low_root
 
     rows = coverage(cells)
-    sums = rows.agg(F.percentile("total", F.lit([0.0, 0.05, 1.0])).alias("q")).first()["q"]
-    if not sums:
-        return bins.select("bin", F.lit("low mean").alias("why")).limit(0)
-    low, fifth, high = sums
-    width = (high - low) / 100 or 1.0
-    histogram = rows.groupBy(F.least(F.floor((F.col("total") - low) / width), F.lit(99)).alias("k")).agg(F.count("*").alias("n")).collect()
-    counts = [0] * 100
-    for r in histogram:
-        counts[r["k"]] = r["n"]
-    root = low_root([low + (k + 0.5) * width for k in range(100)], counts, fifth)
-    return rows.where(F.col("total") < root).select("bin", F.lit("low mean").alias("why"))
+    totals = rows.select(F.col("total").cast("double").alias("total")).toArrow()["total"].to_numpy()
+    return rows.where(F.col("total") < low_root(totals)).select("bin", F.lit("low mean").alias("why"))
 
 
 def union(*parts: DataFrame) -> DataFrame:

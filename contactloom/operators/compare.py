@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contactloom.operators.normalize import checkpointed
 
-def average_rank(value: str, *by: str) -> Column:
-    """Rank with ties sharing their mean."""
-    low = F.rank().over(Window.partitionBy(*by).orderBy(value))
-    return low + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+
+def with_rank(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """``rows`` with the average rank of a column, ties sharing their mean; nulls have none.
+
+    Different values are counted first and dealt by ranges of the value; ranks follow from
+    running sums inside a range and the totals of the ranges before it, so no task sorts
+    the whole column.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count("*").alias("n"))
+    ranged = checkpointed(counts.repartitionByRange("x").withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("range").agg(F.sum("n").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    upto = F.sum("n").over(Window.partitionBy("range").orderBy("x"))
+    ranks = ranged.withColumn("upto", upto).join(F.broadcast(offsets), "range")
+    ranks = ranks.select(F.col("x").alias(value), (F.col("offset") + F.col("upto") - (F.col("n") - 1) / 2).alias(name))
+    return rows.join(ranks, value, "left")
 
 
 def aligned_diagonals(first: DataFrame, second: DataFrame, bins: DataFrame, max_dist: int = 10, min_dist: int = 1) -> DataFrame:
@@ -22,19 +35,46 @@ def aligned_diagonals(first: DataFrame, second: DataFrame, bins: DataFrame, max_
     return rows.select(F.col("ci").alias("chrom"), (F.col("j") - F.col("i")).alias("dist"), "i", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
 
 
+def known_corr(a: Column, b: Column) -> Column:
+    """Pearson's correlation over the rows with both values; null if one of them does not vary."""
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
+def _weighted_corr(a: str, b: str, n: str) -> Column:
+    """Pearson's correlation of two columns with counts."""
+    total = F.sum(n)
+    mean = lambda c: F.sum(F.col(n) * c) / total
+    x, y = F.col(a), F.col(b)
+    cov = mean(x * y) - mean(x) * mean(y)
+    var = (mean(x * x) - mean(x) * mean(x)) * (mean(y * y) - mean(y) * mean(y))
+    return F.try_divide(cov, F.sqrt(F.when(var > 0, var)))
+
+
 def by_distance(cells: DataFrame) -> DataFrame:
-    """(dist, n, pearson, spearman) of aligned diagonals."""
-    ranked = cells.withColumns({"ra": average_rank("a", "dist"), "rb": average_rank("b", "dist")})
-    return ranked.groupBy("dist").agg(F.count("*").alias("n"), F.corr("a", "b").alias("pearson"), F.corr("ra", "rb").alias("spearman"))
+    """(dist, n, pearson, spearman) of aligned diagonals.
+
+    Equal pairs of values are counted first; ranks are running sums over a distance's
+    different values, which are few, since values are counts.
+    """
+    pairs = cells.groupBy("dist", "a", "b").agg(F.count("*").alias("n"))
+    ranked = pairs
+    for c in "ab":
+        counts = pairs.groupBy("dist", c).agg(F.sum("n").alias("m"))
+        upto = F.sum("m").over(Window.partitionBy("dist").orderBy(c))
+        ranked = ranked.join(counts.select("dist", c, (upto - (F.col("m") - 1) / 2).alias(f"r{c}")), ["dist", c])
+    return ranked.groupBy("dist").agg(F.sum("n").alias("n"), _weighted_corr("a", "b", "n").alias("pearson"), _weighted_corr("ra", "rb", "n").alias("spearman"))
 
 
 def stratum_adjusted(cells: DataFrame) -> DataFrame:
-    """One row scc, std: correlations per distance weighted by n and the deviations of the unit ranks."""
-    place = lambda c: F.row_number().over(Window.partitionBy("dist").orderBy(c, "i")) / F.count("*").over(Window.partitionBy("dist"))
-    ranked = cells.withColumns({"ua": place("a"), "ub": place("b")})
-    strata = ranked.groupBy("dist").agg(
-        F.corr("a", "b").alias("r"), (F.sqrt(F.var_samp("ua") * F.var_samp("ub")) * F.count("*")).alias("w")
-    ).where("r IS NOT NULL AND w IS NOT NULL")
+    """One row scc, std: correlations per distance weighted by n and the deviations of the unit ranks.
+
+    Unit ranks 1/n .. n/n have the variance (n + 1) / (12 n) whatever the values are, so
+    the weight is (n + 1) / 12 and nothing is ranked.
+    """
+    strata = cells.groupBy("dist").agg(known_corr(F.col("a"), F.col("b")).alias("r"), ((F.count("*") + 1) / 12).alias("w"), F.count("*").alias("n"))
+    strata = strata.where("r IS NOT NULL AND n > 1")
     return strata.agg(
         F.try_divide(F.sum(F.col("r") * F.col("w")), F.sum("w")).alias("scc"),
         F.sqrt(F.try_divide(F.sum(F.col("w") * F.col("w")) * F.var_samp("r"), F.sum("w") * F.sum("w"))).alias("std"),

@@ -16,10 +16,16 @@ def _gap(a: str, b: str) -> Column:
     return F.sqrt(sum(((F.col(f"{a}{k}") - F.col(f"{b}{k}")) ** 2 for k in "xyz"), F.lit(0.0)))
 
 
+#: Parts into which a model's particles are dealt, and blocks of models, where all are compared with all.
+BLOCKS = 8
+
+
 def _pairs(particles: DataFrame) -> DataFrame:
-    """(model, i, j, d) with i < j: an equi-join on the model."""
+    """(model, i, j, d) with i < j: an equi-join on the model and the part of i, so that one model keeps several tasks busy."""
     side = lambda s: particles.select("model", F.col("particle").alias(s), *[F.col(k).alias(f"{s}{k}") for k in "xyz"])
-    return side("i").join(side("j"), "model").where("i < j").select("model", "i", "j", _gap("i", "j").alias("d"))
+    first = side("i").withColumn("part", F.pmod(F.xxhash64("i"), F.lit(BLOCKS)).cast("int"))
+    second = side("j").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    return first.join(second, ["model", "part"]).where("i < j").select("model", "i", "j", _gap("i", "j").alias("d"))
 
 
 def _ordered() -> Window:
@@ -174,8 +180,13 @@ def _packed(particles: DataFrame) -> DataFrame:
 
 
 def _model_pairs(particles: DataFrame) -> DataFrame:
-    packed = _packed(particles)
-    return packed.toDF("a", "ia", "xa").join(packed.toDF("b", "ib", "xb"), F.col("a") < F.col("b"))
+    """All pairs of models: each goes to the ``BLOCKS`` cells of its block, and two meet in the one cell of both."""
+    packed = _packed(particles).withColumn("own", F.pmod(F.xxhash64("model"), F.lit(BLOCKS)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    dealt = packed.withColumn("other", other).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other")
+    first, second = dealt.toDF("a", "ia", "xa", "oa", "low", "high"), dealt.toDF("b", "ib", "xb", "ob", "low", "high")
+    met = first.join(second, ["low", "high"]).where((F.col("a") < F.col("b")) & (F.least("oa", "ob") == F.col("low")) & (F.greatest("oa", "ob") == F.col("high")))
+    return met.select("a", "ia", "xa", "b", "ib", "xb")
 
 
 def _shared(ia, xa, ib, xb) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -317,21 +328,22 @@ def extended(models: DataFrame, others: DataFrame, n: int | None = None) -> Data
 
 def with_data(share: DataFrame, cells: DataFrame, off_diag: int = 1) -> DataFrame:
     """One row pearson, spearman, logpearson, n: contact shares against a map."""
-    from contactloom.operators.compare import average_rank
+    from contactloom.operators.compare import known_corr, with_rank
 
     data = cells.where(F.col("j") - F.col("i") >= off_diag).select("i", "j", F.col("v").cast("double").alias("v"))
-    rows = share.join(data, ["i", "j"]).withColumn("one", F.lit(1))
-    rows = rows.withColumns({"ra": average_rank("share", "one"), "rb": average_rank("v", "one")})
+    rows = with_rank(with_rank(share.join(data, ["i", "j"]), "share", "ra"), "v", "rb")
     positive = (F.col("share") > 0) & (F.col("v") > 0)
     return rows.agg(
-        F.corr("share", "v").alias("pearson"),
-        F.corr("ra", "rb").alias("spearman"),
-        F.corr(F.when(positive, F.ln("share")), F.when(positive, F.ln("v"))).alias("logpearson"),
+        known_corr(F.col("share"), F.col("v")).alias("pearson"),
+        known_corr(F.col("ra"), F.col("rb")).alias("spearman"),
+        known_corr(F.when(positive, F.ln("share")), F.when(positive, F.ln("v"))).alias("logpearson"),
         F.count("*").alias("n"),
     )
 
 
 def compare_ensembles(first: DataFrame, second: DataFrame, cutoff: float) -> DataFrame:
     """One row ``corr`` of the contact shares of two ensembles."""
+    from contactloom.operators.compare import known_corr
+
     a, b = contact_matrix(first, cutoff), contact_matrix(second, cutoff).withColumnRenamed("share", "other")
-    return a.join(b, ["i", "j"]).agg(F.corr("share", "other").alias("corr"))
+    return a.join(b, ["i", "j"]).agg(known_corr(F.col("share"), F.col("other")).alias("corr"))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +11,22 @@ from contactloom.operators.pixels import good, with_bias
 from contactloom.shipping import ship
 
 
+#: Bins whose biases are broadcast (16 bytes each); beyond that they are joined.
+MAX_BROADCAST_BINS = 1_000_000
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's shared checkpoint folder; an own folder only where none is set."""
+    """Cut the lineage in the session's shared checkpoint folder; only a local session without one gets a folder of its own."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="ckpt")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -44,16 +54,20 @@ def square_root(cells: DataFrame, bad: DataFrame | None = None) -> DataFrame:
 def iterative(cells: DataFrame, bad: DataFrame | None = None, iterations: int = 0, max_dev: float = 1e-5) -> DataFrame:
     """(bin, b) by iterative balancing; ``iterations=0`` is one round.
 
-    Only the biases change: a round sums v / (B_i B_j) per row over the same cells,
-    so the map is neither rewritten nor copied, and the state is one row per bin,
+    Only the biases change: a round sums v / (B_i B_j) per row over the same cells.
+    The cells are dealt by row and written once, so that a round's sums need no shuffle of
+    the map while the biases are few enough to broadcast; the state is one row per bin,
     checkpointed in every round.
     """
     cells = good(cells, bad) if bad is not None else cells
+    cells = checkpointed(cells.select("i", "j", "v"))
     bias = checkpointed(cells.select(F.col("i").alias("bin")).distinct().withColumn("b", F.lit(1.0)))
+    small = bias.count() <= MAX_BROADCAST_BINS
     mean = 1.0
     for _ in range(iterations + 1):
-        sums = with_bias(cells, bias).groupBy("i").agg(F.sum(F.col("v") / F.col("bi") / F.col("bj")).alias("s"))
-        joined = checkpointed(bias.join(sums.withColumnRenamed("i", "bin"), "bin"))
+        sent = F.broadcast(bias) if small else bias
+        sums = with_bias(cells, sent).groupBy("i").agg(F.sum(F.col("v") / F.col("bi") / F.col("bj")).alias("s"))
+        joined = checkpointed(sums.withColumnRenamed("i", "bin").join(sent, "bin"))
         low, high, mean = joined.agg(F.min("s"), F.max("s"), F.avg("s")).first()
         if mean is None:
             return bias
@@ -84,21 +98,25 @@ def distance_sums(cells: DataFrame, bins: DataFrame, bias: DataFrame | None = No
 def distance_cells(bins: DataFrame, bad: DataFrame | None = None) -> DataFrame:
     """(chrom, dist, cells): good cells per distance of every chromosome.
 
-    A bad bin at place p of L takes the cells (p, p - k) and (p + k, p); cells with
-    two bad ends are given back by counting pairs of bad bins per distance.
+    With bad bins a chromosome's good ones are one vector of bits, and the pairs of good
+    bins per distance are its autocorrelation, by fast Fourier transform in one task a chromosome.
     """
     size = bins.groupBy("chrom").agg(F.count("*").alias("size"))
-    every = size.select("chrom", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("dist"))
-    full = every.select("chrom", "dist", (F.col("size") - F.col("dist")).alias("n"))
     if bad is None:
-        return full.withColumnRenamed("n", "cells")
-    places = bad.join(bins.select("bin", "chrom", "idx"), "bin").join(size, "chrom")
-    below = places.select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.col("idx"))).alias("dist"))
-    above = places.where("idx < size - 1").select("chrom", F.explode(F.sequence(F.lit(1).cast("long"), F.col("size") - 1 - F.col("idx"))).alias("dist"))
-    a, b = places.select("chrom", F.col("idx").alias("x")), places.select("chrom", F.col("idx").alias("y"))
-    twice = a.join(b, "chrom").where("x > y").select("chrom", (F.col("x") - F.col("y")).alias("dist")).withColumn("n", F.lit(1))
-    parts = below.unionByName(above).withColumn("n", F.lit(-1)).unionByName(twice).unionByName(full)
-    return parts.groupBy("chrom", "dist").agg(F.sum("n").alias("cells"))
+        every = size.select("chrom", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("dist"))
+        return every.select("chrom", "dist", (F.col("size") - F.col("dist")).alias("cells"))
+    marked = bins.select("bin", "chrom", "idx").join(bad.select("bin", F.lit(1).alias("bad")).distinct(), "bin", "left").select("chrom", "idx", "bad")
+    chrom = dict(marked.dtypes)["chrom"]
+
+    def count(key, pdf):
+        n = int(pdf["idx"].max()) + 1
+        ok = np.zeros(n)
+        ok[pdf.loc[pdf["bad"].isna(), "idx"].to_numpy()] = 1.0
+        spectrum = np.fft.rfft(ok, 2 * n)
+        cells = np.rint(np.fft.irfft(spectrum * np.conj(spectrum), 2 * n)[:n]).astype(np.int64)
+        return pd.DataFrame({"chrom": key[0], "dist": np.arange(n), "cells": cells})
+
+    return ship(marked).groupBy("chrom").applyInPandas(count, f"chrom {chrom}, dist long, cells long")
 
 
 def _grouped(minimum: float):
@@ -143,6 +161,65 @@ def cis_percent(cells: DataFrame, bins: DataFrame, bias: DataFrame | None = None
     return rows.agg(F.sum(F.when(F.col("ci") == F.col("cj"), v).otherwise(0.0)).alias("cis"), F.sum(v).alias("total"))
 
 
-def one_d(*_args, **_kwargs):
-    """Generalised additive biases need an external statistics package."""
-    raise NotImplementedError("additive-model biases need an external package; use iterative, vanilla or square_root")
+def _curves(x: np.ndarray, knots: np.ndarray) -> np.ndarray:
+    """Natural cubic spline columns of one covariate: straight beyond the outer knots."""
+    last, before = knots[-1], knots[-2]
+    cube = lambda k: np.maximum(x - k, 0) ** 3
+    bend = lambda k: (cube(k) - cube(last)) / (last - k)
+    return np.stack([x, *[bend(k) - bend(before) for k in knots[:-2]]], axis=1)
+
+
+def additive_fit(total: np.ndarray, covariates: np.ndarray, n_knots: int = 7, ridge: float = 1e-3, rounds: int = 50):
+    """Poisson regression of totals on smooth curves of the covariates: a function that predicts the mean total of rows.
+
+    Curves are natural cubic splines on quantiles, in units of each column's deviation,
+    with a small ridge; fitted by iteratively reweighted least squares.
+    """
+    knots = [np.unique(np.quantile(c, np.linspace(0.02, 0.98, n_knots))) for c in covariates.T]
+
+    def design(rows: np.ndarray) -> np.ndarray:
+        parts = [_curves(c, k) if len(k) > 2 else c[:, None] for c, k in zip(rows.T, knots, strict=True)]
+        return np.concatenate([np.ones((len(rows), 1)), *parts], axis=1)
+
+    x = design(covariates)
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    mean[0], scale[0] = 0.0, 1.0
+    scale[scale == 0] = 1.0
+    z = (x - mean) / scale
+    w = np.zeros(z.shape[1])
+    w[0] = np.log(max(total.mean(), 1e-9))
+    penalty = ridge * len(z) * max(total.mean(), 1e-9) * np.eye(len(w))
+    penalty[0, 0] = 0.0
+    for _ in range(rounds):
+        mu = np.exp(np.clip(z @ w, -30, 30))
+        step = np.linalg.solve((z * mu[:, None]).T @ z + penalty + 1e-9 * np.eye(len(w)), z.T @ (total - mu) - penalty @ w)
+        w += np.clip(step, -3, 3)
+        if np.abs(step).max() < 1e-8:
+            break
+    return lambda rows: np.exp(np.clip((design(rows) - mean) / scale @ w, -30, 30))
+
+
+def one_d(sums: DataFrame, covariates: DataFrame, names: tuple[str, ...] = ("map", "cg", "res"), p_fit: float | None = None, max_bins: int = 500_000, seed: int = 1) -> DataFrame:
+    """(bin, b): biases from an additive model of row totals on mappability, GC content and cut sites of the bins.
+
+    ``sums`` (bin, s); ``covariates`` (bin, ...).  The curves are fitted on the driver on at
+    most ``max_bins`` bins with all values, or a share ``p_fit`` of them, chosen by a hash;
+    every bin gets its predicted total, over the mean of the predictions.  The curves are
+    regression splines of a Poisson model, where the usual additive model chooses its
+    smoothness from the data, so biases agree in shape, not to the digit.
+    """
+    rows = sums.join(covariates.select("bin", *names), "bin").dropna()
+    chosen = rows if p_fit is None else rows.where(F.pmod(F.xxhash64("bin", F.lit(seed)), F.lit(10_000)) < int(p_fit * 10_000))
+    sample = chosen.orderBy(F.xxhash64("bin", F.lit(seed)), "bin").limit(max_bins).toPandas()
+    if not len(sample):
+        return sums.select("bin", F.lit(1.0).alias("b")).limit(0)
+    predict = additive_fit(sample["s"].to_numpy(dtype=float), sample[list(names)].to_numpy(dtype=float))
+
+    def fitted(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"bin": pdf["bin"], "b": predict(pdf[list(names)].to_numpy(dtype=float)) if len(pdf) else []})
+
+    kind = dict(rows.dtypes)["bin"]
+    found = checkpointed(ship(rows).mapInPandas(fitted, f"bin {kind}, b double"))
+    mean = found.agg(F.avg("b").alias("m"))
+    return found.crossJoin(F.broadcast(mean)).select("bin", (F.col("b") / F.col("m")).alias("b"))

@@ -170,32 +170,50 @@ def merge(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
-def distance_classes(max_length: int, left: tuple[int, int] = (-2, 3), right: tuple[int, int] = (0, 5)) -> Column:
-    """Category 11 to 20 of a pair by its strands and the distances of its ends to cut sites; 0 if none fits."""
-    up = [F.col(f"p{k}") - F.col(f"rs{k}") for k in (1, 2)]
-    down = [F.col(f"p{k}") - F.col(f"re{k}") for k in (1, 2)]
-    at_site = [
-        F.when(F.col(f"s{k}") == 1, up[k - 1].between(*left)).otherwise(down[k - 1].between(*right)) for k in (1, 2)
-    ]
-    facing = (F.col("s1") == 1) & (F.col("s2") == 0)
-    away = (F.col("s1") == 0) & (F.col("s2") == 1)
-    cis = F.col("c1") == F.col("c2")
-    same = cis & (F.col("rs1") == F.col("rs2"))
-    short = cis & ((F.col("p2") - F.col("p1")) <= max_length)
-    ends = at_site[0].cast("int") + at_site[1].cast("int")
-    return (
-        F.when(same & facing & (ends == 2), 11)
-        .when(same & facing & (ends == 1), 12)
-        .when(same & facing, 13)
-        .when(same & away, 14)
-        .when(same, 15)
-        .when(short & facing & (ends > 0), 16)
-        .when(short & facing, 17)
-        .when(short, 18)
-        .when(ends == 2, 19)
-        .when(ends == 1, 20)
-        .otherwise(0)
+#: The exclusive classes of a pair by its distances to cut sites.
+SITE_CLASSES = {
+    11: "dangling left",
+    12: "dangling right",
+    13: "rejoined",
+    14: "self circle",
+    15: "random break",
+    16: "contact close",
+    17: "contact far",
+    18: "contact upstream",
+    19: "contact downstream",
+    20: "other",
+}
+
+
+def site_classes(pairs: DataFrame, max_length: int, left: Sequence[int] = range(-2, 4), right: Sequence[int] = range(0, 6)) -> DataFrame:
+    """Pairs, oriented, with ``category`` 11 to 20 by strands and distances to the cut sites within ``max_length``.
+
+    ``left`` and ``right`` are the offsets of dangling ends from the nearest site.  Where
+    several classes fit, dangling goes before broken or rejoined, then circles, then contacts.
+    """
+    to_end = [F.col(f"re{k}") - F.col(f"p{k}") for k in (1, 2)]
+    to_start = [F.col(f"p{k}") - F.col(f"rs{k}") for k in (1, 2)]
+    nearest = [F.when(s < e, F.col(f"rs{k}")).otherwise(F.col(f"re{k}")) for k, s, e in zip((1, 2), to_start, to_end, strict=True)]
+    forward = [F.col(f"s{k}") == 1 for k in (1, 2)]
+    reverse = [F.col(f"s{k}") == 0 for k in (1, 2)]
+    ahead = [f & (e < max_length) for f, e in zip(forward, to_end, strict=True)]
+    behind = [r & (s < max_length) for r, s in zip(reverse, to_start, strict=True)]
+    cis, gap = F.col("c1") == F.col("c2"), F.col("p2") - F.col("p1")
+    contact = ~cis | ((nearest[0] != nearest[1]) & (F.col("re1") != F.col("re2")))
+    short = cis & (gap < max_length) & forward[0] & reverse[1]
+    category = (
+        F.when(short & (F.col("p2") - nearest[1]).isin(list(right)), 12)
+        .when(short & (F.col("p1") - nearest[0]).isin(list(left)), 11)
+        .when(short & (F.col("re1") == F.col("re2")), 15)
+        .when(short & (F.col("re1") <= F.col("rs2")), 13)
+        .when((F.col("re1") == F.col("re2")) & behind[0] & ahead[1], 14)
+        .when(contact & ahead[0] & ahead[1], 18)
+        .when(contact & ahead[0] & behind[1] & (gap >= max_length), 17)
+        .when(contact & behind[0] & ahead[1], 16)
+        .when(contact & behind[0] & behind[1], 19)
+        .otherwise(20)
     )
+    return oriented(pairs).withColumn("category", category)
 
 
 def intersect(ends1: DataFrame, ends2: DataFrame) -> DataFrame:

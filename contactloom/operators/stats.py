@@ -119,8 +119,9 @@ def interval_means(intervals: DataFrame, resolution: int) -> DataFrame:
 def base_content(genome: DataFrame, resolution: int) -> DataFrame:
     """(chrom, bin, gc): share of G and C among the known bases of each bin of (chrom, seq)."""
     n = F.floor((F.length("seq") - 1) / resolution).cast("int")
-    rows = genome.where(F.length("seq") > 0).select("chrom", "seq", F.explode(F.sequence(F.lit(0), n)).alias("bin"))
-    part = rows.select("chrom", F.col("bin").cast("long").alias("bin"), F.expr(f"upper(substring(seq, bin * {resolution} + 1, {resolution}))").alias("s"))
+    pieces = F.transform(F.sequence(F.lit(0), n), lambda b: F.upper(F.substr("seq", b * resolution + 1, F.lit(resolution))))
+    # Only the pieces leave the row, each once: the sequence itself is not copied to every bin.
+    part = genome.where(F.length("seq") > 0).select("chrom", F.posexplode(pieces).alias("bin", "s")).withColumn("bin", F.col("bin").cast("long"))
     known = F.length(F.regexp_replace("s", "[^ACGT]", ""))
     return part.select("chrom", "bin", F.try_divide(F.length(F.regexp_replace("s", "[^GC]", "")).cast("double"), known.cast("double")).alias("gc"))
 

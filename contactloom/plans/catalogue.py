@@ -182,7 +182,10 @@ def bad_bin_runs(s, d):
 
 @query()
 def bad_bins_by_mean(s, d):
-    return badbins.by_mean(_full(s, d), I.bins(s))
+    """Bins of 10 kb, whose depth has a mode of low values at the chromosomes' ends."""
+    place = lambda k: F.expr(f"cast(c{k} * 300 + p{k} div 10000 as bigint)")
+    cells = pixels.symmetric(pixels.half_pixels(I.contacts(s, d), place(1), place(2)))
+    return badbins.by_mean(cells, s.range(1500).withColumnRenamed("id", "bin"))
 
 
 @query(sql("SELECT round(sum(CASE WHEN x.chrom = y.chrom THEN v ELSE 0 END)::double / sum(v)::double, 9) AS ratio FROM full_ f JOIN bins x ON f.i = x.bin JOIN bins y ON f.j = y.bin", "base", "half", "full_", "bins"))
@@ -208,7 +211,17 @@ def rescaled_bias(s, d):
     return normalize.rescaled(_good(s, d), _bias(s, d), 160).select("bin", _r("b", 9))
 
 
-@query()
+def _ice_sql(rounds: int) -> str:
+    """Rounds of balancing unrolled, one block of definitions each."""
+    parts = ["b0 AS (SELECT DISTINCT i AS bin, 1.0::double AS b FROM good)"]
+    for k in range(rounds):
+        parts.append(f"s{k} AS (SELECT g.i AS bin, sum(g.v / x.b / y.b) AS s FROM good g JOIN b{k} x ON g.i = x.bin JOIN b{k} y ON g.j = y.bin GROUP BY 1)")
+        parts.append(f"b{k + 1} AS (SELECT s.bin, b.b * s.s / m.m AS b, m.m FROM s{k} s JOIN b{k} b ON s.bin = b.bin, (SELECT avg(s) AS m FROM s{k}) m)")
+    body = f" SELECT bin, round(CASE WHEN b = 0 THEN 1.0 ELSE b * sqrt(m) END, 6) AS b FROM b{rounds}"
+    return sql("", "base", "half", "full_", "cover", "bins", "bad", "good").rstrip() + ", " + ", ".join(parts) + body
+
+
+@query(_ice_sql(6))
 def ice_bias(s, d):
     return normalize.iterative(_good(s, d), iterations=5).select("bin", _r("b", 6))
 
@@ -491,9 +504,9 @@ def binned_annotation(s, d):
     return annotations.binned(_annotation(s, d), 100_000)
 
 
-@query(sql("SELECT i, j, avg((d <= 1.2)::int::double) AS share FROM pp GROUP BY 1, 2", "particles", "pp"))
+@query(sql("SELECT i, j, avg((d <= 0.3)::int::double) AS share FROM pp GROUP BY 1, 2", "particles", "pp"))
 def model_contacts(s, d):
-    return models3d.contact_matrix(I.particles(s, d), 1.2)
+    return models3d.contact_matrix(I.particles(s, d), 0.3)
 
 
 @query(sql("SELECT i, j, round(avg(d), 6) AS mean, round(median(d), 6) AS median FROM pp GROUP BY 1, 2", "particles", "pp"))
@@ -516,9 +529,9 @@ def mean_coordinates(s, d):
     return models3d.mean_coordinates(I.particles(s, d)).select("particle", _r("x"), _r("y"), _r("z"))
 
 
-@query(sql("SELECT p.particle, round(avg(coalesce(k.n, 0)), 6) AS n FROM particles p LEFT JOIN (SELECT model, particle, count(*) AS n FROM (SELECT model, i AS particle FROM pp WHERE d <= 1.2 UNION ALL SELECT model, j FROM pp WHERE d <= 1.2) GROUP BY 1, 2) k ON k.model = p.model AND k.particle = p.particle GROUP BY 1", "particles", "pp"))
+@query(sql("SELECT p.particle, round(avg(coalesce(k.n, 0)), 6) AS n FROM particles p LEFT JOIN (SELECT model, particle, count(*) AS n FROM (SELECT model, i AS particle FROM pp WHERE d <= 0.3 UNION ALL SELECT model, j FROM pp WHERE d <= 0.3) GROUP BY 1, 2) k ON k.model = p.model AND k.particle = p.particle GROUP BY 1", "particles", "pp"))
 def model_interactions(s, d):
-    return models3d.interactions(I.particles(s, d), 1.2).select("particle", _r("n"))
+    return models3d.interactions(I.particles(s, d), 0.3).select("particle", _r("n"))
 
 
 @query(sql("SELECT model, particle, round(degrees(acos(greatest(-1, least(1, dot / norm)))), 4) AS angle FROM (SELECT model, particle, (x-x1)*(x2-x1)+(y-y1)*(y2-y1)+(z-z1)*(z2-z1) AS dot, sqrt(pow(x-x1,2)+pow(y-y1,2)+pow(z-z1,2))*sqrt(pow(x2-x1,2)+pow(y2-y1,2)+pow(z2-z1,2)) AS norm FROM (SELECT *, lead(x,3) OVER w AS x1, lead(y,3) OVER w AS y1, lead(z,3) OVER w AS z1, lead(x,6) OVER w AS x2, lead(y,6) OVER w AS y2, lead(z,6) OVER w AS z2 FROM particles WINDOW w AS (PARTITION BY model ORDER BY particle))) WHERE dot IS NOT NULL AND norm > 0", "particles"))
@@ -526,19 +539,26 @@ def walking_angles(s, d):
     return models3d.walking_angle(I.particles(s, d)).select("model", "particle", _r("angle", 4))
 
 
-@query()
+_DIHEDRAL = ", ".join(
+    [f"lead({k}, {n + 1}) OVER w - {f'lead({k}, {n}) OVER w' if n else k} AS b{n}{k}" for n in range(3) for k in "xyz"]
+)
+
+
+@query(sql(f"""SELECT model, particle, round(degrees(atan2(sqrt(b1x*b1x+b1y*b1y+b1z*b1z) * (b0x*ex+b0y*ey+b0z*ez), cx*ex+cy*ey+cz*ez)), 4) AS angle FROM (
+  SELECT *, b0y*b1z-b0z*b1y AS cx, b0z*b1x-b0x*b1z AS cy, b0x*b1y-b0y*b1x AS cz, b1y*b2z-b1z*b2y AS ex, b1z*b2x-b1x*b2z AS ey, b1x*b2y-b1y*b2x AS ez
+  FROM (SELECT model, particle, {_DIHEDRAL} FROM particles WINDOW w AS (PARTITION BY model ORDER BY particle)) WHERE b2x IS NOT NULL)""", "particles"))
 def walking_dihedrals(s, d):
     return models3d.walking_dihedral(I.particles(s, d)).select("model", "particle", _r("angle", 4))
 
 
 @query()
 def model_scores(s, d):
-    return models3d.model_scores(I.particles(s, d), 1.0).select("a", "b", "eqv", _r("rmsd"), _r("drmsd"))
+    return models3d.model_scores(I.particles(s, d), 0.3).select("a", "b", "eqv", _r("rmsd"), _r("drmsd"))
 
 
 @query()
 def model_consistency(s, d):
-    return models3d.consistency(I.particles(s, d), 1.0).select("particle", _r("share"))
+    return models3d.consistency(I.particles(s, d), 0.3).select("particle", _r("share"))
 
 
 @query()
@@ -591,3 +611,148 @@ def fragment_lookup(s, d):
     ends = I.contacts(s, d).select(F.col("c1").alias("chrom"), F.col("p1").alias("pos")).distinct()
     ends = ends.select(F.lit("r").alias("name"), "chrom", "pos", F.lit(1).alias("strand"), F.lit(50).alias("len"))
     return reads.with_fragment(ends, frags).where("rs IS NOT NULL AND pos > rs").select("pos", "chrom", "rs", "re")
+
+
+@query(sql("""SELECT read_id, c1, p1, c2, p2, CASE
+  WHEN short AND p2 - n2 BETWEEN 0 AND 5 THEN 12 WHEN short AND p1 - n1 BETWEEN -2 AND 3 THEN 11 WHEN short AND re1 = re2 THEN 15 WHEN short AND re1 <= rs2 THEN 13
+  WHEN re1 = re2 AND back1 AND fore2 THEN 14 WHEN contact AND fore1 AND fore2 THEN 18 WHEN contact AND fore1 AND back2 AND p2 - p1 >= 2000 THEN 17
+  WHEN contact AND back1 AND fore2 THEN 16 WHEN contact AND back1 AND back2 THEN 19 ELSE 20 END AS category
+FROM (SELECT *, c1 = c2 AND p2 - p1 < 2000 AND s1 = 1 AND s2 = 0 AS short, c1 <> c2 OR (n1 <> n2 AND re1 <> re2) AS contact,
+    s1 = 1 AND re1 - p1 < 2000 AS fore1, s2 = 1 AND re2 - p2 < 2000 AS fore2, s1 = 0 AND p1 - rs1 < 2000 AS back1, s2 = 0 AND p2 - rs2 < 2000 AS back2
+  FROM (SELECT *, CASE WHEN p1 - rs1 < re1 - p1 THEN rs1 ELSE re1 END AS n1, CASE WHEN p2 - rs2 < re2 - p2 THEN rs2 ELSE re2 END AS n2 FROM (
+    SELECT read_id, c1, p1, s1, rs1, re1, c2, p2, s2, rs2, re2 FROM base WHERE NOT (c1 > c2 OR c1 = c2 AND p1 > p2)
+    UNION ALL SELECT read_id, c2, p2, s2, rs2, re2, c1, p1, s1, rs1, re1 FROM base WHERE c1 > c2 OR c1 = c2 AND p1 > p2)))""", "base"))
+def site_classes(s, d):
+    return pairs.site_classes(I.contacts(s, d), 2000).select("read_id", "c1", "p1", "c2", "p2", "category")
+
+
+@query(sql("SELECT b.bin, min(why) AS why FROM (SELECT b.bin, CASE WHEN 160 - coalesce(cells, 0) > 144 THEN 'zeros' WHEN coalesce(total, 0) < 60 THEN 'low count' END AS why FROM bins b LEFT JOIN cover c ON b.bin = c.bin UNION ALL SELECT bin, 'empty diagonal' FROM bins WHERE bin NOT IN (SELECT i FROM full_ WHERE i = j)) b WHERE why IS NOT NULL GROUP BY 1", "base", "half", "full_", "cover", "bins"))
+def bad_bins_for_modelling(s, d):
+    return badbins.for_modelling(_full(s, d), I.bins(s), 160, 90, 60, auto=False)
+
+
+_SIZE_MADS = "SELECT (SELECT median(abs(size - (SELECT median(size) FROM sz))) FROM sz)::double AS mad, (SELECT median(abs(size - (SELECT median(size) FROM sz))) FROM sz WHERE size >= (SELECT median(size) FROM sz))::double AS right_mad"
+
+
+@query(sql("", "base").rstrip() + ", " + _SIZES + " " + _SIZE_MADS)
+def size_deviations(s, d):
+    sizes = stats.insert_sizes(I.contacts(s, d))
+    each = sizes.select(F.explode(F.array_repeat(F.col("size").cast("double"), F.col("n").cast("int"))).alias("size"))
+    return stats.mad("size", each).crossJoin(stats.right_double_mad("size", each).withColumnRenamed("mad", "right_mad"))
+
+
+@query(sql("", "base").rstrip() + ", " + _SIZES + " SELECT size, n, round(avg(n) OVER (ORDER BY size ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 9) AS smooth FROM (SELECT r.range AS size, count(sz.size) AS n FROM range(801) r LEFT JOIN sz ON sz.size = r.range GROUP BY 1)")
+def molecule_lengths(s, d):
+    return stats.molecule_lengths(I.contacts(s, d), 20, 800).select("size", "n", _r("smooth", 9))
+
+
+@query(sql("SELECT side, win AS \"window\", n, sum(n) OVER (PARTITION BY side ORDER BY win)::bigint AS upto FROM (SELECT 1 AS side, p1 // 1000 AS win, count(*) AS n FROM base GROUP BY 2 UNION ALL SELECT 2, p2 // 1000, count(*) FROM base GROUP BY 2)", "base"))
+def cumulative_mapped(s, d):
+    rows = I.contacts(s, d)
+    sides = [rows.groupBy(F.expr(f"p{k} div 1000").alias("window")).agg(F.count("*").alias("n")).select(F.lit(k).alias("side"), "window", "n") for k in (1, 2)]
+    return stats.cumulative_mapped(sides[0].unionByName(sides[1]))
+
+
+@query("SELECT doc_id AS chrom, b AS bin, round(length(regexp_replace(s, '[^GC]', '', 'g'))::double / nullif(length(regexp_replace(s, '[^ACGT]', '', 'g')), 0), 9) AS gc FROM (SELECT doc_id, b, upper(substring(text, b * 100 + 1, 100)) AS s FROM documents, unnest(range((length(text) - 1) // 100 + 1)) t(b) WHERE length(text) > 0)")
+def base_content(s, d):
+    genome = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("chrom"), F.col("text").alias("seq"))
+    return stats.base_content(genome, 100).select("chrom", "bin", _r("gc", 9))
+
+
+@query(sql("SELECT particle, round(avg(density), 6) AS density FROM (SELECT particle, 2.0 * 100000 / sqrt(pow(lead(x) OVER w - lag(x) OVER w, 2) + pow(lead(y) OVER w - lag(y) OVER w, 2) + pow(lead(z) OVER w - lag(z) OVER w, 2)) AS density FROM particles WINDOW w AS (PARTITION BY model ORDER BY particle)) WHERE density IS NOT NULL GROUP BY 1", "particles"))
+def model_density(s, d):
+    return models3d.density(I.particles(s, d), 100_000).select("particle", _r("density"))
+
+
+@query(sql("SELECT particle, round(avg(v) OVER w, 6) AS mean, round(avg(v) OVER w - 2 * avg(sd) OVER w, 6) AS low, round(avg(v) OVER w + 2 * avg(sd) OVER w, 6) AS high FROM (SELECT particle, avg(x) AS v, stddev_pop(x) AS sd FROM particles GROUP BY 1) WINDOW w AS (ORDER BY particle ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)", "particles"))
+def windowed_coordinates(s, d):
+    return models3d.windowed(I.particles(s, d), 5, "x").select("particle", _r("mean"), _r("low"), _r("high"))
+
+
+_MODELS = "SELECT vec_id AS seed, embedding[1]::double AS objfun FROM embeddings"
+
+
+def _models(s, d):
+    return s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("seed"), F.col("embedding")[0].cast("double").alias("objfun"))
+
+
+@query(f"SELECT seed, objfun, (row_number() OVER (ORDER BY objfun, seed) - 1)::int AS rank FROM ({_MODELS}) ORDER BY objfun, seed LIMIT 20")
+def best_models(s, d):
+    return models3d.best_models(_models(s, d), 20)
+
+
+@query(f"SELECT seed, objfun, (row_number() OVER (ORDER BY objfun, seed) - 1)::int AS rank FROM (SELECT seed, objfun FROM ({_MODELS}) WHERE seed % 2 = 0 UNION ALL SELECT seed, objfun + 1 FROM ({_MODELS}) WHERE seed % 2 = 1)")
+def extended_models(s, d):
+    every = _models(s, d)
+    return models3d.extended(every.where("seed % 2 = 0"), every.withColumn("objfun", F.col("objfun") + 1))
+
+
+_DATA = "dat AS (SELECT sh.share, f.v::double AS v FROM (SELECT i, j, avg((d <= 0.3)::int::double) AS share FROM pp GROUP BY 1, 2) sh JOIN full_ f ON f.i = sh.i AND f.j = sh.j), rk AS (SELECT *, rank() OVER (ORDER BY share) + (count(*) OVER (PARTITION BY share) - 1) / 2 AS ra, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS rb FROM dat)"
+
+
+@query(sql("", "base", "half", "full_", "particles", "pp").rstrip() + ", " + _DATA + " SELECT round(corr(share, v), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, round(corr(CASE WHEN share > 0 THEN ln(share) END, ln(v)), 6) AS logpearson, count(*) AS n FROM rk")
+def models_with_data(s, d):
+    return models3d.with_data(models3d.contact_matrix(I.particles(s, d), 0.3), _full(s, d)).select(_r("pearson"), _r("spearman"), _r("logpearson"), "n")
+
+
+@query(sql("SELECT round(corr(a, b), 6) AS corr FROM (SELECT i, j, avg(CASE WHEN model % 2 = 0 THEN (d <= 0.3)::int::double END) AS a, avg(CASE WHEN model % 2 = 1 THEN (d <= 0.3)::int::double END) AS b FROM pp GROUP BY 1, 2) WHERE a IS NOT NULL AND b IS NOT NULL", "particles", "pp"))
+def compared_ensembles(s, d):
+    p = I.particles(s, d)
+    return models3d.compare_ensembles(p.where("model % 2 = 0"), p.where("model % 2 = 1"), 0.3).select(_r("corr"))
+
+
+@query(sql("SELECT round(avg(CASE WHEN i % 3 <> j % 3 THEN d END) * (n - 3) / (avg(CASE WHEN i % 3 = j % 3 THEN d END) * 2), 6) AS ch FROM (SELECT i, j, avg(d) AS d FROM pp GROUP BY 1, 2), (SELECT count(DISTINCT particle) AS n FROM particles) GROUP BY n", "particles", "pp"))
+def cluster_quality(s, d):
+    p = I.particles(s, d)
+    scores = models3d.distance_matrix(p).select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("mean").alias("d"))
+    clusters = p.select(F.col("particle").alias("item")).distinct().withColumn("cluster", F.col("item") % 3)
+    return stats.cluster_quality(scores, clusters).select(_r("ch"))
+
+
+@query(sql("SELECT b.bin AS i, 160 AS n, coalesce(sum(v), 0)::double AS total, coalesce(sum(v * f.j), 0)::double AS moment FROM bins b LEFT JOIN full_ f ON f.i = b.bin GROUP BY 1", "base", "half", "full_", "bins"))
+def dense_map_rows(s, d):
+    """Whole rows of the map with their zeros, checked by size, sum and first moment."""
+    rows = pixels.dense_rows(s, _full(s, d), 160)
+    add = lambda f: F.aggregate(f, F.lit(0.0), lambda x, y: x + y)
+    moment = F.transform("row", lambda v, k: v * k)
+    return rows.select("i", F.size("row").alias("n"), add(F.col("row")).alias("total"), add(moment).alias("moment"))
+
+
+def _fine(s, d, width: int = 1000):
+    """A map of 1 kb bins: 3,000 bins a chromosome."""
+    place = lambda k: F.expr(f"cast(c{k} * 3000 + p{k} div {width} as bigint)")
+    return pixels.half_pixels(I.contacts(s, d), place(1), place(2))
+
+
+_FINE = "fine AS (SELECT least(a, b) AS i, greatest(a, b) AS j, count(*) AS v FROM (SELECT c1 * 3000 + p1 // 1000 AS a, c2 * 3000 + p2 // 1000 AS b FROM base) GROUP BY 1, 2)"
+
+
+@query(sql("", "base").rstrip() + ", " + _FINE + " SELECT i, j, v FROM fine")
+def fine_pixels(s, d):
+    return _fine(s, d)
+
+
+@query(sql("", "base").rstrip() + ", " + _FINE + ", sym AS (SELECT i, j, CASE WHEN i = j THEN 2 * v ELSE v END AS v FROM fine UNION ALL SELECT j, i, v FROM fine WHERE i <> j), t AS (SELECT i AS bin, sum(v)::double AS s FROM sym GROUP BY 1), m AS (SELECT avg(s) AS m FROM t) SELECT bin, round(s / m * sqrt(m), 9) AS b FROM t, m")
+def fine_bias(s, d):
+    return normalize.vanilla(pixels.symmetric(_fine(s, d))).select("bin", _r("b", 9))
+
+
+def _wide_counts(s, d):
+    """Cis and total contacts of 10 kb bins."""
+    rows = I.contacts(s, d)
+    end = lambda k: rows.select(F.expr(f"cast(c{k} * 300 + p{k} div 10000 as bigint)").alias("bin"), (F.col("c1") == F.col("c2")).cast("int").alias("cis"))
+    return end(1).unionByName(end(2)).groupBy("bin").agg(F.sum("cis").alias("cis"), F.count("*").alias("total"))
+
+
+@query()
+def bad_bins_cis_share(s, d):
+    return badbins.by_cis_share(_wide_counts(s, d), 1500, min_perc=5, max_perc=99)
+
+
+@query()
+def additive_bias(s, d):
+    """Biases of 10 kb bins from three covariates that stand in for mappability, GC content and cut sites."""
+    counts = _wide_counts(s, d).select("bin", F.col("total").alias("s"))
+    b = F.col("id")
+    covariates = s.range(1500).select(b.alias("bin"), (b % 300 / 300).alias("map"), (F.sin(b.cast("double")) / 2 + 0.5).alias("cg"), (b % 7).cast("double").alias("res"))
+    return normalize.one_d(counts, covariates).select("bin", _r("b", 6))

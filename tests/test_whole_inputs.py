@@ -23,8 +23,8 @@ def test_models_have_a_particle_of_every_embedding(spark, embeddings):
     assert sorted((r.model, r.particle) for r in rows) == sorted((k % 10, k // 10) for k in range(453))
     at = {(r.model, r.particle): (r.x, r.y, r.z) for r in rows}
     want = {
-        (i, j): sum(math.dist(at[m, i], at[m, j]) <= 1.2 for m in range(10)) / 10 for i, j in itertools.combinations(range(45), 2)
-    } | {(i, 45): sum(math.dist(at[m, i], at[m, 45]) <= 1.2 for m in range(3)) / 3 for i in range(45)}
+        (i, j): sum(math.dist(at[m, i], at[m, j]) <= 0.3 for m in range(10)) / 10 for i, j in itertools.combinations(range(45), 2)
+    } | {(i, 45): sum(math.dist(at[m, i], at[m, 45]) <= 0.3 for m in range(3)) / 3 for i in range(45)}
     found = catalogue.queries()["model_contacts"](spark, embeddings).collect()
     assert {(r.i, r.j): pytest.approx(r.share) for r in found} == want
     for name in ("mean_coordinates", "model_interactions", "model_consistency"):
@@ -44,7 +44,7 @@ def test_models_of_different_lengths_are_compared_on_shared_particles(spark, emb
         n = min(len(x[a]), len(x[b]))
         p, q = geometry.superposed(x[a][:n], x[b][:n]), x[b][:n]
         gaps = [math.dist(p[i], p[j]) - math.dist(q[i], q[j]) for i, j in itertools.combinations(range(n), 2)]
-        assert r.eqv == sum(math.dist(p[i], q[i]) < 1.0 for i in range(n))
+        assert r.eqv == sum(math.dist(p[i], q[i]) < 0.3 for i in range(n))
         assert r.rmsd == pytest.approx(math.sqrt(sum(math.dist(p[i], q[i]) ** 2 for i in range(n)) / n), abs=1e-6)
         assert r.drmsd == pytest.approx(math.sqrt(sum(g * g for g in gaps) / len(gaps)), abs=1e-6)
 
