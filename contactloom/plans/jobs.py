@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 JOBS = "id long, parameters string, digest string, type string, launched double, finished double"
 PATHS = "id long, job long, path string, type string"
+HIDDEN = "name string, column string, value string, upto long"
 
 
 def digest(options: dict, extra: str | None = None) -> str:
@@ -20,13 +21,18 @@ def digest(options: dict, extra: str | None = None) -> str:
 
 
 class Catalogue:
-    """Tables are appended to; a deletion writes a new version of a table."""
+    """Tables are only appended to: a deletion adds a row that hides others, so that a crash loses nothing."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        schema = JOBS if name == "jobs" else PATHS
+        rows = self._stored(name, JOBS if name == "jobs" else PATHS)
+        for r in self._stored("hidden", HIDDEN).where(F.col("name") == name).distinct().collect():
+            rows = rows.where(~F.col(r["column"]).cast("string").eqNullSafe(F.lit(r["value"])) | (F.col("id") > r["upto"]))
+        return rows
+
+    def _stored(self, name: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
         except Exception as e:  # the table is not there yet
@@ -35,11 +41,11 @@ class Catalogue:
             return self.spark.createDataFrame([], schema)
 
     def _append(self, name: str, rows: list[tuple]) -> None:
-        schema = JOBS if name == "jobs" else PATHS
+        schema = {"jobs": JOBS, "paths": PATHS, "hidden": HIDDEN}[name]
         self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{self.folder}/{name}")
 
     def next_id(self, name: str = "jobs") -> int:
-        return (self.table(name).agg(F.max("id")).first()[0] or 0) + 1
+        return (self._stored(name, JOBS if name == "jobs" else PATHS).agg(F.max("id")).first()[0] or 0) + 1
 
     def already_run(self, options: dict, kind: str) -> bool:
         return self.table("jobs").where((F.col("digest") == digest(options)) & (F.col("type") == kind)).limit(1).count() > 0
@@ -69,9 +75,8 @@ class Catalogue:
         return df.select(*columns) if columns else df
 
     def delete(self, name: str, column: str, value) -> None:
-        rows = [tuple(r) for r in self.table(name).where(~F.col(column).eqNullSafe(F.lit(value))).collect()]
-        schema = JOBS if name == "jobs" else PATHS
-        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        """Hide the rows written so far with this value."""
+        self._append("hidden", [(name, column, None if value is None else str(value), self.next_id(name) - 1)])
 
     def clean(self, job: int) -> None:
         """Forget a job and its paths."""

@@ -30,11 +30,12 @@ def binned(valid: DataFrame, bins: DataFrame, resolution: int) -> DataFrame:
 
 
 def normalise(half: DataFrame, bins: DataFrame, method: str = "vanilla", min_count: float = 0, factor: float = 1.0, **options) -> dict[str, DataFrame]:
-    """bad, bias and decay tables of a half map."""
+    """bad, bias and decay tables of a half map; method vanilla, sqrt, ice, or oned with ``covariates``."""
     full = pixels.symmetric(half)
     bad = badbins.by_min_count(full, bins, min_count)
     good = pixels.good(full, bad)
-    how = {"vanilla": normalize.vanilla, "sqrt": normalize.square_root, "ice": normalize.iterative}[method]
+    additive = lambda cells, covariates, **more: normalize.one_d(normalize.row_sums(cells), covariates, **more)
+    how = {"vanilla": normalize.vanilla, "sqrt": normalize.square_root, "ice": normalize.iterative, "oned": additive}[method]
     bias = normalize.rescaled(good, how(good, **options), bins.count(), factor)
     return {"bad": bad, "bias": bias, "decay": normalize.decay(full, bins, bias, bad)}
 
