@@ -1,4 +1,15 @@
-"""Corpus pipeline: classify, deduplicate twice, mix, and encode the documents."""
+"""Corpus pipeline: classify, deduplicate twice, mix, and encode the documents.
+
+Each stage works on all rows that the one before it kept, is written as Parquet to the
+cluster's shared folder and read again, so a lost executor costs one stage's tasks.
+
+Defined cases: an empty table gives an empty result; null and empty texts, of whatever
+verdict, pass through the stages like others (the classifier scores
+the zero vector, equal ones are duplicates, their size in the mixture is 0); null ids lose against any other id;
+texts of any length are read whole; extra columns are carried to the end.  The last stage
+drops the text and adds ids, n_tokens, decoded_chars and round_trip, which replace columns of these
+names.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from contactloom.llm import exact_dedup, mixing, piece_tokenizer, quality_classifier, simhash_dedup
+from contactloom.llm.common import shared_folder
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,14 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written to the shared folder and read again."""
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if shared is None:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="pipeline")
-        context.setCheckpointDir(shared)
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
