@@ -59,7 +59,7 @@ def columns_where(alignment: DataFrame, condition, min_num: int) -> DataFrame:
 
 def shuffled(borders: list[float], seed: int) -> list[float]:
     """Borders with their domain lengths shuffled."""
-    lengths = [b - a for a, b in zip([0, *borders], borders, strict=False)]
+    lengths = lengths_of(borders)
     random.Random(seed).shuffle(lengths)
     out, at = [], 0.0
     for x in lengths:
@@ -68,35 +68,49 @@ def shuffled(borders: list[float], seed: int) -> list[float]:
     return out
 
 
-def interpolated(borders: list[float], seed: int) -> list[float]:
-    """Borders drawn from the interpolated distribution of domain lengths, up to the last border."""
-    lengths = sorted(b - a for a, b in zip([0, *borders], borders, strict=False))
+def lengths_of(borders: list[float]) -> list[float]:
+    return [b - a for a, b in zip([0, *borders], borders, strict=False)]
+
+
+def interpolated(lengths: list[float], size: float, seed: int) -> list[float]:
+    """Borders on ``size`` with domain lengths drawn from the interpolated distribution of ``lengths``."""
+    known = sorted(lengths)
     rng, out, at = random.Random(seed), [], 0.0
-    while lengths and at < borders[-1]:
-        x = rng.random() * (len(lengths) - 1)
+    while known and at < size:
+        x = rng.random() * (len(known) - 1)
         i = int(x)
-        at += max(lengths[i] + (x - i) * (lengths[min(i + 1, len(lengths) - 1)] - lengths[i]), 1.0)
+        at += max(known[i] + (x - i) * (known[min(i + 1, len(known) - 1)] - known[i]), 1.0)
         out.append(at)
     return out
 
 
 def randomization_test(borders: DataFrame, runs: int = 1000, method: str = "interpolate", **options) -> DataFrame:
-    """(chrom, score, p): share of random border sets that align at least as well.  Runs are dealt over tasks by seed."""
+    """(chrom, score, p): share of random border sets that align better than the real ones.
+
+    ``interpolate`` draws every set from the lengths of all experiments together, ``shuffle``
+    shuffles the lengths of an experiment drawn at random.  Runs are dealt over tasks by seed.
+    """
     chrom = dict(borders.dtypes)["chrom"]
-    draw = interpolated if method == "interpolate" else shuffled
+
+    def drawn(real: list[list[float]], run: int) -> list[list[float]]:
+        rng = random.Random(run)
+        if method == "shuffle":
+            return [shuffled(rng.choice(real), run * 1000 + k) for k in range(len(real))]
+        pooled, size = [x for r in real for x in lengths_of(r)], max((r[-1] for r in real if r), default=0.0)
+        return [interpolated(pooled, size, run * 1000 + k) for k in range(len(real))]
 
     def kernel(key, pdf):
         names = sorted(pdf["experiment"].unique())
         real = [sorted(pdf.loc[pdf["experiment"] == n, "pos"].astype(float)) for n in names]
         run = int(key[1])
-        used = real if run < 0 else [draw(r, run * 1000 + k) for k, r in enumerate(real)]
+        used = real if run < 0 else drawn(real, run)
         return pd.DataFrame([(key[0], run, progressive(used, "reciprocal", **({"max_dist": 100_000} | options))[1])], columns=["chrom", "run", "score"])
 
     each = borders.withColumn("run", F.explode(F.sequence(F.lit(-1), F.lit(runs - 1))))
     scored = ship(each).groupBy("chrom", "run").applyInPandas(kernel, f"chrom {chrom}, run int, score double")
     real = scored.where("run = -1").select("chrom", F.col("score").alias("real"))
     return scored.where("run >= 0").join(real, "chrom").groupBy("chrom", F.col("real").alias("score").alias("s")).agg(
-        F.avg((F.col("score") >= F.col("real")).cast("double")).alias("p")
+        F.avg((F.col("score") > F.col("real")).cast("double")).alias("p")
     ).select("chrom", F.col("s").alias("score"), "p")
 
 
