@@ -154,3 +154,39 @@ def test_pipeline_with_long_texts_nulls_and_clashing_names(spark, tmp_path):
     found = corpus_pipeline.run(spark, str(tmp_path))
     assert found.where("NOT round_trip").count() == 0 and found.count() > 0
     assert dict(found.dtypes)["ids"] == "array<int>" and dict(found.dtypes)["kept"] == "int"
+
+
+def test_rules_decide_as_in_plain_python_and_the_best_threshold_is_found(spark):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for k in range(240):
+        bad = k % 3 == 0
+        words = [rng.choice("abcdefgh") * rng.randrange(1, 7) + ("!" if bad and k % 2 and rng.random() < 0.6 else "") + ("#$" if bad and not k % 2 and rng.random() < 0.5 else "") for _ in range(80)]
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(not bad), 0))
+    df = spark.createDataFrame([*rows, (500, None), (501, "few words")], "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    train = quality_rules.training_rows(df, marks)
+    rules = quality_rules.learn(train)
+    assert len(rules) >= 2  # two kinds of bad texts need two rules
+    stats = {r.doc_id: r.asDict() for r in quality_rules.statistics(df).collect()}
+    want = {i: not r["base_failed"] and not any(quality_rules._holds(r, rule) for rule in rules) for i, r in stats.items()}
+    found = {r.doc_id: r.kept for r in quality_rules.judge(df, marks).collect()}
+    assert found == want and not found[500] and not found[501]
+    truth = dict((i, y) for i, y, _ in labels)
+    assert sum(found[i] == bool(y) for i, y in truth.items()) > 0.97 * len(truth)
+    # One condition against all thresholds of all features.
+    gain, (f, op, cut) = quality_rules._best_condition(train, quality_rules.FEATURES)
+    import math
+
+    bad = [r["label"] == 0 for r in train]
+    before = math.log2(sum(bad) / len(bad))
+    best = 0.0
+    for feature in quality_rules.FEATURES:
+        values = sorted({r[feature] for r in train})
+        for a, b in zip(values, values[1:]):
+            for side in ("<", ">="):
+                hit = [y for r, y in zip(train, bad) if (r[feature] < (a + b) / 2) == (side == "<")]
+                if sum(hit):
+                    best = max(best, sum(hit) * (math.log2(sum(hit) / len(hit)) - before))
+    assert gain == pytest.approx(best, abs=1e-5)
