@@ -12,6 +12,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contactloom.operators.normalize import checkpointed
+
 #: Filters 1 to 10 and the mark of pairs between chromosomes.
 FILTERS = {
     1: "self-circle",
@@ -96,6 +98,10 @@ def fragment_counts(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("e.c", "e.rs").agg(F.count("*").alias("n"))
 
 
+#: Over-represented fragments that are broadcast (about 24 bytes each).
+MAX_BROADCAST = 500_000
+
+
 def rank_cut(counts: DataFrame, share: float) -> DataFrame:
     """One row ``threshold``: the value at rank int((1 - share) * rows + 0.5) of the ascending counts.
 
@@ -133,12 +139,17 @@ def classify(
     min_dist_to_re: int = 750,
     strict_duplicates: bool = False,
 ) -> DataFrame:
-    """Pairs with ``flag``: one projection, one rank and two lookups in the table of over-represented fragments."""
-    cut = over_represented_fragments(pairs, over_represented)
+    """Pairs with ``flag``: one projection, one rank and two lookups in the table of over-represented fragments.
+
+    That table, at most ``over_represented`` of the fragments, is written and counted: up to
+    ``MAX_BROADCAST`` rows it is broadcast, so that only the rank shuffles the pairs.
+    """
+    cut = checkpointed(over_represented_fragments(pairs, over_represented))
+    small = cut.count() <= MAX_BROADCAST
     flagged = pairs
     for k in ("1", "2"):
         marks = cut.select(F.col("c").alias(f"c{k}"), F.col("rs").alias(f"rs{k}"), F.lit(True).alias(f"__over{k}"))
-        flagged = flagged.join(marks, [f"c{k}", f"rs{k}"], "left")
+        flagged = flagged.join(F.broadcast(marks) if small else marks, [f"c{k}", f"rs{k}"], "left")
     own = same_fragment_class(max_molecule_length).bitwiseOR(site_class(re_proximity, min_dist_to_re, min_frag_size, max_frag_size))
     over = F.when(F.coalesce("__over1", "__over2", F.lit(False)), 1 << 7).otherwise(0)
     again = F.when(duplicate_rank(strict_duplicates) > 1, 1 << 8).otherwise(0)
