@@ -368,9 +368,19 @@ def insulation_delta(s, d):
     return segment.insulation_delta(segment.insulation(_full(s, d), I.bins(s), 1, 4), 3).select("chrom", "idx", "score", _r("delta"))
 
 
-@query()
+@query(_ins_sql("""SELECT chrom, idx, round(2 / (1 + exp(-(peak - trough))) - 1, 6) AS strength FROM (
+  SELECT *, lag(score) OVER w AS s0, lead(score) OVER w AS s2, lag(delta) OVER w AS d0, lead(delta) OVER w AS d2,
+    last_value(CASE WHEN up THEN delta END IGNORE NULLS) OVER (PARTITION BY chrom ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS peak,
+    first_value(CASE WHEN down THEN delta END IGNORE NULLS) OVER (PARTITION BY chrom ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS trough
+  FROM (SELECT *, coalesce(lag(delta) OVER w < delta, true) AS up, coalesce(lead(delta) OVER w > delta, true) AS down FROM (
+    SELECT chrom, idx, score, avg(score) OVER (PARTITION BY chrom ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) - avg(score) OVER (PARTITION BY chrom ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS delta
+    FROM (SELECT chrom, idx, CASE WHEN score > 0 THEN log2(score / m) END AS score FROM (SELECT *, avg(score) OVER (PARTITION BY chrom) AS m FROM ins)))
+    WINDOW w AS (PARTITION BY chrom ORDER BY idx))
+  WINDOW w AS (PARTITION BY chrom ORDER BY idx))
+WHERE score < s0 AND score < s2 AND d0 > 0 AND d2 < 0 AND peak > trough"""))
 def insulation_borders(s, d):
-    return segment.insulation_borders(segment.insulation_delta(segment.insulation(_full(s, d), I.bins(s), 1, 4, True), 3), 0.0)
+    found = segment.insulation_borders(segment.insulation_delta(segment.insulation(_full(s, d), I.bins(s), 1, 4, True), 3), 0.0)
+    return found.select("chrom", "idx", _r("strength"))
 
 
 @query()
@@ -566,7 +576,15 @@ def model_accessibility(s, d):
     return models3d.accessibility(I.particles(s, d), 0.1, 0.5).select("model", "particle", _r("share"))
 
 
-@query()
+@query(sql("", "base", "half", "full_").rstrip() + """, reg AS (SELECT i, j, log10(v) AS l FROM full_ WHERE i <= j AND i < 32 AND j < 32),
+z AS (SELECT i, j, (l - m) / sd AS z FROM reg, (SELECT avg(l) AS m, stddev_pop(l) AS sd FROM reg) WHERE i < j),
+f AS (SELECT a.range AS i, b.range AS j, coalesce(z0.z, list_avg([z1.z, z2.z, z3.z, z4.z])) AS z, z0.z IS NULL AS guessed FROM range(32) a JOIN range(32) b ON a.range < b.range
+  LEFT JOIN z z0 ON z0.i = a.range AND z0.j = b.range LEFT JOIN z z1 ON z1.i = a.range - 1 AND z1.j = b.range LEFT JOIN z z2 ON z2.i = a.range + 1 AND z2.j = b.range
+  LEFT JOIN z z3 ON z3.i = a.range AND z3.j = b.range - 1 LEFT JOIN z z4 ON z4.i = a.range AND z4.j = b.range + 1),
+g AS (SELECT f.*, j - i AS gap, greatest(100.0, 500.0 + (100.0 - 500.0) / (hi - lo) * (z - lo)) AS line FROM f, (SELECT min(z) AS lo, max(z) AS hi FROM z WHERE j - i > 1))
+SELECT i, j, type, round(CASE WHEN gap <= 2 THEN 5.0 ELSE sqrt(abs(z)) * CASE WHEN guessed THEN 0.5 ELSE 1.0 END END, 6) AS kforce,
+  round(CASE WHEN gap = 1 AND z > 0.5 THEN line WHEN gap = 1 THEN 100.0 WHEN gap = 2 THEN 200.0 ELSE line END, 6) AS dist
+FROM (SELECT *, CASE WHEN gap = 1 AND z > 0.5 THEN 'Harmonic' WHEN gap <= 2 THEN 'UpperBound' WHEN z > 0.5 THEN 'Harmonic' WHEN z < -0.5 THEN 'LowerBound' END AS type FROM g) WHERE type IS NOT NULL""")
 def restraint_table(s, d):
     z = pixels.zscores(pixels.crop(_full(s, d), (0, 32, 0, 32))).where("i < j")
     return restraints.restraints(z, 32, 50.0, 500.0, 0.5, -0.5).select("i", "j", "type", _r("kforce"), _r("dist"))
