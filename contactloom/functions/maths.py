@@ -22,6 +22,19 @@ def log_or_half_minimum(values: list[float]) -> list[float]:
     return [math.log10(v if v > 0 else least / 2) for v in values]
 
 
+def log10_or_infinity(values) -> np.ndarray:
+    """log10 with minus infinity for zeros."""
+    with np.errstate(divide="ignore"):
+        return np.log10(np.asarray(values, dtype=float))
+
+
+def explained(f, xs, ys) -> float:
+    """Share of the variance of ``ys`` that a function of ``xs`` explains."""
+    ys = np.asarray(ys, dtype=float)
+    gaps = ys - np.array([f(x) for x in xs], dtype=float)
+    return float(1 - (gaps @ gaps) / ((ys - ys.mean()) @ (ys - ys.mean())))
+
+
 def mean_of_known(values: list[float | None]) -> float | None:
     known = [v for v in values if v is not None]
     return sum(known) / len(known) if known else None

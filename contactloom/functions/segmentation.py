@@ -467,3 +467,17 @@ def overlap_alignment(a: np.ndarray, b: np.ndarray, vectors: int = 3, gap: float
         if score == score and score > best[1]:
             best = (pairs, score)
     return best[0] or [], float(best[1]) if best[0] else float("nan")
+
+
+def merged_overlap(a: np.ndarray, b: np.ndarray, pairs: list[tuple[int | None, int | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both maps on the rows of their alignment and the mean of both; not a number where a map has no row."""
+
+    def spread(m: np.ndarray, rows: list[int | None]) -> np.ndarray:
+        at = np.array([k for k, r in enumerate(rows) if r is not None], dtype=int)
+        used = np.array([r for r in rows if r is not None], dtype=int)
+        out = np.full((len(rows), len(rows)), np.nan)
+        out[np.ix_(at, at)] = m[np.ix_(used, used)]
+        return out
+
+    first, second = spread(a, [x for x, _ in pairs]), spread(b, [y for _, y in pairs])
+    return first, second, (first + second) / 2

@@ -55,6 +55,18 @@ def grid(spark: SparkSession, **ranges: list) -> DataFrame:
     return df
 
 
+def write_results(results: DataFrame, path: str) -> None:
+    """Scores of a grid of parameters as tab-separated text, best first."""
+    best = [c for c in results.columns if c == "corr"]
+    results.orderBy(*[F.desc(c) for c in best]).coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The scores of a grid again: all columns are numbers, and texts that are none are null."""
+    rows = spark.read.option("sep", "\t").option("header", True).csv(path)
+    return rows.select(*[F.col(f"`{c}`").try_cast("double").alias(c) for c in rows.columns])
+
+
 def best_parameters(results: DataFrame, score: str = "corr") -> DataFrame:
     """The row with the best score."""
     rest = [c for c in results.columns if c != score]

@@ -13,7 +13,8 @@ from contactloom.functions import geometry, maths, text
 from contactloom.operators import badbins, borders, compare, models3d, normalize, pairs, restraints, stats
 from contactloom.plans import verbs
 from contactloom.plans.jobs import Catalogue
-from contactloom.sources import annotations, contact_bam, reads, sinks
+from contactloom.functions import segmentation
+from contactloom.sources import annotations, contact_bam, container_tables, reads, sinks
 
 
 def contacts(spark, n=300, seed=4):
@@ -247,3 +248,35 @@ def test_merge_verb(spark):
     total, corr = verbs.merge(a, a, bins, 3)
     assert total.agg(F.sum("v")).first()[0] == 2 * a.agg(F.sum("v")).first()[0]
     assert {round(r.spearman, 9) for r in corr.collect()} == {1.0}
+
+
+def test_container_tables(spark, tmp_path):
+    bins = spark.createDataFrame([(k, "ab"[k // 2], k % 2 * 10, k % 2 * 10 + 10) for k in range(4)], "bin long, chrom string, start long, end long")
+    chroms = spark.createDataFrame([("a", 20), ("b", 20)], "name string, length long")
+    half = spark.createDataFrame([(0, 1, 4), (3, 2, 6), (1, 1, 2), (0, 3, 9)], "i long, j long, v long")
+    bias = spark.createDataFrame([(0, 2.0), (1, 4.0), (2, 0.5)], "bin long, b double")
+    path = str(tmp_path / "map")
+    assert not container_tables.is_container(spark, path)
+    container_tables.write_container(path, 10, half, bins, chroms, bias)
+    assert container_tables.is_container(spark, path) and container_tables.is_container(spark, path, 10) and not container_tables.is_container(spark, path, 20)
+    assert [tuple(r) for r in container_tables.read_chroms(spark, path, 10).orderBy("name").collect()] == [("a", 20), ("b", 20)]
+    raw, back = container_tables.read_container(spark, path, 10)
+    assert sorted(map(tuple, raw.collect())) == [(0, 1, 4), (0, 3, 9), (1, 1, 2), (2, 3, 6)]
+    assert {r.bin: r.weight for r in back.collect()} == {0: 0.5, 1: 0.25, 2: 2.0, 3: None}
+    norm, _ = container_tables.read_container(spark, path, 10, normalized=True)
+    assert {(r.i, r.j): r.v for r in norm.collect()} == {(0, 1): 0.5, (1, 1): 0.125}
+    assert container_tables.read_container(spark, path, 10, raw=False)[0].count() == 2
+
+
+def test_results_of_a_grid_are_read_again(spark, tmp_path):
+    grid = spark.createDataFrame([(1.0, 2.0, 0.5), (3.0, 4.0, 0.9)], "low double, high double, corr double")
+    restraints.write_results(grid, str(tmp_path / "g"))
+    assert [tuple(r) for r in restraints.read_results(spark, str(tmp_path / "g")).collect()] == [(3.0, 4.0, 0.9), (1.0, 2.0, 0.5)]
+
+
+def test_merged_overlap_and_small_numbers():
+    a, b = np.arange(9.0).reshape(3, 3), np.arange(4.0).reshape(2, 2)
+    first, second, both = segmentation.merged_overlap(a, b, [(0, None), (1, 0), (None, 1), (2, None)])
+    assert first[0, 1] == 1 and np.isnan(first[2]).all() and second[1, 2] == 1 and both[1, 1] == (4 + 0) / 2 and np.isnan(both[0]).all()
+    assert maths.log10_or_infinity([100, 0]).tolist() == [2.0, -math.inf]
+    assert maths.explained(lambda x: 2 * x, [1, 2, 3], [2, 4, 6]) == 1.0 and maths.explained(lambda x: 4, [1, 2, 3], [2, 4, 6]) == 0.0
