@@ -100,6 +100,24 @@ def read_sam(spark: SparkSession, path: str, min_quality: int = 0) -> DataFrame:
     )
 
 
+def read_split_sam(spark: SparkSession, path: str, min_quality: int = 4) -> DataFrame:
+    """Ends of the pieces of paired reads in SAM lines of a mapper that splits reads; a piece is as long as its span on the reference.
+
+    With ``with_fragment`` and ``all_contacts`` they become all pairs of pieces of a read.
+    """
+    part = F.split("value", "\t")
+    span = F.aggregate(F.transform(F.regexp_extract_all(part[5], F.lit(r"(\d+)[MDN=X]"), F.lit(1)), lambda x: x.cast("int")), F.lit(0), lambda a, b: a + b)
+    rows = spark.read.text(path).where(~F.col("value").startswith("@")).select(
+        part[0].alias("name"), part[1].cast("int").alias("flag"), part[2].alias("chrom"), part[3].cast("long").alias("pos"), part[4].cast("int").alias("mapq"), span.alias("len")
+    )
+    bit = lambda k: F.col("flag").bitwiseAND(k) != 0
+    rows = rows.where(bit(1) & ~bit(4) & (F.col("mapq") >= min_quality))
+    return rows.select(
+        "name", "chrom", F.when(bit(16), F.col("pos") + F.col("len") - 1).otherwise(F.col("pos")).alias("pos"), (~bit(16)).cast("int").alias("strand"), "len",
+        F.lit(0).cast("long").alias("rs"), F.lit(0).cast("long").alias("re"),
+    )
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(name, seq, qual): records of four lines, told apart by their line number."""
     lines = numbered(spark.read.text(path))

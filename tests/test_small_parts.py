@@ -280,3 +280,14 @@ def test_merged_overlap_and_small_numbers():
     assert first[0, 1] == 1 and np.isnan(first[2]).all() and second[1, 2] == 1 and both[1, 1] == (4 + 0) / 2 and np.isnan(both[0]).all()
     assert maths.log10_or_infinity([100, 0]).tolist() == [2.0, -math.inf]
     assert maths.explained(lambda x: 2 * x, [1, 2, 3], [2, 4, 6]) == 1.0 and maths.explained(lambda x: 4, [1, 2, 3], [2, 4, 6]) == 0.0
+
+
+def test_pieces_of_split_reads_become_all_pairs(spark, tmp_path):
+    line = lambda name, flag, pos, mapq, cigar: f"{name}\t{flag}\tc\t{pos}\t{mapq}\t{cigar}\t*\t0\t0\tACGT\tIIII\n"
+    text = "@HD\tx\n" + line("a", 65, 100, 60, "10S20M") + line("a", 2065, 500, 60, "5M2D5M3I") + line("a", 129, 900, 4, "30M") + line("b", 65, 1, 3, "4M") + line("b", 129, 5, 60, "4M") + line("d", 0, 7, 60, "4M")
+    (tmp_path / "r.sam").write_text(text)
+    ends = reads.read_split_sam(spark, str(tmp_path / "r.sam"))
+    assert sorted((r.name, r.pos, r.strand, r.len) for r in ends.collect()) == [("a", 100, 1, 20), ("a", 511, 0, 12), ("a", 900, 1, 30), ("b", 5, 1, 4)]
+    frags = spark.createDataFrame([("c", 1, 400), ("c", 400, 800), ("c", 800, 2000)], "chrom string, start long, end long")
+    found = reads.all_contacts(reads.with_fragment(ends, frags)).collect()
+    assert {(r.read_id, r.p1, r.p2) for r in found} == {("a#1/3", 100, 511), ("a#2/3", 100, 900), ("a#3/3", 511, 900)}
