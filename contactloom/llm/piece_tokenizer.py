@@ -40,12 +40,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 UNITS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+")
 #: Characters of units that are indexed at once; units that a worker remembers, and the longest of them.
-CHUNK = 300_000
-CACHE = 300_000
+CHUNK = 200_000
+CACHE = 150_000
 CACHED_LENGTH = 60
 PAIRS = 2_000_000
 #: Text that is encoded before a batch is handed back.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 
 class Vocabulary:

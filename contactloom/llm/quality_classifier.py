@@ -45,8 +45,8 @@ NONZERO = 6
 HIDDEN = 16
 THRESHOLD = 0.7
 #: Words that a worker remembers with their sums, and the characters that it pools at once.
-CACHE = 100_000
-SLICE_CHARS = 500_000
+CACHE = 60_000
+SLICE_CHARS = 300_000
 _SUMS = [f"s{k}" for k in range(DIM)]
 SYMBOLS = string.punctuation + "«»“”„’‘…–—¿¡"
 REPEAT = "<repeat>"
@@ -174,13 +174,13 @@ def _contexts(vectors: Vectors):
             ids = np.concatenate(seen)
             cores = [types(w)[0] for w in place]
             known = np.fromiter((vectors.ids.get(c, -1) for c in cores), dtype=np.int64, count=len(cores))
-            index = index_vectors(cores).astype(np.int64)
+            index = index_vectors(cores).astype(np.int8)
             a, b = ids[:-1], ids[1:]
             ok = (a >= 0) & (b >= 0)
             pairs, n = np.unique(np.r_[a[ok] * len(place) + b[ok], b[ok] * len(place) + a[ok]], return_counts=True)
             left, right = known[pairs // len(place)], pairs % len(place)
-            for at in range(0, len(pairs), 100_000):
-                part = slice(at, at + 100_000)
+            for at in range(0, len(pairs), 10_000):
+                part = slice(at, at + 10_000)
                 own = left[part] >= 0
                 np.add.at(sums, left[part][own], index[right[part][own]] * n[part][own, None])
         used = np.flatnonzero(np.abs(sums).sum(axis=1))
