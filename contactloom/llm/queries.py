@@ -1,11 +1,14 @@
 """Queries of the training-data operators, with SQL where SQL can express them."""
 
 from contactloom.llm import (
+    centroid_cluster,
     chat_format,
     exact_dedup,
     html_extract,
+    minhash_dedup,
     mixing,
     piece_tokenizer,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     simhash_dedup,
@@ -26,8 +29,18 @@ def queries():
         "op8_quality_classifier": quality_classifier.query,
         "op9_simhash": simhash_dedup.query,
         "op10_quality_rules": quality_rules.query,
+        "op11_centroid_clustering": centroid_cluster.query,
+        "op12_prefix_trie": prefix_trie.query,
+        "op13_minhash": minhash_dedup.query,
     }
 
 
 def oracle_sql():
-    return {"op3_exact_dedup": exact_dedup.SQL, "op6_mixing": mixing.SQL, "op7_chat_format": chat_format.SQL}
+    return {
+        "op3_exact_dedup": exact_dedup.SQL,
+        "op6_mixing": mixing.SQL,
+        "op7_chat_format": chat_format.SQL,
+        "op11_centroid_clustering": centroid_cluster.SQL,
+        "op12_prefix_trie": prefix_trie.SQL,
+        "op13_minhash": minhash_dedup.SQL,
+    }
