@@ -6,8 +6,8 @@ starts with the first end, ``S`` in the other), the other end's chromosome and p
 template length, no sequence, and the tags TC (contacts of the sequenced fragment), S1 and
 S2 (strands) and, in long form, E1 to E4 (cut sites around both ends).
 
-Spark's readers hand over whole files, so a map is kept as many BAM files; each row of
-``encoded`` is one complete file of a bounded number of contacts.
+``encoded`` gives complete files as rows; ``write_contacts`` writes sorted and indexed files, and
+``read_contacts`` reads files of any size in ranges of bytes.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from contactloom.operators.pairs import FILTERS
 from contactloom.shipping import ship
+from contactloom.sources import bam_blocks
 from contactloom.sources.reads import PAIRS
 
 #: Contacts of one file.
@@ -53,9 +54,9 @@ def _bin(start: int, end: int) -> int:
     return 0
 
 
-def header(chroms: list[tuple[str, int]]) -> bytes:
+def header(chroms: list[tuple[str, int]], order: str = "unknown") -> bytes:
     """The file's header for chromosomes (name, length), with the filters' flags."""
-    lines = ["@HD\tVN:1.5\tSO:unknown", *(f"@SQ\tSN:{c}\tLN:{n}" for c, n in chroms)]
+    lines = [f"@HD\tVN:1.5\tSO:{order}", *(f"@SQ\tSN:{c}\tLN:{n}" for c, n in chroms)]
     lines += [f"@CO\tfilter:{name.replace(' ', '-')}\tflag:{1 << (k - 1)}" for k, name in FILTERS.items()]
     text = ("\n".join(lines) + "\n").encode()
     refs = b"".join(struct.pack("<i", len(c.encode()) + 1) + c.encode() + b"\0" + struct.pack("<i", n) for c, n in chroms)
@@ -159,21 +160,16 @@ def decoded(files: DataFrame, both: bool = False) -> DataFrame:
     return ship(files.select("content")).mapInPandas(run, f"{schema}, flag int, multi int")
 
 
-def read_contacts(spark: SparkSession, path: str, both: bool = False) -> DataFrame:
-    """Pairs of BAM files (a folder or a pattern), one file a task."""
-    return decoded(spark.read.format("binaryFile").load(path), both)
+def read_contacts(spark: SparkSession, path: str, both: bool = False, region: tuple[str, int, int] | None = None, split: int = bam_blocks.SPLIT) -> DataFrame:
+    """Pairs of BAM files of any size, or of a region by their indexes (see ``bam_blocks``)."""
+    return bam_blocks.read_contacts(spark, path, both, region, split)
 
 
 def read_references(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, length) in the header's order, from the first file."""
-    content = spark.read.format("binaryFile").load(path).select("content").first()["content"]
-    data = gzip.decompress(content)
-    at = 8 + struct.unpack_from("<i", data, 4)[0]
-    rows = []
-    count = struct.unpack_from("<i", data, at)[0]
-    at += 4
-    for _ in range(count):
-        size = struct.unpack_from("<i", data, at)[0]
-        rows.append((data[at + 4 : at + 3 + size].decode(), struct.unpack_from("<i", data, at + 4 + size)[0]))
-        at += 8 + size
-    return spark.createDataFrame(rows, "chrom string, length long")
+    return bam_blocks.read_references(spark, path)
+
+
+def write_contacts(pairs: DataFrame, path: str, chroms: list[tuple[str, int]], long: bool = True, files: int | None = None) -> None:
+    """Coordinate-sorted BAM files of the pairs with an index beside each (see ``bam_blocks``)."""
+    bam_blocks.write_contacts(pairs, path, chroms, header(chroms, "coordinate"), long, files)
