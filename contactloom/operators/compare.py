@@ -81,10 +81,26 @@ def stratum_adjusted(cells: DataFrame) -> DataFrame:
     )
 
 
-def _top_vectors(n: int, laplacian: bool):
+def _vector_pairs(key, v1, v2):
+    """All pairs of the columns of two sets of vectors over the same bins."""
     import numpy as np
     import pandas as pd
 
+    k = min(v1.shape[1], v2.shape[1])
+    rows = []
+    for x in range(k):
+        for y in range(k):
+            a, b = v1[:, x], v2[:, y]
+            c = abs(float(np.corrcoef(a, b)[0, 1])) if a.std() > 0 and b.std() > 0 else None
+            d = float(min(np.linalg.norm(a - b), np.linalg.norm(a + b)))
+            rows.append((*key, x, y, c, d, float(1 / (a**4).sum()), float(1 / (b**4).sum())))
+    return pd.DataFrame(rows, columns=["chrom", "x", "y", "corr", "distance", "ipr_a", "ipr_b"])
+
+
+def _top_vectors(n: int, laplacian: bool):
+    """From the cells of one chromosome."""
+    import numpy as np
+
     from contactloom.functions.linear import dense, eigenvectors, normalized_laplacian
 
     def kernel(key, pdf):
@@ -94,24 +110,31 @@ def _top_vectors(n: int, laplacian: bool):
         m1, m2 = m1[np.ix_(used, used)], m2[np.ix_(used, used)]
         if laplacian:
             m1, m2 = normalized_laplacian(m1), normalized_laplacian(m2)
-        v1, v2 = eigenvectors(m1, n, smallest=laplacian), eigenvectors(m2, n, smallest=laplacian)
-        k = min(v1.shape[1], v2.shape[1])
-        rows = []
-        for x in range(k):
-            for y in range(k):
-                a, b = v1[:, x], v2[:, y]
-                c = abs(float(np.corrcoef(a, b)[0, 1])) if a.std() > 0 and b.std() > 0 else None
-                d = float(min(np.linalg.norm(a - b), np.linalg.norm(a + b)))
-                rows.append((*key, x, y, c, d, float(1 / (a**4).sum()), float(1 / (b**4).sum())))
-        return pd.DataFrame(rows, columns=["chrom", "x", "y", "corr", "distance", "ipr_a", "ipr_b"])
+        return _vector_pairs(key, eigenvectors(m1, n, smallest=laplacian), eigenvectors(m2, n, smallest=laplacian))
 
     return kernel
 
 
-def eigenvector_table(first: DataFrame, second: DataFrame, bins: DataFrame, n: int = 6, laplacian: bool = False) -> DataFrame:
+def _sparse_vectors(rows: DataFrame, n: int, laplacian: bool) -> DataFrame:
+    """(chrom, idx, va, vb) over the bins that both maps of (chrom, i, j, a, b) use."""
+    from contactloom.operators.normalize import checkpointed
+    from contactloom.operators.spectral import leading_vectors
+
+    sums = rows.groupBy("chrom", F.col("i").alias("idx")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    used = checkpointed(sums.where("a > 0 AND b > 0").select("chrom", "idx"))
+    inner = rows.join(used.withColumnRenamed("idx", "i"), ["chrom", "i"]).join(used.withColumnRenamed("idx", "j"), ["chrom", "j"])
+    kind, none = "laplacian" if laplacian else "map", F.array_repeat(F.lit(0.0), n)
+    for side in ("a", "b"):
+        cells = inner.where(F.col(side) != 0).select("chrom", "i", "j", F.col(side).alias("v"))
+        used = used.join(leading_vectors(cells, n, kind).withColumnRenamed("vectors", f"v{side}"), ["chrom", "idx"], "left")
+    return used.select("chrom", "idx", F.coalesce("va", none).alias("va"), F.coalesce("vb", none).alias("vb"))
+
+
+def eigenvector_table(first: DataFrame, second: DataFrame, bins: DataFrame, n: int = 6, laplacian: bool = False, dense_limit: int = 4_000) -> DataFrame:
     """(chrom, x, y, corr, distance, ipr_a, ipr_b) of the leading eigenvectors of both maps, chromosome by chromosome.
 
-    A chromosome's dense map must fit a task: use it at resolutions where it does.
+    Maps of at most ``dense_limit`` bins are solved in a task; those of larger chromosomes stay
+    sparse (see ``spectral``), and a task gets their vectors only.
     """
     from contactloom.shipping import ship
 
@@ -121,14 +144,24 @@ def eigenvector_table(first: DataFrame, second: DataFrame, bins: DataFrame, n: i
     rows = a.join(b, ["i", "j"], "full").fillna(0.0, ["a", "b"])
     rows = rows.join(place.toDF("i", "ci", "x"), "i").join(place.toDF("j", "cj", "y"), "j").where("ci = cj")
     rows = rows.select(F.col("ci").alias("chrom"), F.col("x").alias("i"), F.col("y").alias("j"), "a", "b").join(size, "chrom")
-    chrom = dict(rows.dtypes)["chrom"]
-    schema = f"chrom {chrom}, x int, y int, corr double, distance double, ipr_a double, ipr_b double"
-    return ship(rows).groupBy("chrom").applyInPandas(_top_vectors(n, laplacian), schema)
+    schema = f"chrom {dict(rows.dtypes)['chrom']}, x int, y int, corr double, distance double, ipr_a double, ipr_b double"
+    found = ship(rows.where(F.col("n") <= dense_limit)).groupBy("chrom").applyInPandas(_top_vectors(n, laplacian), schema)
+    if size.where(F.col("n") > dense_limit).isEmpty():
+        return found
+
+    def compared(key, pdf):
+        import numpy as np
+
+        pdf = pdf.sort_values("idx")
+        return _vector_pairs(key, *(np.stack([np.asarray(v, dtype=float) for v in pdf[c]]) for c in ("va", "vb")))
+
+    vectors = _sparse_vectors(rows.where(F.col("n") > dense_limit), n, laplacian)
+    return found.unionByName(ship(vectors).groupBy("chrom").applyInPandas(compared, schema))
 
 
-def reproducibility(first: DataFrame, second: DataFrame, bins: DataFrame, n: int = 20, min_ipr: float = 5.0) -> DataFrame:
+def reproducibility(first: DataFrame, second: DataFrame, bins: DataFrame, n: int = 20, min_ipr: float = 5.0, dense_limit: int = 4_000) -> DataFrame:
     """(chrom, score): 1 - distance of the Laplacian eigenvectors / sqrt(2), vectors on too few bins left out."""
-    rows = eigenvector_table(first, second, bins, n, True).where(f"x = y AND ipr_a > {min_ipr} AND ipr_b > {min_ipr}")
+    rows = eigenvector_table(first, second, bins, n, True, dense_limit).where(f"x = y AND ipr_a > {min_ipr} AND ipr_b > {min_ipr}")
     return rows.groupBy("chrom").agg((1 - F.avg("distance") / 2**0.5).alias("score"), F.count("*").alias("vectors"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from contactloom.functions import hmm
 from contactloom.functions.linear import correlation, dense, eigenvectors, spearman, ward
 from contactloom.functions.segmentation import borders_from_insulation, kept_domains, scored_breaks, segment_likelihoods, window_domains
+from contactloom.operators import spectral
 from contactloom.shipping import ship
 
 
@@ -183,57 +184,90 @@ def split_at(domains: DataFrame, gaps: DataFrame) -> DataFrame:
     return cut.select("*", F.col("p.start").alias("start"), F.col("p.end").alias("end")).drop("p").where("start <= end")
 
 
-def _compartment_kernel(max_ev: int, ev: int, labels: str):
+#: Bins of the largest chromosome whose correlation map a task makes; larger ones go by the sparse iteration.
+DENSE = 4_000
+_RUNS = ["chrom", "start", "end", "vector", "value", "type", "density"]
+
+
+def _runs(chrom, n: int, used: np.ndarray, v: np.ndarray, rich, ev: int, labels: str) -> pd.DataFrame:
+    """Runs of one state of a chromosome's vector over its used bins."""
+    track = None
+    if rich is not None:
+        track = np.array([x if x is not None else np.nan for x in rich], dtype=float)[used]
+        ok = ~np.isnan(track)
+        if ok.sum() > 2 and spearman(v[ok], track[ok]) < 0:
+            v = -v
+    state = (v > 0).astype(int) if labels == "sign" else hmm.segment(v)
+    names = ["B", "A"] if labels == "sign" or state.max() < 2 else ["B", *["b" if k < state.max() / 2 else "I" if k == state.max() / 2 else "a" for k in range(1, state.max())], "A"]
+    edges = np.flatnonzero(np.r_[True, state[1:] != state[:-1], True])
+    out = []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        start = 0 if a == 0 else out[-1][2] + 1
+        end = n - 1 if b == len(used) else int(used[b - 1])
+        part = track[a:b] if track is not None else None
+        density = float(np.nanmean(part)) if part is not None and not np.isnan(part).all() else None
+        out.append((chrom, start, end, ev, float(v[a:b].mean()), names[int(state[a])], density))
+    return pd.DataFrame(out, columns=_RUNS)
+
+
+def _dense_runs(max_ev: int, ev: int, labels: str):
+    """From the cells of one chromosome."""
+
     def kernel(key, pdf):
         m = _dense(pdf)
-        n = len(m)
-        rich = pdf["rich"].iloc[0] if "rich" in pdf else None
         used = np.flatnonzero(m.sum(axis=0) > 0)
         if len(used) < 3:
-            return pd.DataFrame(columns=["chrom", "start", "end", "vector", "value", "type", "density"])
-        corr = correlation(m[np.ix_(used, used)])
-        vectors = eigenvectors(corr, max_ev)
-        v = vectors[:, min(ev, vectors.shape[1]) - 1]
-        track = None
-        if rich is not None:
-            track = np.array([x if x is not None else np.nan for x in rich], dtype=float)[used]
-            ok = ~np.isnan(track)
-            if ok.sum() > 2 and spearman(v[ok], track[ok]) < 0:
-                v = -v
-        state = (v > 0).astype(int) if labels == "sign" else hmm.segment(v)
-        names = ["B", "A"] if labels == "sign" or state.max() < 2 else ["B", *["b" if k < state.max() / 2 else "I" if k == state.max() / 2 else "a" for k in range(1, state.max())], "A"]
-        edges = np.flatnonzero(np.r_[True, state[1:] != state[:-1], True])
-        out = []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            start = 0 if a == 0 else out[-1][2] + 1
-            end = n - 1 if b == len(used) else int(used[b - 1])
-            part = track[a:b] if track is not None else None
-            density = float(np.nanmean(part)) if part is not None and not np.isnan(part).all() else None
-            out.append((key[0], start, end, ev, float(v[a:b].mean()), names[int(state[a])], density))
-        return pd.DataFrame(out, columns=["chrom", "start", "end", "vector", "value", "type", "density"])
+            return pd.DataFrame(columns=_RUNS)
+        vectors = eigenvectors(correlation(m[np.ix_(used, used)]), max_ev)
+        rich = pdf["rich"].iloc[0] if "rich" in pdf else None
+        return _runs(key[0], len(m), used, vectors[:, min(ev, vectors.shape[1]) - 1], rich, ev, labels)
+
+    return kernel
+
+
+def _vector_runs(ev: int, labels: str):
+    """From the vectors of one chromosome."""
+
+    def kernel(key, pdf):
+        pdf = pdf.sort_values("idx")
+        if len(pdf) < 3:
+            return pd.DataFrame(columns=_RUNS)
+        v = np.stack([np.asarray(x, dtype=float) for x in pdf["vectors"]])
+        rich = pdf["rich"].dropna().iloc[0] if "rich" in pdf else None
+        return _runs(key[0], int(pdf["n"].iloc[0]), pdf["idx"].to_numpy(), v[:, min(ev, v.shape[1]) - 1], rich, ev, labels)
 
     return kernel
 
 
 def compartments(
-    cells: DataFrame, bins: DataFrame, decay: DataFrame, rich_in_a: DataFrame | None = None, max_ev: int = 3, ev: int = 1, labels: str = "sign"
+    cells: DataFrame, bins: DataFrame, decay: DataFrame, rich_in_a: DataFrame | None = None, max_ev: int = 3, ev: int = 1, labels: str = "sign", dense_limit: int = DENSE
 ) -> DataFrame:
     """(chrom, start, end, vector, value, type, density): runs of the sign (or of HMM states) of a chromosome's eigenvector.
 
-    The observed over expected map is made by joins; correlation and eigenvectors run
-    per chromosome.  ``rich_in_a`` (chrom, idx, value) sets the sign; without it
+    The observed over expected map is made by joins.  Chromosomes of at most ``dense_limit`` bins take
+    their correlation map in a task; those of larger ones stay sparse (see ``spectral``).
+    ``rich_in_a`` (chrom, idx, value) sets the sign; without it
     the first non-zero entry is positive.  Empty bins join the run before them.
     """
     rows = chromosome_cells(cells, bins).withColumn("dist", F.abs(F.col("i") - F.col("j")))
     rows = rows.join(decay, ["chrom", "dist"]).withColumn("v", F.coalesce(F.try_divide("v", "expected"), F.lit(0.0)))
     rows = rows.select("chrom", "n", "i", "j", "v")
+    track = None
     if rich_in_a is not None:
         filled = bins.select("chrom", "idx").join(rich_in_a.select("chrom", "idx", "value"), ["chrom", "idx"], "left")
         track = filled.groupBy("chrom").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"]).alias("rich"))
-        rows = rows.join(track, "chrom", "left")
-    chrom = dict(rows.dtypes)["chrom"]
-    schema = f"chrom {chrom}, start long, end long, vector int, value double, type string, density double"
-    return ship(rows).groupBy("chrom").applyInPandas(_compartment_kernel(max_ev, ev, labels), schema)
+    with_track = lambda df: df if track is None else df.join(track, "chrom", "left")
+    schema = f"chrom {dict(rows.dtypes)['chrom']}, start long, end long, vector int, value double, type string, density double"
+    sizes = bins.groupBy("chrom").agg(F.count("*").alias("n"))
+    found = ship(with_track(rows.where(F.col("n") <= dense_limit))).groupBy("chrom").applyInPandas(_dense_runs(max_ev, ev, labels), schema)
+    if sizes.where(F.col("n") > dense_limit).isEmpty():
+        return found
+    vectors = spectral.leading_vectors(rows.where(F.col("n") > dense_limit), max_ev).join(sizes, "chrom")
+    if track is not None:
+        # One row of each chromosome carries the track.
+        least = F.min("idx").over(Window.partitionBy("chrom")) == F.col("idx")
+        vectors = vectors.withColumn("first", least).join(track, "chrom", "left").withColumn("rich", F.when(F.col("first"), F.col("rich"))).drop("first")
+    return found.unionByName(vectors.groupBy("chrom").applyInPandas(_vector_runs(ev, labels), schema))
 
 
 def cluster_segments(profiles: DataFrame, k: int = 2) -> DataFrame:
