@@ -15,6 +15,8 @@ matrix in that space start the next cycle until their residuals are small.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,9 +29,21 @@ KINDS = ("correlation", "laplacian", "map")
 #: Vectors of a block beside those that are asked for.
 EXTRA = 4
 #: Multiplications of a cycle.
-STEPS = 5
-CYCLES = 12
-TOLERANCE = 1e-9
+STEPS = 8
+CYCLES = 40
+TOLERANCE = 1e-6
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the session's shared checkpoint folder.
+
+    A checkpoint keeps the planner's estimate of its size, and the products of estimates over
+    many rounds of joins take longer than the joins; a table that is read again has its true size.
+    """
+    context = df.sparkSession.sparkContext
+    path = f"{context.getCheckpointDir().rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _factors(cells: DataFrame, kind: str) -> DataFrame:
@@ -77,7 +91,7 @@ def _image(cells: DataFrame, factors: DataFrame, block: DataFrame, kind: str, wi
         return rows.select("chrom", "idx", _per_element(width, lambda k: shift * F.col("x")[k] + F.col("d") * F.col("y")[k]).alias("y"))
     product = _product(cells, scaled.select("chrom", "idx", "x"), width, small)
     middle = factors.join(product, ["chrom", "idx"]).join(_totals(scaled, width, "mu"), "chrom")
-    middle = checkpointed(middle.select("chrom", "idx", "d", "mu", _per_element(width, lambda k: F.col("y")[k] - F.col("t")[k]).alias("x")))
+    middle = _stored(middle.select("chrom", "idx", "d", "mu", _per_element(width, lambda k: F.col("y")[k] - F.col("t")[k]).alias("x")))
     product = _product(cells, middle.select("chrom", "idx", "x"), width, small)
     rows = middle.drop("x").join(product, ["chrom", "idx"]).join(_totals(middle, width, None), "chrom")
     return rows.select("chrom", "idx", _per_element(width, lambda k: F.col("d") * (F.col("y")[k] - F.col("mu") * F.col("t")[k])).alias("y"))
@@ -88,16 +102,20 @@ def _stack(column: pd.Series) -> np.ndarray:
 
 
 def _orthonormal(block: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """The block's part outside the basis, as orthonormal columns; columns that are inside become zero."""
-    scale = np.sqrt((block * block).sum(axis=0))
+    """An orthonormal basis of the block's part outside ``basis``; columns that are not needed are zero.
+
+    Singular vectors keep the whole span where columns depend on each other.
+    """
+    scale = np.sqrt((block * block).sum(axis=0)).max(initial=1e-300)
     for _ in range(2):
         block = block - basis @ (basis.T @ block)
-    q, r = np.linalg.qr(block)
+    u, size, _ = np.linalg.svd(block, full_matrices=False)
     out = np.zeros_like(block)
-    fresh = np.abs(np.diag(r)) > 1e-10 * np.maximum(scale[: r.shape[0]], 1e-300)
-    out[:, : q.shape[1]][:, fresh] = q[:, fresh]
-    # A column that lost its norm to rounding may point back into the basis.
-    return out - basis @ (basis.T @ out)
+    fresh = u[:, size > 1e-11 * scale]
+    # Small parts are mostly rounding, which may point back into the basis.
+    fresh = fresh - basis @ (basis.T @ fresh)
+    out[:, : fresh.shape[1]] = fresh
+    return out
 
 
 def _grown(last: bool, kind: str, width: int):
@@ -139,8 +157,9 @@ def leading_vectors(cells: DataFrame, n: int, kind: str = "correlation", steps:
     if kind not in KINDS:
         raise ValueError(f"no such kind: {kind}")
     width = n + EXTRA
-    cells = checkpointed(cells.select("chrom", "i", "j", "v").repartition("chrom", "i"))
-    factors = checkpointed(_factors(cells, kind))
+    checkpointed(cells.limit(0))  # names the folder
+    cells = _stored(cells.select("chrom", "i", "j", "v").repartition("chrom", "i"))
+    factors = _stored(_factors(cells, kind))
     n_bins = factors.count()
     small = n_bins <= MAX_BROADCAST_BINS // width
     chrom = dict(cells.dtypes)["chrom"]
@@ -155,12 +174,12 @@ def leading_vectors(cells: DataFrame, n: int, kind: str = "correlation", steps:
         x = _orthonormal(y, np.zeros((len(y), 1)))
         return pd.DataFrame({"chrom": key[0], "idx": pdf["idx"].to_numpy(), "x": list(x), "basis": list(x), "image": [np.zeros(0)] * len(x), "residual": 1.0})
 
-    state = checkpointed(ship(start).groupBy("chrom").applyInPandas(first, schema))
+    state = _stored(ship(start).groupBy("chrom").applyInPandas(first, schema))
     for _ in range(cycles):
         for step in range(steps):
             image = _image(cells, factors, state.select("chrom", "idx", "x"), kind, width, small)
             rows = state.drop("x", "residual").join(image, ["chrom", "idx"])
-            state = checkpointed(rows.groupBy("chrom").applyInPandas(_grown(step == steps - 1, kind, width), schema))
+            state = _stored(rows.groupBy("chrom").applyInPandas(_grown(step == steps - 1, kind, width), schema))
         worst = state.agg(F.max("residual")).first()[0]
         if worst is None or worst <= tolerance:
             break
