@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.operators.normalize import MAX_BROADCAST_BINS, checkpointed
+from contactloom.operators.normalize import MAX_BROADCAST_BINS, shared_folder
 from contactloom.shipping import ship
 
 KINDS = ("correlation", "laplacian", "map")
@@ -40,8 +40,7 @@ def _stored(df: DataFrame) -> DataFrame:
     A checkpoint keeps the planner's estimate of its size, and the products of estimates over
     many rounds of joins take longer than the joins; a table that is read again has its true size.
     """
-    context = df.sparkSession.sparkContext
-    path = f"{context.getCheckpointDir().rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/vectors-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -157,7 +156,6 @@ def leading_vectors(cells: DataFrame, n: int, kind: str = "correlation", steps:
     if kind not in KINDS:
         raise ValueError(f"no such kind: {kind}")
     width = n + EXTRA
-    checkpointed(cells.limit(0))  # names the folder
     cells = _stored(cells.select("chrom", "i", "j", "v").repartition("chrom", "i"))
     factors = _stored(_factors(cells, kind))
     n_bins = factors.count()

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from contactloom.operators import badbins, borders, compare, models3d, normalize, pairs, pixels, restraints, segment, stats
 from contactloom.plans import inputs as I
 from contactloom.plans.inputs import PER_CHROM, recursive, sql
-from contactloom.sources import annotations
+from contactloom.sources import annotations, contact_bam
 
 _QUERIES: dict = {}
 _SQL: dict = {}
@@ -232,6 +234,19 @@ def norm_matrix_region(s, d):
     return pixels.crop(_norm(s, d), ranges, shift=False).select("i", "j", _r("v", 9))
 
 
+_SIDES = "sides AS (SELECT read_id, c1, p1, s1, l1, rs1, re1, c2, p2, s2, l2, rs2, re2 FROM base UNION ALL SELECT read_id, c2, p2, s2, l2, rs2, re2, c1, p1, s1, l1, rs1, re1 FROM base)"
+
+
+@query(sql("", "base").rstrip() + f", {_SIDES} SELECT * REPLACE (read_id::VARCHAR AS read_id, c1::VARCHAR AS c1, c2::VARCHAR AS c2) FROM sides WHERE c1 = 2 AND p1 BETWEEN 500000 AND 900000")
+def bam_region(s, d):
+    """All contacts written as sorted BAM files, those of a region read back from either end."""
+    folder = f"{normalize.shared_folder(s)}/contacts-{uuid.uuid4().hex}"
+    named = I.contacts(s, d).withColumns({c: F.col(c).cast("string") for c in ("read_id", "c1", "c2")})
+    contact_bam.write_contacts(named, folder, [(str(k), 4_000_000) for k in range(I.CHROMS)])
+    return contact_bam.read_contacts(s, folder, both=True, region=("2", 500_000, 900_000)).drop("flag", "multi")
+
+
+
 @query(sql("SELECT i - 5 AS i, j - 5 AS j, v FROM full_ WHERE i >= 5 AND i < 20 AND j >= 5 AND j < 20 AND i <> j", "base", "half", "full_"))
 def raw_region(s, d):
     return pixels.crop(_full(s, d), pixels.focus((6, 20), {}, 100_000), diagonal=False)
