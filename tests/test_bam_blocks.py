@@ -110,7 +110,7 @@ def test_empty_and_short_maps(spark, tmp_path):
 
 def test_foreign_tags_and_sequences_are_passed_over():
     head = contact_bam.header(CHROMS)
-    tags = b"XZZtext with \x42 inside\0XBBs\x02\0\0\0\x01\0\x02\0XAAqTCC\x07S1s\xff\xffXfff\0\0\x80?S2i\x01\0\0\0"
+    tags = b"XZZtext with \x42 inside\0XBBs\x02\0\0\0\x01\0\x02\0XAAqTCC\x07S1s\xff\xffXff\0\0\x80?S2i\x01\0\0\0"
     out = []
     for k in range(3):
         name, seq = b"r%d\0" % k, 5
