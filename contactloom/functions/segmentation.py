@@ -176,16 +176,24 @@ def window_domains(m: np.ndarray, w: int, test: bool = True, cut: float = 0.05)
 
 
 def _fit_many(k: np.ndarray, w: np.ndarray, logd: np.ndarray) -> np.ndarray:
-    """Poisson log-likelihoods, one a row, of totals per distance with mean w * exp(a + b * log distance), fitted by damped Newton steps."""
-    total, weight = k.sum(axis=1), w.sum(axis=1)
-    out = np.zeros(len(k))
+    """Poisson log-likelihoods, one a row, of totals per distance."""
+    return fit_totals(k.sum(axis=1), (k * logd).sum(axis=1), w, logd)
+
+
+def fit_totals(total: np.ndarray, moment: np.ndarray, w: np.ndarray, logd: np.ndarray) -> np.ndarray:
+    """Poisson log-likelihoods, one a row, of blocks with mean w * exp(a + b * log distance), fitted by damped Newton steps.
+
+    Of a block's contacts only their sum and the sum of their log distances matter; the
+    weights are totals per distance.
+    """
+    weight = w.sum(axis=1)
+    out = np.zeros(len(w))
     fit = np.flatnonzero((total > 0) & (weight > 0))
     if not len(fit):
         return out
-    k, w = k[fit], w[fit]
+    w = w[fit]
     a, b = np.log(total[fit] / weight[fit]), np.zeros(len(fit))
-    kd = (k * logd).sum(axis=1)
-    k0 = total[fit]
+    kd, k0 = moment[fit], total[fit]
 
     def value(a, b, rows):
         lam = w[rows] * np.exp(np.clip(a[:, None] + b[:, None] * logd, -50, 50))
@@ -335,6 +343,97 @@ def likelihood_domains(maps: list[np.ndarray], removed: np.ndarray | None = None
     return kept_domains(scored_breaks(ll, len(maps), rounds), keep, n)
 
 
+# --- the same likelihood from a chromosome's row sums only ------------------------
+
+
+def lag_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of a[x] * b[y] for every distance 1, 2, ... of x and y, where b follows a without a gap."""
+    if min(len(a), len(b)) <= 32:
+        return np.convolve(a[::-1], b)
+    size = 1 << (len(a) + len(b) - 2).bit_length()
+    product = np.fft.irfft(np.fft.rfft(a[::-1], size) * np.fft.rfft(b, size), size)[: len(a) + len(b) - 1]
+    # Rounding leaves distances without weight a little above or below zero.
+    return np.where(product > 1e-13 * product.max(initial=0.0), product, 0.0)
+
+
+def own_products(a: np.ndarray) -> np.ndarray:
+    """Sum of a[x] * a[x + d] for d = 1 .. len(a) - 1."""
+    return lag_products(a, a)[len(a) :] if len(a) > 1 else np.zeros(0)
+
+
+def segment_fits(sums: np.ndarray, first: int, ends: np.ndarray, own: np.ndarray, before: np.ndarray, after: np.ndarray, at_once: int = 2_000_000) -> np.ndarray:
+    """Log-likelihoods of the segments [first, end): the own block plus half of the blocks with what is before and after.
+
+    ``own``, ``before`` and ``after`` have two columns, contacts and their summed log
+    distances; ``sums`` are the row sums of the chromosome.
+    """
+    n = len(sums)
+    logd = np.log(np.arange(1, max(n, 2)))
+    out = np.zeros(len(ends))
+    block = max(1, at_once // max(n, 1))
+    for lo in range(0, len(ends), block):
+        part = slice(lo, lo + block)
+        for share, stats, products in (
+            (1.0, own[part], [own_products(sums[first:e]) for e in ends[part]]),
+            (0.5, before[part], [lag_products(sums[:first], sums[first:e]) if first else np.zeros(0) for e in ends[part]]),
+            (0.5, after[part], [lag_products(sums[first:e], sums[e:]) if e < n else np.zeros(0) for e in ends[part]]),
+        ):
+            width = max(map(len, products))
+            if width:
+                w = np.stack([np.pad(p, (0, width - len(p))) for p in products])
+                out[part] += share * fit_totals(stats[:, 0], stats[:, 1], w, logd[:width])
+    return out
+
+
+def inner_totals(band: np.ndarray) -> np.ndarray:
+    """t[p, h]: total of the blocks (a, b) with p <= a <= b <= p + h, from band[a, b - a]."""
+    out, column = band.copy(), band[:, 0].copy()
+    for h in range(1, band.shape[1]):
+        # column[p]: total of the blocks (a, p + h) with a >= p.
+        column = np.r_[column[1:], 0.0] + band[:, h]
+        out[:, h] = out[:, h - 1] + column
+    return out
+
+
+def best_path(first: np.ndarray, end: np.ndarray, value: np.ndarray, last: int, samples: int = 1) -> list[int]:
+    """Indices of the segments from 0 to ``last`` of the greatest total, less 1 + 6 * samples for every border."""
+    best, via = {0: 1.0 + 6.0 * samples}, {}
+    for e in np.argsort(end, kind="stable"):
+        start = best.get(int(first[e]))
+        if start is not None:
+            total = start + value[e] - (1 + 6 * samples)
+            if total > best.get(int(end[e]), -np.inf):
+                best[int(end[e])], via[int(end[e])] = total, int(e)
+    path, x = [], last
+    while x > 0:
+        if x not in via:
+            raise ValueError("no segments lead through the chromosome: the longest domain allowed is too short")
+        path.append(via[x])
+        x = int(first[via[x]])
+    return path[::-1]
+
+
+def scored_path(first: np.ndarray, end: np.ndarray, value: np.ndarray, last: int, samples: int = 1, rounds: int = 10) -> list[tuple[int, int | None]]:
+    """(last bin, score) of the best segments; scores as in ``scored_breaks``."""
+    path = best_path(first, end, value, last, samples)
+    ends = [int(end[e]) - 1 for e in path]
+    count, penalised = dict.fromkeys(ends[:-1], 0), value.copy()
+    for _ in range(rounds):
+        penalised[path] -= 6 * samples
+        path = best_path(first, end, penalised, last, samples)
+        for e in set(count).intersection([int(end[x]) - 1 for x in path[:-1]]):
+            count[e] += 1
+    return [(e, count.get(e)) for e in ends]
+
+
+def next_places(borders: np.ndarray, step: int, inner: int = 12, reach: int = 4) -> np.ndarray:
+    """Candidate borders: the accepted ones, places around them at ``step`` and an even grid inside every segment."""
+    near = borders[:, None] + step * np.arange(-reach, reach + 1)[None, :]
+    grid = [np.linspace(a, b, inner + 2).astype(int) for a, b in zip(borders[:-1], borders[1:], strict=True)]
+    every = np.unique(np.concatenate([near.ravel(), *grid]))
+    return every[(every >= 0) & (every <= borders[-1])]
+
+
 # --- borders of several experiments ------------------------------------------
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from contactloom.functions import hmm
 from contactloom.functions.linear import correlation, dense, eigenvectors, spearman, ward
-from contactloom.functions.segmentation import borders_from_insulation, kept_domains, scored_breaks, segment_likelihoods, window_domains
-from contactloom.operators import spectral
+from contactloom.functions.segmentation import borders_from_insulation, window_domains
+from contactloom.operators import likelihood, spectral
 from contactloom.shipping import ship
 
 
@@ -88,44 +88,13 @@ def domains_by_window(cells: DataFrame, bins: DataFrame, window: int, test: bool
     return ship(rows).groupBy("chrom").applyInPandas(kernel, f"chrom {chrom}, start long, end long, kind string, p double")
 
 
-def domains_by_likelihood(cells: DataFrame, bins: DataFrame, bad: DataFrame | None = None, longest: int = 200, parts: int = 16) -> DataFrame:
-    """(chrom, start, end, score) by optimal segmentation into domains of at most ``longest`` bins.
+def domains_by_likelihood(cells: DataFrame, bins: DataFrame, bad: DataFrame | None = None, longest: int | None = None, parts: int = 16, width: int = 128) -> DataFrame:
+    """(chrom, start, end, score) by optimal segmentation into domains of any length, or of at most ``longest`` bins.
 
-    A chromosome's segments are fitted in ``parts`` tasks, dealt by their first bin; the
-    likelihoods, ``longest`` a bin, then meet in one task that finds the best segments.
-    Domains of any length need ``longest`` to be the bins of the longest chromosome.
+    Chromosomes of at most ``width`` bins are searched exactly, longer ones from coarse to
+    fine (``operators/likelihood.py``); a round's fits are dealt over ``parts`` tasks a chromosome.
     """
-    rows = chromosome_cells(cells, bins)
-    if bad is not None:
-        marks = bad.join(bins.select("bin", "chrom", "idx"), "bin").groupBy("chrom").agg(F.collect_set("idx").alias("bad"))
-        rows = rows.join(marks, "chrom", "left")
-    chrom = dict(rows.dtypes)["chrom"]
-
-    def fit(key, pdf):
-        m = _dense(pdf)
-        removed = m.sum(axis=0) == 0
-        if "bad" in pdf and pdf["bad"].iloc[0] is not None:
-            removed[list(pdf["bad"].iloc[0])] = True
-        keep = np.flatnonzero(~removed)
-        mine = range(key[1], len(keep), parts)
-        ll = segment_likelihoods(m[np.ix_(keep, keep)].astype(float), longest=longest, starts=mine) if len(keep) >= 5 else np.zeros((0, 1))
-        out = [(key[0], int(len(m)), i, keep if i == key[1] else [], ll[i]) for i in mine if i < len(ll)]
-        if not len(ll) and key[1] == 0:
-            out = [(key[0], int(len(m)), -1, keep, [])]
-        return pd.DataFrame(out, columns=["chrom", "n", "first", "keep", "ll"])
-
-    def choose(key, pdf):
-        n, keep = int(pdf["n"].iloc[0]), np.asarray(next(k for k in pdf.sort_values("first")["keep"] if len(k) or len(pdf) == 1), dtype=int)
-        if int(pdf["first"].max()) < 0:
-            found = [(0, n - 1, None)] if n else []
-        else:
-            ll = np.stack(pdf.sort_values("first")["ll"].to_list())
-            found = kept_domains(scored_breaks(ll), keep, n)
-        return pd.DataFrame([(key[0], *d) for d in found], columns=["chrom", "start", "end", "score"]).astype({"score": float})
-
-    dealt = ship(rows).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    fitted = dealt.groupBy("chrom", "part").applyInPandas(fit, f"chrom {chrom}, n long, first long, keep array<long>, ll array<double>")
-    return fitted.groupBy("chrom").applyInPandas(choose, f"chrom {chrom}, start long, end long, score double")
+    return likelihood.domains(cells, bins, bad, longest, parts, width)
 
 
 def domain_density(domains: DataFrame, cells: DataFrame, bins: DataFrame) -> DataFrame:

@@ -793,9 +793,9 @@ def additive_bias(s, d):
 
 @query()
 def fine_domains(s, d):
-    """Likelihood domains of up to 100 bins on maps of 10 kb bins."""
+    """Likelihood domains of any length on maps of 10 kb bins."""
     place = lambda k: F.expr(f"cast(c{k} * 300 + p{k} div 10000 as bigint)")
     cells = pixels.symmetric(pixels.half_pixels(I.contacts(s, d), place(1), place(2)))
     b = F.col("id")
     bins = s.range(1500).select(b.alias("bin"), F.expr("cast(id div 300 as int)").alias("chrom"), (b % 300).alias("idx"))
-    return segment.domains_by_likelihood(cells, bins, longest=100)
+    return segment.domains_by_likelihood(cells, bins)
