@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from contactloom.functions import geometry
 from contactloom.functions.maths import fit_persistence, persistence_length
+from contactloom.operators.order import numbered, over_neighbours
 from contactloom.shipping import ship
 
 
@@ -36,8 +39,47 @@ def distances(particles: DataFrame) -> DataFrame:
     return _pairs(particles)
 
 
+def near_pairs(particles: DataFrame, cutoff: float) -> DataFrame:
+    """(model, i, j, d) with i < j and d <= ``cutoff``, without comparing all particles of a model.
+
+    Space is cut into cubes with sides of ``cutoff``.  A particle stays in its own cube and is copied
+    to the 13 neighbours that follow it, so two particles within reach meet in one cube
+    once: an equi-join on model and cube.  Most pairs that meet are contacts, so the work follows the output.
+    """
+    if cutoff <= 0:
+        return _pairs(particles).where(F.col("d") <= cutoff)
+    side = cutoff * (1 + 1e-9)  # rounding must not put particles at the cutoff two cubes apart
+    rows = particles.where(" and ".join(f"{k} is not null and not isnan({k})" for k in "xyz"))
+    rows = rows.select("model", "particle", *"xyz", *[F.floor(F.col(k) / side).alias(f"c{k}") for k in "xyz"])
+    ahead = [step for step in itertools.product((-1, 0, 1), repeat=3) if step >= (0, 0, 0)]
+    steps = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("xyz", step, strict=True)]) for step in ahead])).alias("step")
+    own = rows.select("model", "cx", "cy", "cz", F.col("particle").alias("p"), *[F.col(k).alias(f"p{k}") for k in "xyz"])
+    moved = rows.select("*", steps).select(
+        "model", *[(F.col(f"c{k}") + F.col(f"step.{k}")).alias(f"c{k}") for k in "xyz"], F.col("particle").alias("q"),
+        *[F.col(k).alias(f"q{k}") for k in "xyz"], F.expr("step.x = 0 and step.y = 0 and step.z = 0").alias("home"),
+    )
+    met = own.join(moved, ["model", "cx", "cy", "cz"]).where("p < q or (not home and p <> q)").withColumn("d", _gap("p", "q"))
+    return met.where(F.col("d") <= cutoff).select("model", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "d")
+
+
+def contact_shares(particles: DataFrame, cutoff: float) -> DataFrame:
+    """(i, j, n, models, share): pairs within ``cutoff`` in ``n`` > 0 of the ``models`` that have both; other pairs have share 0.
+
+    Models with both are counted by a join only where both particles are missing in some model.
+    """
+    near = near_pairs(particles, cutoff).groupBy("i", "j").agg(F.count("*").alias("n"))
+    present = particles.where("x is not null and y is not null and z is not null").select("model", "particle")
+    has = present.groupBy("particle").agg(F.count("*").alias("c"))
+    every = F.broadcast(particles.agg(F.count_distinct("model").alias("m")))
+    rows = near.join(has.toDF("i", "ci"), "i").join(has.toDF("j", "cj"), "j").crossJoin(every)
+    rare = rows.where("ci < m and cj < m").select("i", "j")
+    both = rare.join(present.toDF("model", "i"), "i").join(present.toDF("model", "j"), ["model", "j"]).groupBy("i", "j").agg(F.count("*").alias("both"))
+    models = F.coalesce("both", F.least("ci", "cj"))
+    return rows.join(both, ["i", "j"], "left").select("i", "j", "n", models.alias("models"), (F.col("n") / models).alias("share"))
+
+
 def contact_matrix(particles: DataFrame, cutoff: float) -> DataFrame:
-    """(i, j, share): share of models in which two particles are within ``cutoff``."""
+    """(i, j, share) of every pair of particles, zeros too; ``contact_shares`` has the pairs in contact only."""
     return _pairs(particles).groupBy("i", "j").agg(F.avg((F.col("d") <= cutoff).cast("double")).alias("share"))
 
 
@@ -54,12 +96,11 @@ def median_distance(particles: DataFrame, a: int, b: int, median: bool = True) -
 
 def interactions(particles: DataFrame, cutoff: float, steps: int = 1) -> DataFrame:
     """(particle, n, smooth): mean number of particles within ``cutoff`` with a window mean."""
-    both = _pairs(particles).where(F.col("d") <= cutoff).select("model", F.explode(F.array("i", "j")).alias("particle"))
+    both = near_pairs(particles, cutoff).select("model", F.explode(F.array("i", "j")).alias("particle"))
     each = both.groupBy("model", "particle").count()
     rows = particles.select("model", "particle").join(each, ["model", "particle"], "left").fillna(0, ["count"])
     mean = rows.groupBy("particle").agg(F.avg("count").alias("n"))
-    w = Window.orderBy("particle").rowsBetween(-(steps // 2), steps - 1 - steps // 2)
-    return mean.withColumn("smooth", F.avg("n").over(w))
+    return over_neighbours(mean, ["particle"], steps // 2, steps - 1 - steps // 2, smooth=F.avg("n"))
 
 
 def mean_coordinates(particles: DataFrame) -> DataFrame:
@@ -103,9 +144,8 @@ def density(particles: DataFrame, resolution: int, interval: int = 1) -> DataFra
 def windowed(values: DataFrame, steps: int, value: str = "value") -> DataFrame:
     """(particle, mean, low, high): a column over models and a window of ``steps`` particles, two deviations around the mean."""
     each = values.groupBy("particle").agg(F.avg(value).alias("v"), F.stddev_pop(value).alias("s"))
-    w = Window.orderBy("particle").rowsBetween(-(steps // 2), steps - 1 - steps // 2)
-    return each.select("particle", F.avg("v").over(w).alias("mean"), F.avg("s").over(w).alias("s")).select(
-        "particle", "mean", (F.col("mean") - 2 * F.col("s")).alias("low"), (F.col("mean") + 2 * F.col("s")).alias("high")
+    return over_neighbours(each, ["particle"], steps // 2, steps - 1 - steps // 2, mean=F.avg("v"), width=F.avg("s")).select(
+        "particle", "mean", (F.col("mean") - 2 * F.col("width")).alias("low"), (F.col("mean") + 2 * F.col("width")).alias("high")
     )
 
 
@@ -320,10 +360,10 @@ def best_models(models: DataFrame, n: int) -> DataFrame:
 
 
 def extended(models: DataFrame, others: DataFrame, n: int | None = None) -> DataFrame:
-    """Union of two ensembles without repeated seeds, ranked anew."""
+    """Union of two ensembles without repeated seeds, ranked anew: all by ranges of the score, or the ``n`` best."""
     fresh = others.join(models.select("seed"), "seed", "left_anti").select(*models.columns)
     both = models.unionByName(fresh)
-    return best_models(both, n if n is not None else 2**31 - 1)
+    return best_models(both, n) if n is not None else numbered(both, ["objfun", "seed"], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def with_data(share: DataFrame, cells: DataFrame, off_diag: int = 1) -> DataFrame:
@@ -347,3 +387,48 @@ def compare_ensembles(first: DataFrame, second: DataFrame, cutoff: float) -> Dat
 
     a, b = contact_matrix(first, cutoff), contact_matrix(second, cutoff).withColumnRenamed("share", "other")
     return a.join(b, ["i", "j"]).agg(known_corr(F.col("share"), F.col("other")).alias("corr"))
+
+
+def deconvolved(particles: DataFrame, clusters: DataFrame, cutoff: float) -> DataFrame:
+    """(a, b, i, j, share_a, share_b, difference) of every pair of clusters of models, a < b, where their contact shares differ.
+
+    ``clusters`` are (model, cluster).  Shares of all clusters come from one aggregate over the pairs in
+    contact; a pair of particles meets two clusters only where one of them has it in contact.
+    A cluster whose models never have both particles has no share, and no row.
+    """
+    named = particles.join(clusters.select("model", "cluster"), "model")
+    near = near_pairs(named, cutoff).join(clusters.select("model", "cluster"), "model")
+    near = near.groupBy("cluster", "i", "j").agg(F.count("*").alias("n"))
+    present = named.where("x is not null and y is not null and z is not null").select("cluster", "model", "particle")
+    has = present.groupBy("cluster", "particle").agg(F.count("*").alias("c"))
+    sizes = named.groupBy("cluster").agg(F.count_distinct("model").alias("m"))
+    # Every cluster's share of the pairs that any cluster has in contact: as many rows as contacts times clusters.
+    pairs = near.select("i", "j").distinct().join(has.toDF("cluster", "i", "ci"), "i").join(has.toDF("cluster", "j", "cj"), ["cluster", "j"]).join(sizes, "cluster")
+    rare = pairs.where("ci < m and cj < m").select("cluster", "i", "j")
+    both = rare.join(present.toDF("cluster", "model", "i"), ["cluster", "i"]).join(present.toDF("cluster", "model", "j"), ["cluster", "model", "j"])
+    both = both.groupBy("cluster", "i", "j").agg(F.count("*").alias("both"))
+    known = pairs.join(both, ["cluster", "i", "j"], "left").join(near, ["cluster", "i", "j"], "left")
+    models = F.when((F.col("ci") == F.col("m")) | (F.col("cj") == F.col("m")), F.least("ci", "cj")).otherwise(F.coalesce("both", F.lit(0)))
+    shares = known.select("cluster", "i", "j", F.try_divide(F.coalesce("n", F.lit(0)), models).alias("share")).where("share is not null")
+    side = lambda s: shares.select("i", "j", F.col("cluster").alias(s), F.col("share").alias(f"share_{s}"))
+    found = side("a").join(side("b"), ["i", "j"]).where("a < b and share_a <> share_b")
+    return found.select("a", "b", "i", "j", "share_a", "share_b", (F.col("share_a") - F.col("share_b")).alias("difference"))
+
+
+def zscore_agreement(observed: DataFrame, modelled: DataFrame) -> DataFrame:
+    """Per distance k of two tables (i, j, z): moments of the differences observed - modelled, and how normal they are.
+
+    ``n``, ``mean``, ``deviation``, ``skew`` and excess ``kurtosis`` of the differences, ``distance`` (root mean
+    square) and ``normality``, the statistic n / 6 * (skew^2 + kurtosis^2 / 4), with its chi-square probability ``p``.
+    All follow from one aggregate per distance; no values are collected.  Differences without spread have no shape.
+    """
+    both = observed.select("i", "j", F.col("z").alias("o")).join(modelled.select("i", "j", F.col("z").alias("m")), ["i", "j"])
+    rows = both.select((F.col("j") - F.col("i")).alias("k"), (F.col("o") - F.col("m")).alias("d")).where("d is not null and not isnan(d)")
+    found = rows.groupBy("k").agg(
+        F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("deviation"),
+        F.skewness("d").alias("skew"), F.kurtosis("d").alias("kurtosis"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("distance"),
+    )
+    shaped = F.col("deviation") > 1e-9
+    found = found.withColumns({k: F.when(shaped, F.col(k)) for k in ("skew", "kurtosis")})
+    found = found.withColumn("normality", F.col("n") / 6 * (F.col("skew") ** 2 + F.col("kurtosis") ** 2 / 4))
+    return found.withColumn("p", F.exp(-F.col("normality") / 2))

@@ -529,9 +529,18 @@ def binned_annotation(s, d):
     return annotations.binned(_annotation(s, d), 100_000)
 
 
-@query(sql("SELECT i, j, avg((d <= 0.3)::int::double) AS share FROM pp GROUP BY 1, 2", "particles", "pp"))
+@query(sql("SELECT i, j, avg((d <= 0.3)::int::double) AS share FROM pp GROUP BY 1, 2 HAVING bool_or(d <= 0.3)", "particles", "pp"))
 def model_contacts(s, d):
-    return models3d.contact_matrix(I.particles(s, d), 0.3)
+    return models3d.contact_shares(I.particles(s, d), 0.3).select("i", "j", "share")
+
+
+@query(sql("SELECT a.c AS a, b.c AS b, i, j, round(a.share, 6) AS share_a, round(b.share, 6) AS share_b, round(a.share - b.share, 6) AS difference FROM (SELECT model % 3 AS c, i, j, avg((d <= 0.3)::int::double) AS share FROM pp GROUP BY 1, 2, 3) a JOIN (SELECT model % 3 AS c, i, j, avg((d <= 0.3)::int::double) AS share FROM pp GROUP BY 1, 2, 3) b USING (i, j) WHERE a.c < b.c AND a.share <> b.share", "particles", "pp"))
+def model_deconvolution(s, d):
+    """Contact shares of three clusters of the models, by their number."""
+    p = I.particles(s, d)
+    clusters = p.select("model", (F.col("model") % 3).alias("cluster")).distinct()
+    found = models3d.deconvolved(p, clusters, 0.3)
+    return found.select("a", "b", "i", "j", _r("share_a"), _r("share_b"), _r("difference"))
 
 
 @query(sql("SELECT i, j, round(avg(d), 6) AS mean, round(median(d), 6) AS median FROM pp GROUP BY 1, 2", "particles", "pp"))
@@ -799,3 +808,20 @@ def fine_domains(s, d):
     b = F.col("id")
     bins = s.range(1500).select(b.alias("bin"), F.expr("cast(id div 300 as int)").alias("chrom"), (b % 300).alias("idx"))
     return segment.domains_by_likelihood(cells, bins)
+
+
+_AGREE = """zo AS (SELECT i, j, (l - avg(l) OVER ()) / stddev_pop(l) OVER () AS z FROM (SELECT i, j, log10(v) AS l FROM full_ WHERE i <= j)),
+zm AS (SELECT i, j, (l - avg(l) OVER ()) / stddev_pop(l) OVER () AS z FROM (SELECT i, j, log10(count(*)) AS l FROM pp WHERE d <= 0.5 GROUP BY 1, 2)),
+dd AS (SELECT zo.j - zo.i AS k, zo.z - zm.z AS d FROM zo JOIN zm ON zo.i = zm.i AND zo.j = zm.j),
+cc AS (SELECT k, d, d - avg(d) OVER (PARTITION BY k) AS c FROM dd),
+mm AS (SELECT k, count(*) AS n, avg(d) AS mean, sqrt(avg(c * c)) AS deviation, sqrt(avg(d * d)) AS distance, avg(c * c * c) AS c3, avg(c * c * c * c) AS c4 FROM cc GROUP BY k),
+ss AS (SELECT *, CASE WHEN deviation > 1e-9 THEN c3 / pow(deviation, 3) END AS skew, CASE WHEN deviation > 1e-9 THEN c4 / pow(deviation, 4) - 3 END AS kurtosis FROM mm)"""
+_AGREED = ("mean", "deviation", "distance", "skew", "kurtosis", "normality")
+
+
+@query(sql("", "base", "half", "full_", "particles", "pp").rstrip() + ", " + _AGREE + " SELECT k, n, " + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in _AGREED) + " FROM (SELECT *, n / 6 * (pow(skew, 2) + pow(kurtosis, 2) / 4) AS normality FROM ss)")
+def zscore_agreement(s, d):
+    """z-scores of the map against those of contacts in ten models, whose particles stand for bins."""
+    contacts = models3d.contact_shares(I.particles(s, d), 0.5).select("i", "j", F.col("n").alias("v"))
+    found = models3d.zscore_agreement(pixels.zscores(_full(s, d)), pixels.zscores(contacts))
+    return found.select("k", "n", *[(F.round(c, 5) + 0.0).alias(c) for c in _AGREED])
