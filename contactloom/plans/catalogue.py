@@ -414,20 +414,20 @@ def compartments(s, d):
     return segment.compartments(full, b, normalize.decay(full, b)).select("chrom", "start", "end", "type")
 
 
-@query(sql("SELECT e.chrom, e.start, e.\"end\", coalesce(o.observed, 0) AS observed, round(e.expected, 6) AS expected, round(coalesce(o.observed, 0) / e.expected, 6) AS height FROM (SELECT a.chrom, a.start, a.\"end\", sum(coalesce(m.m, 0) * (a.\"end\" - a.start + 1 - k.k)) AS expected FROM domains a JOIN (SELECT range AS k FROM range(32)) k ON k.k <= a.\"end\" - a.start LEFT JOIN (SELECT x.chrom, f.j - f.i AS k, sum(f.v)::double / (32 - (f.j - f.i)) AS m FROM full_ f JOIN bins x ON f.i = x.bin JOIN bins y ON f.j = y.bin WHERE x.chrom = y.chrom AND f.i <= f.j GROUP BY 1, 2) m ON m.chrom = a.chrom AND m.k = k.k WHERE a.experiment = 'a' GROUP BY 1, 2, 3) e LEFT JOIN (SELECT a.chrom, a.start, sum(f.v)::double AS observed FROM domains a JOIN (SELECT x.chrom, x.idx AS x, y.idx AS y, f.v FROM full_ f JOIN bins x ON f.i = x.bin JOIN bins y ON f.j = y.bin WHERE x.chrom = y.chrom AND f.i <= f.j) f ON f.chrom = a.chrom AND f.x >= a.start AND f.y <= a.\"end\" WHERE a.experiment = 'a' GROUP BY 1, 2) o ON o.chrom = e.chrom AND o.start = e.start", "base", "half", "full_", "bins", "domains"))
+@query(sql("SELECT e.chrom, e.start, e.\"end\", coalesce(o.observed, 0) AS observed, round(e.expected, 6) AS expected, round(coalesce(o.observed, 0) / e.expected, 6) AS height FROM (SELECT a.chrom, a.start, a.\"end\", sum(coalesce(m.m, 0) * (a.\"end\" - a.start + 1 - k.k)) AS expected FROM domains a JOIN (SELECT range AS k FROM range(32)) k ON k.k <= a.\"end\" - a.start LEFT JOIN (SELECT x.chrom, f.j - f.i AS k, sum(f.v)::double / (32 - (f.j - f.i)) AS m FROM full_ f JOIN bins x ON f.i = x.bin JOIN bins y ON f.j = y.bin WHERE x.chrom = y.chrom AND f.i <= f.j GROUP BY 1, 2) m ON m.chrom = a.chrom AND m.k = k.k WHERE a.experiment = 'a' GROUP BY 1, 2, 3) e LEFT JOIN (SELECT a.chrom, a.start, sum(f.v)::double AS observed FROM domains a JOIN (SELECT x.chrom, x.idx AS x, y.idx AS y, f.v FROM full_ f JOIN bins x ON f.i = x.bin JOIN bins y ON f.j = y.bin WHERE x.chrom = y.chrom AND f.i <= f.j) f ON f.chrom = a.chrom AND f.x >= a.start AND f.y <= a.\"end\" WHERE a.experiment = 'a' GROUP BY 1, 2) o ON o.chrom = e.chrom AND o.start = e.start", "base", "half", "full_", "bins", "half_a", "half_b", "cis_ab", "dips", "domains"))
 def domain_density(s, d):
-    found = segment.domain_density(I.domains(s).where("experiment = 'a'"), _full(s, d), I.bins(s))
+    found = segment.domain_density(I.domains(s, d).where("experiment = 'a'"), _full(s, d), I.bins(s))
     return found.select("chrom", "start", "end", "observed", _r("expected"), _r("height"))
 
 
-@query(sql("SELECT chrom, start, \"end\", CASE WHEN \"end\" - start + 1 > 10 THEN -abs(score) ELSE abs(score) END AS score FROM domains", "domains"))
+@query(sql("SELECT chrom, start, \"end\", CASE WHEN \"end\" - start + 1 > 10 THEN -abs(score) ELSE abs(score) END AS score FROM domains", "base", "bins", "half_a", "half_b", "cis_ab", "dips", "domains"))
 def limited_domains(s, d):
-    return segment.limit_domains(I.domains(s), 10).select("chrom", "start", "end", "score")
+    return segment.limit_domains(I.domains(s, d), 10).select("chrom", "start", "end", "score")
 
 
-@query(sql("SELECT chrom, idx FROM (SELECT DISTINCT experiment, chrom, start + k.range AS idx FROM domains, range(32) k WHERE k.range <= \"end\" - start AND \"end\" - start + 1 > 7) GROUP BY 1, 2 HAVING count(*) = 2", "domains"))
+@query(sql("SELECT chrom, idx FROM (SELECT DISTINCT experiment, chrom, start + k.range AS idx FROM domains, range(32) k WHERE k.range <= \"end\" - start AND \"end\" - start + 1 > 7) GROUP BY 1, 2 HAVING count(*) = 2", "base", "bins", "half_a", "half_b", "cis_ab", "dips", "domains"))
 def forbidden_bins(s, d):
-    return segment.forbidden(I.domains(s), 7)
+    return segment.forbidden(I.domains(s, d), 7)
 
 
 @query(sql("SELECT chrom, first, last, n FROM (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY n DESC, first) AS r FROM (SELECT chrom, min(idx) AS first, max(idx) AS last, count(*) AS n FROM (SELECT chrom, idx, idx - row_number() OVER (PARTITION BY chrom ORDER BY idx) AS g FROM bins WHERE bin NOT IN (SELECT i FROM full_)) GROUP BY chrom, g)) WHERE r = 1", "base", "half", "full_", "bins"))
@@ -435,9 +435,9 @@ def longest_gap(s, d):
     return segment.longest_gap(_full(s, d), I.bins(s))
 
 
-@query(sql("SELECT chrom, \"end\", score, coalesce(lag(\"end\") OVER (PARTITION BY chrom ORDER BY \"end\") + 1, 0) AS start FROM (SELECT chrom, \"end\", max(score) AS score FROM domains GROUP BY 1, 2)", "domains"))
+@query(sql("SELECT chrom, \"end\", score, coalesce(lag(\"end\") OVER (PARTITION BY chrom ORDER BY \"end\") + 1, 0) AS start FROM (SELECT chrom, \"end\", max(score) AS score FROM domains GROUP BY 1, 2)", "base", "bins", "half_a", "half_b", "cis_ab", "dips", "domains"))
 def reordered_domains(s, d):
-    return borders.reordered(I.domains(s))
+    return borders.reordered(I.domains(s, d))
 
 
 _MARKS = """ma AS (SELECT DISTINCT c1 AS chrom, p1 AS pos FROM base), mb AS (SELECT DISTINCT c2 AS chrom, p2 AS pos FROM base),
@@ -467,7 +467,7 @@ def mutual_nearest_borders(s, d):
 
 @query()
 def aligned_borders(s, d):
-    rows = I.domains(s).select("experiment", "chrom", (F.col("end") * 100_000).alias("pos"))
+    rows = I.domains(s, d).select("experiment", "chrom", (F.col("end") * 100_000).alias("pos"))
     return borders.align(rows, max_dist=100_000.0)
 
 

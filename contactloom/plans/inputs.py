@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RESOLUTION = 100_000
@@ -56,17 +56,22 @@ def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((F.col("vec_id") % 10).alias("model"), F.expr("vec_id div 10").alias("particle"), axis(0), axis(1), axis(2))
 
 
-def domains(spark: SparkSession) -> DataFrame:
-    """Domains of eight bins of every chromosome in two experiments, the second one with joined neighbours."""
-    one = spark.range(CHROMS * 4).select(
-        F.lit("a").alias("experiment"), F.expr("cast(id div 4 as int)").alias("chrom"), (F.col("id") % 4 * 8).alias("start"), (F.col("id") % 4 * 8 + 7).alias("end"),
-        (F.col("id") % 10).cast("double").alias("score"),
-    )
-    two = spark.range(CHROMS * 2).select(
-        F.lit("b").alias("experiment"), F.expr("cast(id div 2 as int)").alias("chrom"), (F.col("id") % 2 * 16).alias("start"), (F.col("id") % 2 * 16 + 15).alias("end"),
-        (F.col("id") % 10).cast("double").alias("score"),
-    )
-    return one.unionByName(two)
+def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(experiment, chrom, start, end, score): domains between the local minima of insulation in the maps of even and of odd reads."""
+    from contactloom.operators import pixels, segment
+
+    rows, places, every = contacts(spark, sf_dir), bins(spark), None
+    for name, rest in (("a", 0), ("b", 1)):
+        half = pixels.half_pixels(rows.where(F.col("read_id") % 2 == rest), bin_of(1), bin_of(2))
+        score = segment.insulation(half, places, 1, 3)
+        w = Window.partitionBy("chrom").orderBy("idx")
+        dips = score.withColumns({"before": F.lag("score").over(w), "after": F.lead("score").over(w)}).where("score < before and score <= after")
+        starts = dips.select("chrom", F.col("idx").alias("start"), "score")
+        starts = starts.unionByName(places.where("idx = 0").select("chrom", F.col("idx").alias("start"), F.lit(1.0).alias("score")))
+        end = F.coalesce(F.lead("start").over(Window.partitionBy("chrom").orderBy("start")) - 1, F.lit(PER_CHROM - 1).cast("long"))
+        found = starts.select(F.lit(name).alias("experiment"), "chrom", "start", end.alias("end"), "score")
+        every = found if every is None else every.unionByName(found)
+    return every
 
 
 PAIRS_SQL = _END.format(d="//")
@@ -86,7 +91,9 @@ SQL = {
     "norm": "select g.i, g.j, g.v / x.b / y.b as v from good g join bias x on g.i = x.bin join bias y on g.j = y.bin",
     "particles": "select vec_id % 10 as model, vec_id // 10 as particle, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings",
     "pp": "select a.model, a.particle as i, b.particle as j, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) as d from particles a join particles b on a.model = b.model and a.particle < b.particle",
-    "domains": "select 'a' as experiment, cast(range // 4 as int) as chrom, range % 4 * 8 as start, range % 4 * 8 + 7 as \"end\", (range % 10)::double as score from range(20) union all select 'b', cast(range // 2 as int), range % 2 * 16, range % 2 * 16 + 15, (range % 10)::double from range(10)",
+    "cis_ab": "select 'a' as experiment, x.chrom, x.idx as i, y.idx as j, v from half_a h join bins x on h.i = x.bin join bins y on h.j = y.bin where x.chrom = y.chrom union all select 'b', x.chrom, x.idx, y.idx, v from half_b h join bins x on h.i = x.bin join bins y on h.j = y.bin where x.chrom = y.chrom",
+    "dips": "select * from (select *, lag(score) over w as before, lead(score) over w as after from (select e.experiment, b.chrom, b.idx, coalesce(sum(c.v), 0)::double as score from (select 'a' as experiment union all select 'b') e cross join bins b left join cis_ab c on c.experiment = e.experiment and c.chrom = b.chrom and c.i between b.idx - 3 and b.idx - 1 and c.j between b.idx + 1 and b.idx + 3 where b.idx between 3 and 28 group by 1, 2, 3) window w as (partition by experiment, chrom order by idx)) where score < before and score <= after",
+    "domains": "select experiment, chrom, start, coalesce(lead(start) over (partition by experiment, chrom order by start) - 1, 31) as \"end\", score from (select experiment, chrom, idx as start, score from dips union all select e.experiment, b.chrom, b.idx, 1.0 from (select 'a' as experiment union all select 'b') e, bins b where b.idx = 0)",
 }
 
 
