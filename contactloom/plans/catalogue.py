@@ -825,3 +825,12 @@ def zscore_agreement(s, d):
     contacts = models3d.contact_shares(I.particles(s, d), 0.5).select("i", "j", F.col("n").alias("v"))
     found = models3d.zscore_agreement(pixels.zscores(_full(s, d)), pixels.zscores(contacts))
     return found.select("k", "n", *[(F.round(c, 5) + 0.0).alias(c) for c in _AGREED])
+
+
+@query()
+def parameter_search(s, d):
+    """Eight sets of parameters for the first 32 bins: correlation of the models' contacts with the map at two cutoffs."""
+    z = pixels.zscores(pixels.crop(_full(s, d), (0, 32, 0, 32))).where("i < j")
+    settings = [{"max_dist": m, "upper": u, "lower": l} for m in (300.0, 500.0) for u in (0.0, 0.5) for l in (-1.0, -0.5)]
+    results, _ = restraints.search(z, 32, settings, [150.0, 250.0], 50.0, 8, 4, steps=200)
+    return results.select("set", "max_dist", "upper", "lower", "cutoff", _r("objfun", 3), _r("corr", 4))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.operators import badbins, compare, normalize, pairs, pixels, segment
+from contactloom.operators import badbins, compare, normalize, pairs, pixels, restraints, segment
 from contactloom.sources import reads
 
 
@@ -59,3 +59,12 @@ def segments(half: DataFrame, bins: DataFrame, tables: dict[str, DataFrame], ric
     """(compartments, domains) of a map."""
     full = pixels.good(pixels.symmetric(half), tables["bad"])
     return segment.compartments(pixels.normalized(full, tables["bias"]), bins, tables["decay"], rich_in_a), segment.domains_by_likelihood(full, bins, tables["bad"])
+
+
+def model(cells: DataFrame, first: int, end: int, radius: float, settings: list[dict], cutoffs: list[float], models: int, keep: int, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, best, particles) of a region's bins first .. end - 1: all parameter sets, the best one, and its kept models."""
+    z = pixels.zscores(pixels.crop(cells, (first, end, first, end))).where("i < j")
+    results, particles = restraints.search(z, end - first, settings, cutoffs, radius, models, keep, **options)
+    results = normalize.checkpointed(results)
+    best = restraints.best_parameters(results.where("corr is not null"))
+    return results, best, particles.join(best.select("set"), "set", "left_semi").drop("set")
