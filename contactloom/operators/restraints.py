@@ -84,7 +84,8 @@ def best_parameters(results: DataFrame, score: str = "corr") -> DataFrame:
 def relaxed(rows: list[tuple], n: int, seed: int, steps: int = 500, rate: float = 0.05, stop: float | None = None) -> tuple[np.ndarray, float]:
     """Coordinates and objective after gradient steps on the restraints from a seeded random start (not a physical simulation).
 
-    With ``stop``, the steps end when the last 25 lowered the objective by less than that share.
+    With ``stop``, the steps end when the last 25 lowered the objective by less than that share of it, or of
+    ``stop`` times the first objective: restraints that can all be met would else be followed to the last digit.
     """
     rng = np.random.default_rng(seed)
     i, j = (np.array([r[k] for r in rows], dtype=int) for k in (0, 1))
@@ -100,12 +101,13 @@ def relaxed(rows: list[tuple], n: int, seed: int, steps: int = 500, rate: float
         off[(kind == -1) & (off > 0)] = 0
         return v, gap, off
 
-    before = np.inf
+    before = first = np.inf
     for step in range(steps):
         v, gap, off = forces()
         if stop is not None and step % 25 == 0:
             value = float((k * off * off).sum())
-            if value >= before * (1 - stop):
+            first = value if step == 0 else first
+            if before - value <= stop * max(value, stop * first):
                 break
             before = value
         push = (rate * k * off / gap)[:, None] * v
