@@ -141,11 +141,6 @@ def _choose(pdf: pd.DataFrame, step: int, whole: bool) -> tuple[np.ndarray, np.n
     return places, np.isin(places, borders), step, False
 
 
-def _no_fits(every: DataFrame) -> DataFrame:
-    zero = F.lit(0).cast("long")
-    return every.where("false").select("chrom", zero.alias("first"), zero.alias("end"), F.lit(0.0).alias("value"))
-
-
 def domains(cells: DataFrame, bins: DataFrame, bad: DataFrame | None = None, longest: int | None = None, parts: int = 16, width: int = 128) -> DataFrame:
     """(chrom, start, end, score) of the segments of greatest likelihood; ``longest`` bounds their bins if given.
 
@@ -200,5 +195,5 @@ def domains(cells: DataFrame, bins: DataFrame, bad: DataFrame | None = None, lon
     for e in ended[1:]:
         fits = fits.unionByName(e)
     if fits is None:
-        fits = _no_fits(every)
+        fits = rows.sparkSession.createDataFrame([], f"chrom {chrom}, first long, end long, value double")
     return every.groupBy("chrom").cogroup(fits.groupBy("chrom")).applyInPandas(finish, f"chrom {chrom}, start long, end long, score double")
