@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from contactloom.functions import geometry
 from contactloom.functions.maths import fit_persistence, persistence_length
+from contactloom.operators.normalize import checkpointed
 from contactloom.operators.order import numbered, over_neighbours
 from contactloom.shipping import ship
 
@@ -67,7 +68,7 @@ def contact_shares(particles: DataFrame, cutoff: float) -> DataFrame:
 
     Models with both are counted by a join only where both particles are missing in some model.
     """
-    near = near_pairs(particles, cutoff).groupBy("i", "j").agg(F.count("*").alias("n"))
+    near = checkpointed(near_pairs(particles, cutoff).groupBy("i", "j").agg(F.count("*").alias("n")))
     present = particles.where("x is not null and y is not null and z is not null").select("model", "particle")
     has = present.groupBy("particle").agg(F.count("*").alias("c"))
     every = F.broadcast(particles.agg(F.count_distinct("model").alias("m")))
@@ -398,7 +399,7 @@ def deconvolved(particles: DataFrame, clusters: DataFrame, cutoff: float) -> Dat
     """
     named = particles.join(clusters.select("model", "cluster"), "model")
     near = near_pairs(named, cutoff).join(clusters.select("model", "cluster"), "model")
-    near = near.groupBy("cluster", "i", "j").agg(F.count("*").alias("n"))
+    near = checkpointed(near.groupBy("cluster", "i", "j").agg(F.count("*").alias("n")))
     present = named.where("x is not null and y is not null and z is not null").select("cluster", "model", "particle")
     has = present.groupBy("cluster", "particle").agg(F.count("*").alias("c"))
     sizes = named.groupBy("cluster").agg(F.count_distinct("model").alias("m"))
