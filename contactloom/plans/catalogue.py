@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from contactloom.operators import badbins, borders, compare, models3d, normalize, pairs, pixels, restraints, segment, stats
+from contactloom.operators import badbins, borders, compare, models3d, normalize, pairs, pixels, probable, restraints, segment, stats
 from contactloom.plans import inputs as I
 from contactloom.plans.inputs import PER_CHROM, recursive, sql
 from contactloom.sources import annotations, contact_bam
@@ -834,3 +834,51 @@ def parameter_search(s, d):
     settings = [{"max_dist": m, "upper": u, "lower": l} for m in (300.0, 500.0) for u in (0.0, 0.5) for l in (-1.0, -0.5)]
     results, _ = restraints.search(z, 32, settings, [150.0, 250.0], 50.0, 8, 4, steps=200)
     return results.select("set", "max_dist", "upper", "lower", "cutoff", _r("objfun", 3), _r("corr", 4))
+
+
+_FITTED = """near_ AS (SELECT a.model, a.particle AS i, b.particle AS j, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS d
+  FROM particles a JOIN particles b ON a.model = b.model AND b.particle - a.particle BETWEEN 1 AND 3),
+means_ AS (SELECT i, j, avg(d) AS m, var_pop(d) AS v FROM near_ GROUP BY 1, 2),
+skew_ AS (SELECT n.i, n.j, any_value(m) AS m, any_value(v) AS v, CASE WHEN any_value(v) > 0 THEN avg(pow(d - m, 3)) / pow(any_value(v), 1.5) END AS s FROM near_ n JOIN means_ t ON n.i = t.i AND n.j = t.j GROUP BY 1, 2),
+part_ AS (SELECT i, j, m, v, least(pow(greatest(coalesce(s, 0), 0) / 2, 2.0 / 3), 2.25 / 3.25) AS q FROM skew_),
+fitted_ AS (SELECT i, j, k, m - k * width AS loc, width FROM (SELECT i, j, m, sqrt(q / (1 - q)) AS k, sqrt(v * (1 - q)) AS width FROM part_))"""
+_DRAWN = """known_ AS (SELECT i, j, least(greatest(k, 0.5), 1.5) AS k, loc, width FROM fitted_ WHERE loc >= 0.01 AND width >= 0.01),
+hex_ AS (SELECT *, sha256('1:' || model || ':' || i || ':' || j) AS h FROM known_, (SELECT unnest(range(5)) AS model)),
+draws_ AS (SELECT *, """ + ", ".join(f"(cast('0x' || substr(h, {13 * n + 1}, 13) AS bigint) + 0.5) / 4503599627370496 AS u{n}" for n in range(4)) + " FROM hex_)"
+
+
+@query(sql("", "particles").rstrip() + ", " + _FITTED + " SELECT i, j, round(k, 6) AS k, round(loc, 6) AS loc, round(width, 6) AS width FROM fitted_")
+def distance_distributions(s, d):
+    """Distributions of the distances of particles up to three apart, from the moments over the models."""
+    return probable.fitted(I.particles(s, d), 3).select("i", "j", _r("k"), _r("loc"), _r("width"))
+
+
+@query(sql("", "particles").rstrip() + ", " + _FITTED + ", " + _DRAWN + " SELECT model, i, j, round(loc + width * (sqrt(-2 * ln(u0)) * cos(2 * pi() * u1) - k * ln(u2)), 6) AS dist, round(u3, 9) AS place FROM draws_")
+def drawn_distances(s, d):
+    """A distance of every such pair in each of five models."""
+    pairs = probable.known(probable.fitted(I.particles(s, d), 3), 0.01).where("known")
+    return probable.drawn(pairs, 5).select("model", "i", "j", _r("dist"), _r("place", 9))
+
+
+def _probable(s, d):
+    """Models of the first 32 bins whose eight parents are placed first: (distributions, restraints, particles, headers)."""
+    cells = pixels.crop(_full(s, d), (0, 32, 0, 32))
+    fine = normalize.checkpointed(probable.expected(pixels.zscores(cells), 100.0, 500.0))
+    whole = cells.groupBy(F.floor(F.col("i") / 4).alias("i"), F.floor(F.col("j") / 4).alias("j")).agg(F.sum("v").alias("v"))
+    coarse = normalize.checkpointed(probable.expected(pixels.zscores(whole), 200.0, 800.0))
+    return fine, *probable.two_level(fine.where("j - i <= 12"), coarse, 32, 4, 8, 4, 1.0, 50.0, far=12)
+
+
+@query()
+def probability_restraints(s, d):
+    """Restraints of eight models from drawn distances, far pairs by their parents."""
+    return _probable(s, d)[1].select("model", "i", "j", "type", _r("kforce"), _r("dist", 3))
+
+
+@query()
+def two_level_models(s, d):
+    """The four best of these models: objective, and correlation of their distances with those expected from the map."""
+    fine, _, particles, best = _probable(s, d)
+    gaps = models3d.distances(particles).join(F.broadcast(fine.select("i", "j", "loc")), ["i", "j"])
+    scored = gaps.groupBy("model").agg(compare.known_corr(F.col("d"), F.col("loc")).alias("corr"))
+    return best.join(scored, "model").select("model", _r("objfun", 3), _r("corr", 4))
