@@ -118,7 +118,7 @@ def randomization_test(borders: DataFrame, runs: int = 1000, method: str = "inte
 
 
 def overlapping(segments: DataFrame, blocks: DataFrame, width: int = 100_000, least: int = 10) -> DataFrame:
-    """Segments (id, chrom, start, end) with the block (chrom, bstart, bend, ...) that overlaps them most, by more than ``least``.
+    """Segments (id, chrom, start, end) with the block (chrom, bstart, bend, ...) that overlaps them most, by more than ``least``, and the number ``met`` of such blocks.
 
     Both sides are exploded to buckets of ``width`` and equi-joined; pairs met in
     several buckets are kept where their overlap starts.
@@ -128,11 +128,16 @@ def overlapping(segments: DataFrame, blocks: DataFrame, width: int = 100_000, le
     first = F.greatest("start", "bstart")
     rows = rows.withColumn("overlap", F.least("end", "bend") - first).where((F.col("overlap") > least) & (F.floor(first / width) == F.col("k")))
     order = Window.partitionBy("id").orderBy(F.desc("overlap"), "bstart", "bend")
-    return rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n", "k")
+    met = F.count("*").over(Window.partitionBy("id"))
+    return rows.withColumns({"n": F.row_number().over(order), "met": met}).where("n = 1").drop("n", "k")
 
 
 def lift(segments: DataFrame, blocks: DataFrame, **options) -> DataFrame:
     """(id, chrom, start, end) moved through blocks with (tchrom, tstart, tend, tstrand), proportionally inside a block."""
+    return _lifted(segments, blocks, **options).drop("met")
+
+
+def _lifted(segments: DataFrame, blocks: DataFrame, **options) -> DataFrame:
     rows = overlapping(segments, blocks, **options)
     rate = (F.col("tend") - F.col("tstart")) / (F.col("bend") - F.col("bstart"))
     clip = lambda c: F.least(F.greatest(F.col(c), F.col("bstart")), F.col("bend")) - F.col("bstart")
@@ -143,9 +148,51 @@ def lift(segments: DataFrame, blocks: DataFrame, **options) -> DataFrame:
         F.col("tchrom").alias("chrom"),
         F.when(forward, F.col("tstart") + a).otherwise(F.col("tend") - b).cast("long").alias("start"),
         F.when(forward, F.col("tstart") + b).otherwise(F.col("tend") - a).cast("long").alias("end"),
+        "met",
     )
 
 
+def remapped(marks: DataFrame, resolution: int, assembly: DataFrame | None = None, synteny: DataFrame | None = None, names: str | None = None, **options) -> DataFrame:
+    """The trace of domain borders (chrom, end: a domain's last bin) through an assembly map, then a synteny map: one row a border.
+
+    A border is the span of its bin.  Both maps are blocks as of ``lift``; a step without a map keeps the span.  Columns: chrom, end;
+    mid_chrom, mid_start, mid_end after the first step; to_chrom, to_start, to_end after the second; to_bin, the
+    last bin of the domain there, the span's end by ``resolution``, rounded; and status:
+
+    * ``lost in assembly``, ``lost in synteny``: no block of that step overlaps the span by more than ``least``;
+    * ``off names``: the target's chromosome does not match the pattern ``names``;
+    * ``merged``: other borders come to the same bin; ``split``: the span met several blocks and went with the
+      largest overlap; ``moved``: neither.
+
+    Equal borders count once; borders with a null in either column are left out.
+    """
+    ids = F.concat_ws(":", F.col("end").cast("string"), F.col("chrom").cast("string"))
+    spans = marks.where("chrom is not null and end is not null").select("chrom", "end").distinct().withColumn("id", ids)
+    here = spans.select("id", "chrom", (F.col("end") * resolution).cast("long").alias("start"), ((F.col("end") + 1) * resolution).cast("long").alias("end"))
+    still = lambda rows: rows.withColumn("met", F.lit(1).cast("long"))
+    first = still(here) if assembly is None else _lifted(here, assembly, **options)
+    second = still(first.drop("met")) if synteny is None else _lifted(first.drop("met"), synteny, **options)
+    second = second.withColumn("to_bin", F.round(F.col("end") / resolution).cast("long"))
+    named = F.lit(True) if names is None else F.col("to_chrom").cast("string").rlike(names)
+    second = second.select("id", F.col("chrom").alias("to_chrom"), F.col("start").alias("to_start"), F.col("end").alias("to_end"), "to_bin", F.col("met").alias("met2"))
+    # Lost borders have no target and so stay out of this window.
+    second = second.withColumn("good", named).withColumn("shared", F.count("*").over(Window.partitionBy("to_chrom", "to_bin")))
+    first = first.select("id", F.col("chrom").alias("mid_chrom"), F.col("start").alias("mid_start"), F.col("end").alias("mid_end"), F.col("met").alias("met1"))
+    rows = spans.join(first, "id", "left").join(second, "id", "left")
+    status = (
+        F.when(F.col("met1").isNull(), "lost in assembly").when(F.col("met2").isNull(), "lost in synteny").when(~F.col("good"), "off names")
+        .when(F.col("shared") > 1, "merged").when((F.col("met1") > 1) | (F.col("met2") > 1), "split").otherwise("moved")
+    )
+    return rows.select("chrom", "end", "mid_chrom", "mid_start", "mid_end", "to_chrom", "to_start", "to_end", "to_bin", status.alias("status"))
+
+
+def remapped_domains(domains: DataFrame, trace: DataFrame) -> DataFrame:
+    """(chrom, start, end, score) of domains (chrom, end, score) on the target of their borders' trace; merged borders keep the best score."""
+    kept = trace.where("status in ('moved', 'split', 'merged')").select("chrom", "end", "to_chrom", "to_bin")
+    rows = domains.select("chrom", "end", "score").join(kept, ["chrom", "end"])
+    return reordered(rows.select(F.col("to_chrom").alias("chrom"), F.col("to_bin").alias("end"), "score")).select("chrom", "start", "end", "score")
+
+
 def reordered(domains: DataFrame) -> DataFrame:
     """Domains sorted by end, equal ends merged with the best score, starts rebuilt after the end before."""
     merged = domains.groupBy("chrom", "end").agg(F.max("score").alias("score"))

@@ -483,6 +483,35 @@ def lifted_segments(s, d):
     return borders.lift(segments, blocks)
 
 
+_MOVES = """spans_ AS (SELECT DISTINCT c1 AS chrom, p1 // 4096 AS e FROM base),
+one_ AS (SELECT chrom, e, m, bstart * 2 + 2 * (greatest(s, bstart) - bstart) AS a, bstart * 2 + 2 * (least(t, bend) - bstart) AS b FROM (
+  SELECT *, row_number() OVER (PARTITION BY chrom, e ORDER BY least(t, bend) - greatest(s, bstart) DESC, bstart) AS r, count(*) OVER (PARTITION BY chrom, e) AS m
+  FROM (SELECT chrom, e, e * 4096 AS s, e * 4096 + 4096 AS t FROM spans_) x JOIN (SELECT range * 250000 AS bstart, range * 250000 + 248000 AS bend FROM range(8)) y ON least(t, bend) - greatest(s, bstart) > 10) WHERE r = 1),
+two_ AS (SELECT chrom, e, m AS m2, 900000 + bstart // 2 + 250000 - round((least(b, bend) - bstart) / 2) AS a, 900000 + bstart // 2 + 250000 - round((greatest(a, bstart) - bstart) / 2) AS b FROM (
+  SELECT *, row_number() OVER (PARTITION BY chrom, e ORDER BY least(b, bend) - greatest(a, bstart) DESC, bstart) AS r, count(*) OVER (PARTITION BY chrom, e) AS m
+  FROM (SELECT chrom, e, a, b FROM one_) x JOIN (SELECT range * 600000 AS bstart, range * 600000 + 500000 AS bend FROM range(7)) y ON least(b, bend) - greatest(a, bstart) > 10) WHERE r = 1),
+bins_ AS (SELECT *, cast(round(b / 4096) AS bigint) AS k, count(*) OVER (PARTITION BY chrom, cast(round(b / 4096) AS bigint)) AS shared FROM two_)"""
+
+
+@query(sql("", "base").rstrip() + ", " + _MOVES + """ SELECT s.chrom, s.e AS "end", o.a AS mid_start, o.b AS mid_end, t.chrom + 2 AS to_chrom, cast(t.a AS bigint) AS to_start, cast(t.b AS bigint) AS to_end, t.k AS to_bin,
+CASE WHEN o.m IS NULL THEN 'lost in assembly' WHEN t.m2 IS NULL THEN 'lost in synteny' WHEN t.shared > 1 THEN 'merged' WHEN o.m > 1 OR t.m2 > 1 THEN 'split' ELSE 'moved' END AS status
+FROM spans_ s LEFT JOIN one_ o ON s.chrom = o.chrom AND s.e = o.e LEFT JOIN bins_ t ON s.chrom = t.chrom AND s.e = t.e""")
+def remapping_trace(s, d):
+    """Fragments with a read as borders, through blocks of a new assembly twice as long, then reversed synteny blocks half as long."""
+    marks = I.contacts(s, d).select(F.col("c1").alias("chrom"), F.expr("p1 div 4096").alias("end")).distinct()
+    k = F.col("id") % 8
+    new = s.range(40).select(
+        F.expr("cast(id div 8 as int)").alias("chrom"), (k * 250_000).alias("bstart"), (k * 250_000 + 248_000).alias("bend"), F.expr("cast(id div 8 as int) + 1").alias("tchrom"),
+        (k * 500_000).alias("tstart"), (k * 500_000 + 496_000).alias("tend"), F.lit(1).alias("tstrand"),
+    )
+    k = F.col("id") % 7
+    other = s.range(35).select(
+        F.expr("cast(id div 7 as int) + 1").alias("chrom"), (k * 600_000).alias("bstart"), (k * 600_000 + 500_000).alias("bend"), F.expr("cast(id div 7 as int) + 2").alias("tchrom"),
+        (k * 300_000 + 900_000).alias("tstart"), (k * 300_000 + 1_150_000).alias("tend"), F.lit(-1).alias("tstrand"),
+    )
+    return borders.remapped(marks, 4096, new, other).drop("mid_chrom")
+
+
 @query(sql("SELECT chrom, bin, count(*) AS n FROM (SELECT c1 AS chrom, p1 // 10000 AS bin FROM base UNION ALL SELECT c2, p2 // 10000 FROM base) GROUP BY 1, 2", "base"))
 def genomic_distribution(s, d):
     return stats.genomic_distribution(I.contacts(s, d))

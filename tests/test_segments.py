@@ -119,3 +119,28 @@ def test_text_and_maths():
     assert maths.fit_persistence([(x, maths.chain_square_distance(x, 3.0)) for x in (1.0, 5.0, 20.0)]) == pytest.approx(3.0, rel=1e-3)
     assert maths.Interpolation([0.0, 1.0, 3.0], [0.0, 2.0, 0.0])(2.0) == 1.0
     assert maths.binomial_tail(1, 2, 0.5) == pytest.approx(0.75)
+
+
+def test_remapping_in_two_steps_with_a_trace(spark):
+    schema = "chrom string, bstart long, bend long, tchrom string, tstart long, tend long, tstrand int"
+    # Bins of 100: the new assembly has a hole at 500 to 620, and a second block of "x" from 900 on.
+    new = spark.createDataFrame([("x", 0, 500, "x", 1000, 1500, 1), ("x", 620, 940, "x", 1620, 1940, 1), ("x", 940, 2000, "x", 3000, 4060, 1), ("s", 0, 900, "scaffold", 0, 900, 1)], schema)
+    # The other species: half as long and reversed, and nothing for 3500 onwards.
+    other = spark.createDataFrame([("x", 1000, 2000, "7", 0, 500, -1), ("x", 3000, 3500, "9", 0, 500, 1), ("scaffold", 0, 900, "un_1", 0, 900, 1)], schema)
+    marks = spark.createDataFrame([("x", e) for e in (0, 1, 2, 2, 5, 9, 11, 16)] + [("s", 3), ("q", 1), (None, 4), ("x", None)], "chrom string, end long")
+    trace = {(r.chrom, r.end): r for r in borders.remapped(marks, 100, new, other, names="^[0-9]+$").collect()}
+    assert len(trace) == 9
+    status = {k: r.status for k, r in trace.items()}
+    assert status[("x", 5)] == status[("q", 1)] == "lost in assembly" and status[("x", 16)] == "lost in synteny" and status[("s", 3)] == "off names"
+    r = trace[("x", 0)]  # 0-100, 1000-1100, then the last 50 of 500; the next border ends at 450, so both come to bin 5
+    assert (r.mid_chrom, r.mid_start, r.mid_end, r.to_chrom, r.to_start, r.to_end, r.to_bin, r.status) == ("x", 1000, 1100, "7", 450, 500, 5, "merged")
+    assert [(trace[("x", e)].to_bin, trace[("x", e)].status) for e in (1, 2)] == [(5, "merged"), (4, "moved")]
+    assert trace[("x", 9)].status == "split" and trace[("x", 9)].mid_start == 3000 and trace[("x", 11)].status == "moved"
+    lost = trace[("x", 16)]
+    assert (lost.mid_start, lost.to_chrom, lost.to_bin) == (3660, None, None)
+    domains = spark.createDataFrame([("x", 0, 0.2), ("x", 1, 0.9), ("x", 2, 0.5), ("x", 5, 1.0), ("x", 9, 0.1)], "chrom string, end long, score double")
+    found = borders.remapped_domains(domains, borders.remapped(marks, 100, new, other))
+    assert sorted(map(tuple, found.collect())) == [("7", 0, 4, 0.5), ("7", 5, 5, 0.9), ("9", 0, 1, 0.1)]
+    # Without maps borders keep their span, and its end rounds to the bin after.
+    assert {(r.end, r.to_bin, r.status) for r in borders.remapped(marks.where("chrom = 'q'"), 100).collect()} == {(1, 2, "moved")}
+    assert borders.remapped(marks.where("false"), 100, new, other).count() == 0
