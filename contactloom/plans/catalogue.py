@@ -558,8 +558,14 @@ def binned_annotation(s, d):
     return annotations.binned(_annotation(s, d), 100_000)
 
 
-@query(sql("SELECT i, j, avg((d <= 0.3)::int::double) AS share FROM pp GROUP BY 1, 2 HAVING bool_or(d <= 0.3)", "particles", "pp"))
+@query(sql("SELECT i, j, avg((d <= 0.3)::int::double) AS share FROM pp GROUP BY 1, 2", "particles", "pp"))
 def model_contacts(s, d):
+    return models3d.contact_matrix(I.particles(s, d), 0.3)
+
+
+@query(sql("SELECT i, j, avg((d <= 0.3)::int::double) AS share FROM pp GROUP BY 1, 2 HAVING bool_or(d <= 0.3)", "particles", "pp"))
+def near_contacts(s, d):
+    """The pairs of particles in contact in some model, without comparing all pairs."""
     return models3d.contact_shares(I.particles(s, d), 0.3).select("i", "j", "share")
 
 
