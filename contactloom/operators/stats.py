@@ -140,14 +140,19 @@ def site_counts(reads: DataFrame, sites: dict[str, str]) -> DataFrame:
     return reads.agg(F.count("*").alias("reads"), *[F.count_if(F.col("seq").contains(m)).alias(k) for k, m in sites.items()])
 
 
+#: Items whose clusters are sent to every task; those of more are joined to the pairs.
+SENT = 1_000_000
+
+
 def cluster_quality(scores: DataFrame, clusters: DataFrame) -> DataFrame:
     """One row ``ch``: ratio of the mean between-cluster to the mean within-cluster pair distances, per degree of freedom.
 
     ``scores`` (a, b, d) with a < b; ``clusters`` (item, cluster).
     """
-    side = lambda s: clusters.select(F.col("item").alias(s), F.col("cluster").alias(f"k{s}"))
-    rows = scores.join(side("a"), "a").join(side("b"), "b")
     n, k = clusters.count(), clusters.select("cluster").distinct().count()
+    held = F.broadcast if n <= SENT else lambda df: df
+    side = lambda s: held(clusters.select(F.col("item").alias(s), F.col("cluster").alias(f"k{s}")))
+    rows = scores.join(side("a"), "a").join(side("b"), "b")
     within = F.avg(F.when(F.col("ka") == F.col("kb"), F.col("d")))
     between = F.avg(F.when(F.col("ka") != F.col("kb"), F.col("d")))
     return rows.agg(F.try_divide(between * (n - k), within * max(k - 1, 1)).alias("ch"))
