@@ -168,10 +168,11 @@ def dense_rows(spark: SparkSession, cells: DataFrame, n: int) -> DataFrame:
     return every.join(filled, "i", "left").select("i", F.coalesce(row, F.array_repeat(F.lit(0.0), n)).alias("row"))
 
 
-def zscores(cells: DataFrame) -> DataFrame:
-    """z-scores of log10 of the upper triangle without zeros (population deviation)."""
-    logs = cells.where("i <= j AND v > 0").withColumn("l", F.log10("v"))
-    stats = logs.agg(F.avg("l").alias("m"), F.stddev_pop("l").alias("s"))
+def zscores(cells: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """z-scores of log10 of the upper triangle without zeros (population deviation), by the mean and deviation of all cells ``among``."""
+    upper_logs = lambda df: df.where("i <= j AND v > 0").withColumn("l", F.log10("v"))
+    logs = upper_logs(cells)
+    stats = upper_logs(cells if among is None else among).agg(F.avg("l").alias("m"), F.stddev_pop("l").alias("s"))
     return logs.crossJoin(F.broadcast(stats)).select("i", "j", F.try_divide(F.col("l") - F.col("m"), F.col("s")).alias("z"))
 
 

@@ -769,7 +769,8 @@ _DATA = "dat AS (SELECT sh.share, f.v::double AS v FROM (SELECT i, j, avg((d <=
 
 @query(sql("", "base", "half", "full_", "particles", "pp").rstrip() + ", " + _DATA + " SELECT round(corr(share, v), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, round(corr(CASE WHEN share > 0 THEN ln(share) END, ln(v)), 6) AS logpearson, count(*) AS n FROM rk")
 def models_with_data(s, d):
-    return models3d.with_data(models3d.contact_matrix(I.particles(s, d), 0.3), _full(s, d)).select(_r("pearson"), _r("spearman"), _r("logpearson"), "n")
+    cells = normalize.checkpointed(_full(s, d))
+    return models3d.with_data(models3d.contact_matrix(models3d.among(I.particles(s, d), cells), 0.3), cells).select(_r("pearson"), _r("spearman"), _r("logpearson"), "n")
 
 
 @query(sql("SELECT round(corr(a, b), 6) AS corr FROM (SELECT i, j, avg(CASE WHEN model % 2 = 0 THEN (d <= 0.3)::int::double END) AS a, avg(CASE WHEN model % 2 = 1 THEN (d <= 0.3)::int::double END) AS b FROM pp GROUP BY 1, 2) WHERE a IS NOT NULL AND b IS NOT NULL", "particles", "pp"))
@@ -857,8 +858,9 @@ _AGREED = ("mean", "deviation", "distance", "skew", "kurtosis", "normality")
 @query(sql("", "base", "half", "full_", "particles", "pp").rstrip() + ", " + _AGREE + " SELECT k, n, " + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in _AGREED) + " FROM (SELECT *, n / 6 * (pow(skew, 2) + pow(kurtosis, 2) / 4) AS normality FROM ss)")
 def zscore_agreement(s, d):
     """z-scores of the map against those of contacts in ten models, whose particles stand for bins."""
-    contacts = models3d.contact_shares(I.particles(s, d), 0.5).select("i", "j", F.col("n").alias("v"))
-    found = models3d.zscore_agreement(pixels.zscores(_full(s, d)), pixels.zscores(contacts))
+    cells, p = normalize.checkpointed(_full(s, d)), I.particles(s, d)
+    every, here = (models3d.contact_shares(x, 0.5).select("i", "j", F.col("n").alias("v")) for x in (p, models3d.among(p, cells)))
+    found = models3d.zscore_agreement(pixels.zscores(cells), pixels.zscores(here, every))
     return found.select("k", "n", *[(F.round(c, 5) + 0.0).alias(c) for c in _AGREED])
 
 
