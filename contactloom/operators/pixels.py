@@ -28,9 +28,14 @@ def bins_of(chromosomes: DataFrame, resolution: int) -> DataFrame:
 
 
 def half_pixels(pairs: DataFrame, bin1: Column, bin2: Column) -> DataFrame:
-    """Upper triangle from pairs: each pair counts once, i <= j."""
+    """Upper triangle from pairs: each pair counts once, i <= j.
+
+    The bins come out of a generator, which filters on i or j do not pass: pushed below, they would repeat the bins'
+    expressions until the compiler gave up on the method, which then ran interpreted.
+    """
+    binned = pairs.select(F.inline(F.array(F.struct(bin1.alias("a"), bin2.alias("b")))))
     return (
-        pairs.select(F.least(bin1, bin2).cast("long").alias("i"), F.greatest(bin1, bin2).cast("long").alias("j"))
+        binned.select(F.least("a", "b").cast("long").alias("i"), F.greatest("a", "b").cast("long").alias("j"))
         .groupBy("i", "j")
         .agg(F.count("*").alias("v"))
     )
