@@ -38,6 +38,8 @@ SPLIT = 64 << 20
 WINDOW = 4 << 20
 #: Uncompressed bytes of a block that is written.
 BLOCK = 0xFF00
+#: Records of a file, about 100 bytes each, where the number of files is not given.
+RECORDS = 1_000_000
 #: Bases of a window of the linear index, as a shift.
 LINEAR = 14
 # Fixed values of the format: the end-of-file block, the operations of a CIGAR, the sizes of a tag's values.
@@ -577,12 +579,16 @@ def _write_batches(folder: str, head: bytes, n_refs: int, tags: list[str]):
 def write_contacts(pairs: DataFrame, path: str, chroms: list[tuple[str, int]], head: bytes, long: bool = True, files: int | None = None) -> None:
     """Sorted BAM files of the pairs, an index beside each, and last the list of files in ``_files``.
 
-    ``files`` is the number of ranges; the session's shuffle partitions if it is not given.
+    ``files`` is the number of ranges; if it is not given, the session's shuffle partitions, or more where
+    these would get over ``RECORDS`` records each.
     """
     system, base = located(path)
     system.create_dir(base, recursive=True)
     keys = ["ref", "pos", "read_id", "kind"]
     rows = ship(_sides(pairs, chroms, long))
+    if not files:
+        needed = -(-2 * pairs.count() // RECORDS)
+        files = needed if needed > int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
     ranged = rows.repartitionByRange(files, *keys) if files else rows.repartitionByRange(*keys)
     tags = [t for t in TAGS if t in rows.columns]
     made = ranged.sortWithinPartitions(*keys).mapInArrow(_write_batches(path, head, len(chroms), tags), "file string, rows long, bytes long")
