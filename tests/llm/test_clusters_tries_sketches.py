@@ -237,6 +237,43 @@ def test_blocks_of_a_list_pair_all_of_different_roots(spark):
         assert {tuple(r) for r in minhash_dedup.crossings(lists, roots, 60, block).collect()} == want
 
 
+def _classes(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df, minhash_dedup.classes(minhash_dedup.sets(df))
+
+
+def test_one_common_pair_of_words_makes_no_list(spark):
+    rows = [(k, " ".join([*(f"a{k}_{w}" for w in range(9)), "in", "the", *(f"z{k}_{w}" for w in range(9))])) for k in range(60)]
+    _, each = _classes(spark, rows)
+    assert minhash_dedup.inverted(each).count() == 0
+
+
+def test_crowded_lists_return_members_and_join_the_same_roots(spark):
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for k in range(60):
+        copy = list(base)
+        for _ in range(rng.randrange(5, 12)):
+            copy[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    df, each = _classes(spark, rows)
+    roots = spark.createDataFrame([], "sid long, root long")
+    long = minhash_dedup.inverted(each).where("m > 8")
+    ids = dict(map(tuple, each.select("sid", "best.doc_id").collect()))
+    want = {(i, n, c) for i, n, c, _ in plain_components(rows)}
+    for dense in (0, 10**6):
+        links = minhash_dedup.across(long, roots, each, df, 60, 16, dense)
+        if dense == 0:
+            assert links.count() < 33 * 60
+        found = {i: i for i in range(60)}
+        pairs = [(ids[r.a], ids[r.b]) for r in links.collect()]
+        for _ in range(60):
+            for a, b in pairs:
+                found[a] = found[b] = min(found[a], found[b])
+        assert {(i, c) for i, c in found.items()} == {(i, c) for i, _, c in want}
+
+
 def test_no_documents(spark):
     assert sketched(spark.createDataFrame([], "doc_id long, text string")) == []
     assert sketched(spark.createDataFrame([(3, ""), (4, None)], "doc_id long, text string")) == [(3, 0, 3, True), (4, 0, 4, True)]
