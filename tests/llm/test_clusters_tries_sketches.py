@@ -248,6 +248,53 @@ def test_one_common_pair_of_words_makes_no_list(spark):
     assert minhash_dedup.inverted(each).count() == 0
 
 
+def test_classes_that_meet_by_chance_stay_in_no_list(spark):
+    shared = [f"s{w}" for w in range(14)]
+    rows = [(k, " ".join([*shared, *(f"o{k}_{w}" for w in range(60))])) for k in range(40)]
+    rows += [(100 + k, " ".join([*(f"c{w}" for w in range(80)), *shared[: 10 - k]])) for k in range(2)]
+    _, each = _classes(spark, rows)
+    ids = dict(map(tuple, each.select("sid", "best.doc_id").collect()))
+    assert {ids[r.sid] for r in minhash_dedup.inverted(each).collect()} == {100, 101}
+
+
+def _marked(rng, lists):
+    """Rows (v, sid, n, sketch) of lists whose members are copies of a text of theirs, or their own."""
+    rows, sid = [], 0
+    for v, size in enumerate(lists):
+        base = rng.sample(range(10**15), 90)
+        for _ in range(size):
+            n = rng.choice((20, 60, 64, 80, 90))
+            own = rng.sample(range(10**15), n)
+            values = sorted(base[: n - n // 10] + own[: n // 10] if rng.random() < 0.2 else own)
+            rows.append((v, sid, n, values))
+            sid += 1
+    return sorted(rows, key=lambda r: (r[0], r[2]))
+
+
+def test_sifted_lists_lose_no_pair_that_sketches_let_pass(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rows = _marked(random.Random(3), [1, 2, 5, 8, 9, 40, 150, 700, 3])
+    classes = pa.RecordBatch.from_pylist([{"sid": s, "n": n, "sketch": x[:64]} for _, s, n, x in rows])
+    marks = next(minhash_dedup._mark_batches([classes]))
+    table = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows]) for k in range(3)] + marks.columns[1:], ["v", "sid", "n", *marks.schema.names[1:]])
+    arrays = [np.array(x[:64]) for *_, x in rows]
+    need = set()
+    for a, (v, s, n, _) in enumerate(rows):
+        for b in range(a):
+            if rows[b][0] == v and 5 * min(n, rows[b][2]) >= 4 * max(n, rows[b][2]) and minhash_dedup.promising(arrays[a], n, arrays[b], rows[b][2]):
+                need |= {s, rows[b][1]}
+    for limit in (16_384, 300):
+        monkeypatch.setattr(minhash_dedup, "SIFTED", limit)
+        for step in (50, 10_000):
+            got = [s for x in minhash_dedup._sift_batches(table.slice(k, step) for k in range(0, len(rows), step)) for s in x.column("sid").to_pylist()]
+            assert len(got) == len(set(got)) and need <= set(got)
+            long = {s for v, s, *_ in rows if v == 7}
+            assert len(set(got) - need - (long if limit == 300 else set())) <= 2
+            assert limit != 300 or long <= set(got)
+
+
 def test_crowded_lists_return_members_and_join_the_same_roots(spark):
     rng = random.Random(4)
     base = [f"b{k}" for k in range(120)]
